@@ -172,6 +172,8 @@ def with_views(sql: str) -> str:
         return sql
     parts = [f"{n} AS ({VIEW_SQL[n]})" for n in needed]
     body = sql.strip()
+    if re.match(r"WITH\s+RECURSIVE\s", body, re.I):
+        return "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + body.split(None, 2)[2]
     if re.match(r"WITH\s", body, re.I):
         return "WITH " + ",\n".join(parts) + ",\n" + body[4:].strip()
     return "WITH " + ",\n".join(parts) + "\n" + body

@@ -70,11 +70,8 @@ def _below(df: DataFrame, source: str, target: str, cuts: Sequence[float]) -> Da
     return tool.transform(df).withColumn(target, F.col(target).cast("long"))
 
 
-def _sort(df: DataFrame, time: str, tie: str | None) -> list[Column]:
-    columns = [F.col(time).asc_nulls_last()]
-    if tie:
-        columns.append(F.col(tie).asc_nulls_last())
-    return columns
+def _sort(*names: str | None) -> list[Column]:
+    return [F.col(name).asc_nulls_last() for name in names if name]
 
 
 def positioned(
@@ -83,6 +80,7 @@ def positioned(
     time: str,
     tie: str | None = None,
     *,
+    then: str | None = None,
     following: str | None = None,
     totals: dict[str, str] | None = None,
     maxima: dict[str, str] | None = None,
@@ -94,12 +92,13 @@ def positioned(
     ``following=c`` adds ``next_c``, the value of ``c`` in the next row;
     ``totals={out: c}`` adds running sums of ``c`` up to and with the row;
     ``maxima={out: c}`` adds the greatest ``c`` of all *earlier* rows.
+    ``then`` is a last sort column of any type, used inside a block only.
     ``keys`` may be empty: then the whole table is numbered.
     """
     keys = list(keys)
     totals, maxima = totals or {}, maxima or {}
     cut = order_blocks(df, time, tie, blocks)
-    inside = Window.partitionBy(*keys, BLOCK).orderBy(*_sort(df, time, tie))
+    inside = Window.partitionBy(*keys, BLOCK).orderBy(*_sort(time, tie, then))
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     local = cut.withColumn("_row", F.row_number().over(inside))

@@ -6,11 +6,13 @@ and column pruning pass through to the Parquet scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagemill.constants import ANALYSTS, GRADES
 from triagemill.functions.scoring import last_max, second_largest, softmax
+from triagemill.operators.ordered import positioned
+from triagemill.session import settle
 
 SPLIT_TIME = "2024-01-21"
 
@@ -132,26 +134,23 @@ class Views:
         })
 
     def analysts(self) -> DataFrame:
-        return self.spark.createDataFrame(
-            ANALYSTS, "analyst_id string, name string, role string, capacity long, active boolean"
-        )
+        rows = ", ".join(f"('{i}', '{n}', '{r}', {c}L, {str(on).lower()})" for i, n, r, c, on in ANALYSTS)
+        return self.spark.sql(f"SELECT * FROM VALUES {rows} AS t(analyst_id, name, role, capacity, active)")
 
     def run_history(self) -> DataFrame:
         """One run per user; the epoch is the number of the event within the user.
 
         Numbered without one task per user (see operators.ordered).
         """
-        from triagemill.operators.ordered import positioned
-
         rows = self.table("events").select(
             F.col("user_id").alias("run_id"), "event_id", F.col("event_type").alias("action"), "value",
             F.get_json_object("props", "$.k").cast("long").alias("k"), F.col("ts").cast("timestamp").alias("ts"),
         )
-        return positioned(rows, ["run_id"], "event_id").select(
+        return settle(positioned(rows, ["run_id"], "event_id").select(
             "run_id", "event_id", (F.col("position") + 1).alias("epoch"), (F.col("value") / 1000).alias("score"),
             (F.lit(1.0) / (F.col("position") + 2)).alias("loss"), "action", (F.col("run_id") % 5).alias("seed"),
             (F.col("k") + 1).alias("updates"), "value", "k", "ts",
-        )
+        ), "history")
 
     def requests(self) -> DataFrame:
         return requests_from(self.table("events"))
