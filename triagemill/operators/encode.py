@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from triagemill.operators.ordered import positioned
-from triagemill.session import settle
+from triagemill.session import BROADCAST_ROWS, settle
 
 WIDE_COLUMN = 100_000  # distinct values from which a column is ranked in blocks
 
@@ -42,20 +42,23 @@ def fit_codebook(train: DataFrame, columns: Sequence[str]) -> DataFrame:
         keyed = values.filter(F.col("column").isin(wide)).withColumn("_p", _prefix_number(F.col("value")))
         blocked = positioned(keyed, ["column"], "_p", then="value")
         ranked = ranked.unionByName(blocked.select("column", "value", F.col("position").alias("code")))
-    return ranked
+    return settle(ranked, "codebook")
 
 
 def _coded(df: DataFrame, codebook: DataFrame, columns: Sequence[str], code) -> DataFrame:
     """Left join each column with its part of the codebook.
 
-    The codebook is a settled table, so each join is broadcast only when the
-    measured size of its side allows it.
+    The parts are counted first: a short one is broadcast, a long one is joined
+    by a shuffle, where adaptive execution splits skewed values.
     """
+    sizes = {r["column"]: r["n"] for r in codebook.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     for c in columns:
-        part = codebook.filter(F.col("column") == c).select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}"))
+        part = codebook.filter(F.col("column") == c).select(F.col("value").alias(f"_t_{c}"), F.col("code").alias(f"_c_{c}"))
+        if sizes.get(c, 0) <= BROADCAST_ROWS:
+            part = F.broadcast(part)
         text = F.coalesce(F.col(c).cast("string"), F.lit("Unknown"))
-        df = df.withColumn(f"_t_{c}", text).join(part, F.col(f"_t_{c}") == F.col(f"_v_{c}"), "left")
-        df = df.withColumn(f"{c}_code", code(c, F.col(f"_c_{c}"))).drop(f"_t_{c}", f"_v_{c}", f"_c_{c}")
+        df = df.withColumn(f"_t_{c}", text).join(part, f"_t_{c}", "left")
+        df = df.withColumn(f"{c}_code", code(c, F.col(f"_c_{c}"))).drop(f"_t_{c}", f"_c_{c}")
     return df
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagemill.constants import ANALYSTS, GRADES
-from triagemill.functions.scoring import last_max, second_largest, softmax
+from triagemill.operators.decide import gate_decision
 from triagemill.operators.ordered import positioned
 from triagemill.session import settle
 
@@ -60,14 +60,9 @@ def alerts_from(events: DataFrame) -> DataFrame:
 
 
 def gate_columns(alerts: DataFrame) -> DataFrame:
-    """Gate result used to derive the event log (thresholds 0.60 and 0.15)."""
-    q = F.array("q0", "q1", "q2")
-    p = softmax(q)
-    out = alerts.withColumn("_p", p).withColumn("top_action", last_max(F.col("_p")))
-    conf = F.array_max("_p")
-    margin = conf - second_largest(F.col("_p"))
-    review = (F.col("top_action") == 2) | (conf < 0.6) | (margin < 0.15)
-    return out.withColumn("action_code", F.when(review, 2).otherwise(F.col("top_action")).cast("long")).drop("_p")
+    """Gated action of each alert (thresholds 0.60 and 0.15), used to derive the event log."""
+    gated = gate_decision(alerts)
+    return gated.select(*alerts.columns, "top_action", "action_code")
 
 
 class Views:
@@ -110,7 +105,7 @@ class Views:
         return activity_from(self.alerts())
 
     def live_alerts(self) -> DataFrame:
-        """Alerts with their current status and analyst."""
+        """Alerts with their current status and analyst, as a stored table."""
         gated = gate_columns(self.alerts())
         pending = F.col("action_code") == 2
         status = (
@@ -121,7 +116,7 @@ class Views:
             .otherwise("MODEL_ALLOWED")
         )
         names = [a[0] for a in ANALYSTS] + [None]
-        return gated.withColumns({
+        return settle(gated.withColumns({
             "status": status,
             "agent_status": F.when(F.col("event_id") % 50 == 0, "WAITING_INFERENCE").otherwise("INFERRED"),
             "requires_human_review": (F.col("event_id") % 50 != 0) & pending & (F.col("k") % 7 != 0),
@@ -131,7 +126,7 @@ class Views:
             "severity": F.col("suspicion"),
             "title": F.concat_ws(" / ", "category", "threat_family"),
             "cycle_id": F.concat(F.lit("C"), F.date_format("ts", "yyyyMMdd")),
-        })
+        }), "live")
 
     def analysts(self) -> DataFrame:
         rows = ", ".join(f"('{i}', '{n}', '{r}', {c}L, {str(on).lower()})" for i, n, r, c, on in ANALYSTS)

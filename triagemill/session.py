@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000  # most rows a table of short columns may have to be broadcast
 
 
 def get_session(app: str = "triagemill", master: str | None = None, **conf) -> SparkSession:
@@ -56,3 +59,9 @@ def settle(df: DataFrame, label: str = "table") -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sized_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join with a settled table: broadcast up to a counted size, shuffled beyond it."""
+    rows = table.limit(BROADCAST_ROWS + 1).count()
+    return df.join(F.broadcast(table) if rows <= BROADCAST_ROWS else table, on, how)
