@@ -31,11 +31,12 @@ def g11(v):
     return rounded(E.evaluate_by_class(big_scored(v)))
 
 
-@query("G11_grouping_sets", """
-SELECT grade_code, grouping(grade_code) = 1 AS is_total, count(*) AS rows, round(avg(reward), 6) AS average_reward, round(sum(reward) / sum(best), 6) AS reward_ratio,
+@query("G10_G11_evaluate_all", """
+SELECT grade_code, grouping(grade_code) = 1 AS is_total, count(*) AS rows, CASE WHEN grouping(grade_code) = 1 THEN count(DISTINCT incident_id) END AS incidents,
+  sum(reward) AS total_reward, round(avg(reward), 6) AS average_reward, round(avg(best), 6) AS oracle_average_reward, round(sum(reward) / sum(best), 6) AS reward_ratio,
   round(count(*) FILTER (WHERE reward = best) / count(*)::DOUBLE, 6) AS policy_optimality FROM big_scored GROUP BY GROUPING SETS ((grade_code), ())""")
-def g11s(v):
-    return rounded(E.evaluate_overall_and_by_class(big_scored(v)))
+def g10a(v):
+    return rounded(E.evaluate_all(big_scored(v)))
 
 
 @query("G12_action_distribution", """

@@ -10,7 +10,7 @@ from triagemill.functions.rewards import action_name
 from triagemill.functions.scoring import (
     first_of_three, gate_parts, hash_uniform, last_of_three)
 from triagemill.operators.ordered import positioned
-from triagemill.session import settle, sized_join
+from triagemill.session import BROADCAST_ROWS, settle
 
 
 def gate_decision(
@@ -66,13 +66,21 @@ def route_to_analysts(reviews: DataFrame, workload: DataFrame, time: str = "ts",
     staff = settle(workload.select(
         "analyst_id", F.coalesce("capacity", F.lit(0)).cast("long").alias("cap"),
         F.coalesce("load", F.lit(0)).cast("long").alias("load")), "staff")
+    # one row about the staff: how many places are free, and how long the two tables get
+    start = F.greatest("load", "cap")
+    facts = staff.agg(
+        F.coalesce(F.sum(F.greatest(F.col("cap") - F.col("load"), F.lit(0))), F.lit(0)).alias("places"),
+        F.count(F.lit(1)).alias("people"), F.count_distinct(start).alias("levels")).first()
+
+    def small(table: DataFrame, rows: int) -> DataFrame:
+        return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
     free = staff.filter("load < cap").select(
         "analyst_id", "cap", F.explode(F.sequence(F.col("load"), F.col("cap") - 1)).alias("at"))
     order = Window.partitionBy().orderBy("at", F.col("at") - F.col("cap"), "analyst_id")  # free places only
     free = free.select((F.row_number().over(order) - 1).cast("long").alias("_i"), F.col("analyst_id").alias("_free"))
-    free = settle(free, "places")
 
-    full = staff.select("analyst_id", F.greatest("load", "cap").alias("start"))
+    full = staff.select("analyst_id", start.alias("start"))
     by_start = Window.partitionBy().orderBy("start")  # one row per distinct start
     levels = full.groupBy("start").agg(F.count(F.lit(1)).alias("n"))
     levels = levels.select(
@@ -80,15 +88,13 @@ def route_to_analysts(reviews: DataFrame, workload: DataFrame, time: str = "ts",
         F.lead("start").over(by_start).alias("_next"))
     width = (F.col("_next") - F.col("start")) * F.col("m")
     first = F.coalesce(F.sum(width).over(by_start.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    levels = settle(levels.select("start", "level", "m", first.cast("long").alias("first")), "levels")
-    top = levels.agg(F.max("level")).scalar()
+    levels = levels.select("start", "level", "m", first.cast("long").alias("first"))
     ranks = full.join(levels.select("start", F.col("level").alias("_from")), "start")
-    ranks = ranks.select("analyst_id", F.explode(F.sequence(F.col("_from"), top)).alias("_level"))
+    ranks = ranks.select("analyst_id", F.explode(F.sequence(F.col("_from"), F.lit(max(facts["levels"] - 1, 0)))).alias("_level"))
     by_id = Window.partitionBy("_level").orderBy("analyst_id")
     ranks = ranks.select("_level", (F.row_number().over(by_id) - 1).cast("long").alias("_rank"), F.col("analyst_id").alias("_full"))
-    ranks = settle(ranks, "ranks")
 
-    places = free.agg(F.count(F.lit(1))).scalar()
+    places = F.lit(facts["places"])
     steps = levels.agg(F.array_sort(F.collect_list(F.struct("first", "level", "m")))).scalar()  # one per level
     lined = positioned(reviews, [], time, tie).withColumn("_i", F.col("position"))
     lined = lined.withColumns({"_rest": F.col("_i") - places, "_steps": steps})
@@ -96,7 +102,8 @@ def route_to_analysts(reviews: DataFrame, workload: DataFrame, time: str = "ts",
     lined = lined.withColumn("_step", F.try_element_at(passed, F.lit(-1)))
     lined = lined.withColumn("_level", F.col("_step.level")).withColumn(
         "_rank", F.when(F.col("_step").isNotNull(), (F.col("_rest") - F.col("_step.first")) % F.col("_step.m")))
-    out = sized_join(sized_join(lined, free, ["_i"]), ranks, ["_level", "_rank"])
+    out = lined.join(small(free, facts["places"]), "_i", "left").join(
+        small(ranks, facts["levels"] * facts["people"]), ["_level", "_rank"], "left")
     return out.withColumn("assigned_analyst", F.coalesce("_free", "_full")).drop(
         "_i", "_rest", "_steps", "_step", "_level", "_rank", "_free", "_full", "group_size")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagemill.constants import ACTIONS, EFFICIENCY_WEIGHT, OPTIMALITY_WEIGHT, REWARDS
-from triagemill.functions.rewards import grade_name, rewards_of
+from triagemill.functions.rewards import grade_name
 
 
 def ratio_or_zero(a: Column, b: Column) -> Column:
@@ -14,10 +14,17 @@ def ratio_or_zero(a: Column, b: Column) -> Column:
 
 
 def score_rewards(df: DataFrame, action: str = "action", grade: str = "grade_code", table=REWARDS) -> DataFrame:
-    """Reward of the chosen action and the best possible one, row by row."""
-    rewards = rewards_of(F.col(grade), table)
+    """Reward of the chosen action and the best possible one, row by row.
+
+    The table is a constant flat array, indexed by grade and action.
+    """
+    width = len(table[0])
+    cells = F.array(*[F.lit(float(v)) for row in table for v in row])
+    best = F.array(*[F.lit(float(max(row))) for row in table])
+    known = F.col(grade).between(0, len(table) - 1)
+    row = F.when(known, F.col(grade)).otherwise(len(table) - 1).cast("int")
     return df.withColumns({
-        "reward": F.get(rewards, F.col(action).cast("int")), "best": F.array_max(rewards)})
+        "reward": F.get(cells, row * width + F.col(action).cast("int")), "best": F.get(best, row)})
 
 
 def greedy_action(df: DataFrame) -> DataFrame:
@@ -37,14 +44,14 @@ def _sums() -> list[Column]:
 def evaluate_policy(scored: DataFrame, incident: str = "incident_id") -> DataFrame:
     """One row of policy metrics; zeros when there are no rows.
 
-    Sums are first taken per incident (map-side combined, so a hot incident is
-    one row per task), which also makes the distinct count a plain count.
+    The sums combine map-side to one row per task. The distinct incidents are
+    counted by a subquery that reads the id column alone and runs beside them.
     """
-    per = scored.groupBy(incident).agg(*_sums())
-    t = per.agg(
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count(incident).alias("incidents"),
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("_r", "_b", "_hit", "_n0", "_n1", "_n2")])
-    rows, r, b = F.col("rows"), F.col("_r").cast("double"), F.col("_b").cast("double")
+    incidents = scored.agg(F.count_distinct(incident)).scalar()
+    t = scored.agg(*_sums()).withColumn("incidents", incidents)
+    r = F.coalesce(F.col("_r"), F.lit(0.0)).cast("double")
+    b = F.coalesce(F.col("_b"), F.lit(0.0)).cast("double")
+    rows = F.col("rows")
     return t.select(
         "rows", "incidents", r.alias("total_reward"), ratio_or_zero(r, rows).alias("average_reward"),
         ratio_or_zero(b, rows).alias("oracle_average_reward"), ratio_or_zero(r, b).alias("reward_efficiency"),
@@ -63,14 +70,25 @@ def evaluate_by_class(scored: DataFrame, grade: str = "grade_code") -> DataFrame
         ratio_or_zero(F.col("_r"), F.col("_b")).alias("class_reward_ratio"))
 
 
-def evaluate_overall_and_by_class(scored: DataFrame, grade: str = "grade_code") -> DataFrame:
-    """Totals (``grade_code`` null) and grades of one scan, without the distinct count."""
-    t = scored.groupingSets([[grade], []], grade).agg(*_sums(), F.grouping_id().alias("_level"))
+def evaluate_all(scored: DataFrame, incident: str = "incident_id", grade: str = "grade_code") -> DataFrame:
+    """Totals and every grade together, with the distinct incidents of the total.
+
+    The big table is aggregated once by grade; the grouping sets that add the
+    total run over those few rows, so no row of the table is duplicated.
+    """
+    incidents = scored.agg(F.count_distinct(incident)).scalar()
+    by_grade = scored.groupBy(grade).agg(*_sums()[:4])
+    t = by_grade.groupingSets([[grade], []], grade).agg(
+        *[F.sum(c).alias(c) for c in ("rows", "_r", "_b", "_hit")], F.grouping_id().alias("_level"))
+    total = F.col("_level") == 1
+    rows = F.col("rows")
     return t.select(
-        F.col(grade).cast("long").alias("grade_code"), (F.col("_level") == 1).alias("is_total"), "rows",
-        ratio_or_zero(F.col("_r"), F.col("rows")).alias("average_reward"),
+        F.col(grade).cast("long").alias("grade_code"), total.alias("is_total"), "rows",
+        F.when(total, incidents).alias("incidents"), F.col("_r").alias("total_reward"),
+        ratio_or_zero(F.col("_r"), rows).alias("average_reward"),
+        ratio_or_zero(F.col("_b"), rows).alias("oracle_average_reward"),
         ratio_or_zero(F.col("_r"), F.col("_b")).alias("reward_ratio"),
-        ratio_or_zero(F.col("_hit"), F.col("rows")).alias("policy_optimality"))
+        ratio_or_zero(F.col("_hit"), rows).alias("policy_optimality"))
 
 
 def action_distribution(scored: DataFrame, action: str = "action") -> DataFrame:

@@ -39,11 +39,10 @@ def order_blocks(df: DataFrame, time: str, tie: str | None = None, blocks: int |
     spark = df.sparkSession
     blocks = blocks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4)
     columns = [c for c in (time, tie) if c]
-    keys = df.select(*[_numeric(df, c).alias(f"_o{i}") for i, c in enumerate(columns)])
-    cuts = []
-    for i in range(len(columns)):
-        found = keys.approxQuantile(f"_o{i}", [j / blocks for j in range(1, blocks)], 0.1 / blocks)
-        cuts.append(sorted(set(found)))
+    names = [f"_o{i}" for i in range(len(columns))]
+    keys = df.select(*[_numeric(df, c).alias(n) for c, n in zip(columns, names)])
+    found = keys.approxQuantile(names, [j / blocks for j in range(1, blocks)], 0.1 / blocks)
+    cuts = [sorted(set(q)) for q in found]
     # order-preserving rank of a time: 2 * (cuts below it) + (1 when it is a cut)
     out = df.withColumn("_o0", _numeric(df, time))
     out = _below(out, "_o0", "_b0", cuts[0])

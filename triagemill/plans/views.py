@@ -70,6 +70,13 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._stored: dict[str, DataFrame] = {}
+
+    def stored(self, name: str, make) -> DataFrame:
+        """A derived table written once for this object."""
+        if name not in self._stored:
+            self._stored[name] = settle(make(), name)
+        return self._stored[name]
 
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
@@ -106,6 +113,9 @@ class Views:
 
     def live_alerts(self) -> DataFrame:
         """Alerts with their current status and analyst, as a stored table."""
+        return self.stored("live", self._live_alerts)
+
+    def _live_alerts(self) -> DataFrame:
         gated = gate_columns(self.alerts())
         pending = F.col("action_code") == 2
         status = (
@@ -116,7 +126,7 @@ class Views:
             .otherwise("MODEL_ALLOWED")
         )
         names = [a[0] for a in ANALYSTS] + [None]
-        return settle(gated.withColumns({
+        return gated.withColumns({
             "status": status,
             "agent_status": F.when(F.col("event_id") % 50 == 0, "WAITING_INFERENCE").otherwise("INFERRED"),
             "requires_human_review": (F.col("event_id") % 50 != 0) & pending & (F.col("k") % 7 != 0),
@@ -126,7 +136,7 @@ class Views:
             "severity": F.col("suspicion"),
             "title": F.concat_ws(" / ", "category", "threat_family"),
             "cycle_id": F.concat(F.lit("C"), F.date_format("ts", "yyyyMMdd")),
-        }), "live")
+        })
 
     def analysts(self) -> DataFrame:
         rows = ", ".join(f"('{i}', '{n}', '{r}', {c}L, {str(on).lower()})" for i, n, r, c, on in ANALYSTS)
@@ -135,17 +145,20 @@ class Views:
     def run_history(self) -> DataFrame:
         """One run per user; the epoch is the number of the event within the user.
 
-        Numbered without one task per user (see operators.ordered).
+        Numbered without one task per user (see operators.ordered), and stored.
         """
+        return self.stored("history", self._run_history)
+
+    def _run_history(self) -> DataFrame:
         rows = self.table("events").select(
             F.col("user_id").alias("run_id"), "event_id", F.col("event_type").alias("action"), "value",
             F.get_json_object("props", "$.k").cast("long").alias("k"), F.col("ts").cast("timestamp").alias("ts"),
         )
-        return settle(positioned(rows, ["run_id"], "event_id").select(
+        return positioned(rows, ["run_id"], "event_id").select(
             "run_id", "event_id", (F.col("position") + 1).alias("epoch"), (F.col("value") / 1000).alias("score"),
             (F.lit(1.0) / (F.col("position") + 2)).alias("loss"), "action", (F.col("run_id") % 5).alias("seed"),
             (F.col("k") + 1).alias("updates"), "value", "k", "ts",
-        ), "history")
+        )
 
     def requests(self) -> DataFrame:
         return requests_from(self.table("events"))
