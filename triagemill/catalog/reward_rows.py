@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from triagemill.catalog.base import query
 from triagemill.functions import rewards as R
 
-ACTION = F.col("k") % 3
+
+def action():
+    return F.col("k") % 3
 
 
 @query("E1_reward_matrix", """
@@ -39,7 +41,7 @@ SELECT alert_id, CASE
   WHEN grade_code = 2 AND k % 3 = 0 THEN -40e0 WHEN grade_code IN (0, 1) AND k % 3 = 1 THEN -15e0 WHEN grade_code = 3 THEN -8e0 ELSE -12e0 END AS reward
 FROM alerts""")
 def e4(v):
-    return v.alerts().select("alert_id", R.historical_reward(F.col("grade_code"), ACTION).alias("reward"))
+    return v.alerts().select("alert_id", R.historical_reward(F.col("grade_code"), action()).alias("reward"))
 
 
 @query("E5_feedback_reward", """
@@ -64,18 +66,18 @@ LATENCY = "CASE WHEN processing_s <= 2e0 THEN 0e0 ELSE -least(processing_s * 0.1
 
 @query("E6_label_reward", f"SELECT alert_id, {LABEL} AS reward FROM alerts")
 def e6(v):
-    return v.alerts().select("alert_id", R.label_reward(F.col("grade"), ACTION).alias("reward"))
+    return v.alerts().select("alert_id", R.label_reward(F.col("grade"), action()).alias("reward"))
 
 
 @query("E7_severity_reward", f"SELECT alert_id, {LABEL} AS reward FROM alerts")
 def e7(v):
     label = F.when(F.col("k") % 2 == 0, F.col("grade"))
-    return v.alerts().select("alert_id", R.severity_reward(label, F.col("grade_code"), ACTION).alias("reward"))
+    return v.alerts().select("alert_id", R.severity_reward(label, F.col("grade_code"), action()).alias("reward"))
 
 
 @query("E8_false_positive_reward", f"SELECT alert_id, {FALSE_POSITIVE} AS reward FROM alerts")
 def e8(v):
-    return v.alerts().select("alert_id", R.false_positive_reward(F.col("verdict"), F.col("suspicion"), ACTION).alias("reward"))
+    return v.alerts().select("alert_id", R.false_positive_reward(F.col("verdict"), F.col("suspicion"), action()).alias("reward"))
 
 
 @query("E9_analyst_reward", f"SELECT alert_id, {ANALYST} AS reward FROM alerts".replace("alerts", "alerts_by_action").replace(
@@ -84,7 +86,7 @@ def e9(v):
     from triagemill.plans.views import pick
     a = v.alerts().withColumn("action_grouped", pick(F.floor(F.col("k") / 3) % 4, ["Escalated", "Closed", "Close", None]))
     return a.select("alert_id", R.analyst_reward(
-        F.col("suspicion"), F.col("action_grouped"), F.col("action_granular"), ACTION).alias("reward"))
+        F.col("suspicion"), F.col("action_grouped"), F.col("action_granular"), action()).alias("reward"))
 
 
 @query("E10_latency_reward", f"SELECT alert_id, round({LATENCY}, 6) AS reward FROM alerts")
@@ -95,5 +97,5 @@ def e10(v):
 @query("E11_composite_reward", f"""
 SELECT alert_id, round(greatest(-50e0, least(50e0, {LABEL} + {FALSE_POSITIVE} + {ANALYST} + {LATENCY})), 6) AS reward FROM alerts""")
 def e11(v):
-    a = v.alerts().withColumn("act", ACTION)
+    a = v.alerts().withColumn("act", action())
     return a.select("alert_id", F.round(R.composite_reward(a, "act"), 6).alias("reward"))

@@ -56,7 +56,8 @@ def f4(v):
 
 
 # returns are short decimals that often end in a 5 at the rounded digit; both sides step off it
-NUDGED = (F.col("return") + 1e-9).alias("return")
+def nudged():
+    return (F.col("return") + 1e-9).alias("return")
 
 
 @query("F5_discounted_return", """
@@ -64,7 +65,7 @@ SELECT alert_id, round(sum(reward * pow(0.95e0, step)) OVER (PARTITION BY user_i
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step FROM scored)""")
 def f5(v):
     rows = scored(v).select("alert_id", "user_id", "event_id", "ts", "reward")
-    return rounded(S.discounted_return(rows, 0.95, keys=["user_id"]).select("alert_id", NUDGED))
+    return rounded(S.discounted_return(rows, 0.95, keys=["user_id"]).select("alert_id", nudged()))
 
 
 @query("F5_discounted_return_pieces", """
@@ -72,7 +73,7 @@ SELECT alert_id, round(sum(reward * pow(0.95e0, step)) OVER (PARTITION BY user_i
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step FROM scored)""")
 def f5p(v):
     rows = scored(v).select("alert_id", "user_id", "event_id", "ts", "reward")
-    return rounded(S.discounted_return(rows, 0.95, keys=["user_id"], longest=16).select("alert_id", NUDGED))
+    return rounded(S.discounted_return(rows, 0.95, keys=["user_id"], longest=16).select("alert_id", nudged()))
 
 
 @query("F6_normalised_advantage", """
