@@ -149,6 +149,16 @@ def test_early_stopping(spark):
         assert got == {run: stop_rule(xs, delta, patience, least) for run, xs in runs.items()}
 
 
+def test_early_stopping_in_pieces(spark, monkeypatch):
+    rng = random.Random(8)
+    runs = {f"r{i}": sorted(rng.random() for _ in range(50)) if i % 2 else [rng.random() for _ in range(9)] for i in range(6)}
+    data = [(run, e, s) for run, xs in runs.items() for e, s in enumerate(xs, 1)]
+    df = spark.createDataFrame(data, "run_id string, epoch long, score double")
+    monkeypatch.setattr(RS, "FOLD_LIMIT", 7)
+    got = {r.run_id: tuple(r)[1:] for r in RS.replay_early_stopping(df, 0.03, 2, 10).collect()}
+    assert got == {run: stop_rule(xs, 0.03, 2, 10) for run, xs in runs.items()}
+
+
 def test_bootstrap_small_large_and_single(spark):
     data = [("one", 1.0)] + [("few", float(i)) for i in range(6)] + [("many", float(i % 10)) for i in range(3000)]
     df = spark.createDataFrame(data, "g string, v double")

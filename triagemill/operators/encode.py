@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from triagemill.operators.ordered import positioned
-from triagemill.session import BROADCAST_ROWS, settle
+from triagemill.session import BROADCAST_BYTES, BROADCAST_ROWS, settle, sized_join
 
 WIDE_COLUMN = 100_000  # distinct values from which a column is ranked in blocks
 
@@ -51,10 +51,12 @@ def _coded(df: DataFrame, codebook: DataFrame, columns: Sequence[str], code) ->
     The parts are counted first: a short one is broadcast, a long one is joined
     by a shuffle, where adaptive execution splits skewed values.
     """
-    sizes = {r["column"]: r["n"] for r in codebook.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    size = F.struct(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("value")).alias("bytes"))
+    sizes = {r["column"]: r["size"] for r in codebook.groupBy("column").agg(size.alias("size")).collect()}  # per column
     for c in columns:
         part = codebook.filter(F.col("column") == c).select(F.col("value").alias(f"_t_{c}"), F.col("code").alias(f"_c_{c}"))
-        if sizes.get(c, 0) <= BROADCAST_ROWS:
+        known = sizes.get(c)
+        if known is None or (known["rows"] <= BROADCAST_ROWS and known["bytes"] <= BROADCAST_BYTES):
             part = F.broadcast(part)
         text = F.coalesce(F.col(c).cast("string"), F.lit("Unknown"))
         df = df.withColumn(f"_t_{c}", text).join(part, f"_t_{c}", "left")
@@ -171,11 +173,10 @@ def one_hot(train: DataFrame, test: DataFrame, features: Sequence[str], out: str
 
     def texts(df: DataFrame) -> DataFrame:
         for c in categorical:
-            part = counts.filter(F.col("column") == c).select(F.col("value").alias("_v"), F.col("n").alias("_n"))
-            value = F.coalesce(F.col(c).cast("string"), F.lit("Unknown"))
-            df = df.withColumn("_x", value).join(part, F.col("_x") == F.col("_v"), "left").withColumn(
-                f"_c_{c}", F.when(F.col("_n") >= 2, F.concat(F.lit("="), "_x")).when(F.col("_n") == 1, "rare").otherwise("unseen")
-            ).drop("_x", "_v", "_n")
+            part = counts.filter(F.col("column") == c).select(F.col("value").alias("_x"), F.col("n").alias("_n"))
+            df = df.withColumn("_x", F.coalesce(F.col(c).cast("string"), F.lit("Unknown")))
+            kind = F.when(F.col("_n") >= 2, F.concat(F.lit("="), "_x")).when(F.col("_n") == 1, "rare").otherwise("unseen")
+            df = sized_join(df, part, ["_x"]).withColumn(f"_c_{c}", kind).drop("_x", "_n")
         return df
 
     train_t, test_t = texts(train), texts(test)

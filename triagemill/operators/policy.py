@@ -29,8 +29,11 @@ def fit_action_values(train: DataFrame, keys: Sequence[str], min_n: int = 1, gra
     rewards = rewards_of(F.col(grade))
     rows = _filled(train, keys).withColumns({f"_r{i}": rewards[i] for i in range(len(ACTIONS))})
     names = [f"_k_{k}" for k in keys]
-    t = rows.rollup(*names).agg(
-        *[F.avg(f"_r{i}").alias(f"q{i}") for i in range(len(ACTIONS))], F.count(F.lit(1)).alias("n"),
+    cells = rows.groupBy(*names).agg(
+        *[F.sum(f"_r{i}").alias(f"_s{i}") for i in range(len(ACTIONS))], F.count(F.lit(1)).alias("_n"))
+    # the coarser levels are rolled up from the cells; the training rows are not multiplied
+    t = cells.rollup(*names).agg(
+        *[(F.sum(f"_s{i}") / F.sum("_n")).alias(f"q{i}") for i in range(len(ACTIONS))], F.sum("_n").alias("n"),
         F.grouping_id().alias("_g"))
     level = F.lit(len(keys)) - F.bit_count("_g")
     table = t.withColumn("level", level.cast("long")).filter((F.col("level") == 0) | (F.col("n") >= min_n))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagemill.operators.ordered import positioned, ranked_values
+from triagemill.session import settle
 
 ARRAY_LIMIT = 2000  # values of one group resampled from an array in its row
 
@@ -31,25 +32,49 @@ def _first_records(history: DataFrame, score: str, run: str, epoch: str) -> Data
 
 
 POINT = "struct<at:bigint,epoch:bigint,score:double>"
+FOLD_LIMIT = 100_000  # records folded in one row; a longer run is folded piece by piece
 
 
-def accepted_points(numbered: DataFrame, min_delta: float, score: str, run: str, epoch: str) -> DataFrame:
-    """Epochs that became the best one under the rule score > best + min_delta.
-
-    Only a score above everything before it can do so; the epochs are thinned
-    to those records in parallel and the rule is folded over the records.
-    """
-    records = numbered.filter(F.col("_best_before").isNull() | (F.col(score) > F.col("_best_before")))
-    point = F.struct(F.col("_at").alias("at"), F.col(epoch).alias("epoch"), F.col(score).cast("double").alias("score"))
-    kept = records.groupBy(run).agg(F.array_sort(F.collect_list(point)).alias("_records"))
+def _fold(records: DataFrame, min_delta: float, run: str, carried: DataFrame | None = None) -> DataFrame:
+    """Accepted points among at most FOLD_LIMIT records per run, after a carried best score."""
+    kept = records.groupBy(run).agg(F.array_sort(F.collect_list(F.struct("at", "epoch", "score"))).alias("_records"))
+    kept = kept.withColumn("_best", F.lit(None).cast("double")) if carried is None else kept.join(carried, run, "left")
 
     def step(taken: Column, x: Column) -> Column:
         best = F.try_element_at(taken, F.lit(-1))["score"]
         better = best.isNull() | (x["score"] > best + min_delta)
         return F.when(better, F.concat(taken, F.array(x))).otherwise(taken)
 
-    points = F.aggregate(F.col("_records").cast(f"array<{POINT}>"), F.array().cast(f"array<{POINT}>"), step)
-    return kept.select(run, points.alias("_taken"))
+    before = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("epoch"), F.col("_best").alias("score"))
+    start = F.when(F.col("_best").isNull(), F.array().cast(f"array<{POINT}>")).otherwise(F.array(before))
+    points = F.aggregate(F.col("_records").cast(f"array<{POINT}>"), start.cast(f"array<{POINT}>"), step)
+    return kept.select(run, F.inline(F.filter(points, lambda p: p["at"] > 0)))
+
+
+def accepted_points(numbered: DataFrame, min_delta: float, score: str, run: str, epoch: str) -> DataFrame:
+    """(run, at, epoch, score) of the epochs that became best under score > best + min_delta.
+
+    Only a score above everything before it can do so; the epochs are thinned
+    to those records in parallel and the rule is folded over the records. A
+    run with very many records is folded in pieces that hand on their best.
+    """
+    is_record = F.col("_best_before").isNull() | (F.col(score) > F.col("_best_before"))
+    records = settle(numbered.filter(is_record).select(
+        run, F.col("_at").alias("at"), F.col(epoch).cast("long").alias("epoch"), F.col(score).cast("double").alias("score")), "records")
+    longest = records.groupBy(run).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if longest <= FOLD_LIMIT:
+        return _fold(records, min_delta, run)
+    pieces = settle(
+        positioned(records, [run], "at").withColumn("_piece", F.floor(F.col("position") / FOLD_LIMIT)), "pieces")
+    out, carried = None, None
+    for i in range((longest - 1) // FOLD_LIMIT + 1):
+        part = settle(_fold(pieces.filter(F.col("_piece") == i), min_delta, run, carried), "accepted")
+        last = part.groupBy(run).agg(F.max_by("score", "at").alias("_best"))
+        carried = last if carried is None else (
+            carried.join(last.withColumnRenamed("_best", "_new"), run, "full").select(run, F.coalesce("_new", "_best").alias("_best")))
+        carried = settle(carried, "carried")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def replay_early_stopping(
@@ -60,23 +85,20 @@ def replay_early_stopping(
     numbered = _first_records(history, score, run, epoch)
     ends = numbered.groupBy(run).agg(
         F.max("_at").alias("_last"), F.min(F.when(F.col(epoch) >= min_epochs, F.col("_at"))).alias("_from"))
-    taken = accepted_points(numbered, min_delta, score, run, epoch).join(ends, run)
     # a span lasts from one accepted epoch to the next; patience ends in the first long one
-    spans = taken.select(run, "_taken", "_last", "_from", F.posexplode("_taken").alias("_i", "_p"))
-    following = F.try_element_at("_taken", F.col("_i") + 2)["at"]
-    stop = F.greatest(F.col("_p.at") + patience, F.col("_from"))
-    ends_here = F.col("_from").isNotNull() & (stop <= F.col("_last")) & (following.isNull() | (stop < following))
-    best = [F.col("_p.epoch").alias("epoch"), F.col("_p.score").alias("score")]
+    points = accepted_points(numbered, min_delta, score, run, epoch).select(run, "at", F.col("epoch").alias("_e"), F.col("score").alias("_s"))
+    spans = points.withColumn("_next", F.lead("at").over(Window.partitionBy(run).orderBy("at"))).join(ends, run)
+    stop = F.greatest(F.col("at") + patience, F.col("_from"))
+    ends_here = F.col("_from").isNotNull() & (stop <= F.col("_last")) & (F.col("_next").isNull() | (stop < F.col("_next")))
+    best = [F.col("_e").alias("epoch"), F.col("_s").alias("score")]
     t = spans.groupBy(run).agg(
-        F.min(F.when(ends_here, F.struct(stop.alias("at"), *best))).alias("_s"),
-        F.max(F.struct(F.col("_p.at").alias("at"), *best)).alias("_f"),
-        F.max("_last").alias("_last"))
-    stopped = F.col("_s").isNotNull()
+        F.min(F.when(ends_here, F.struct(stop.alias("at"), *best))).alias("_stop"),
+        F.max(F.struct("at", *best)).alias("_final"), F.max("_last").alias("_last"))
+    shown = F.coalesce(F.col("_stop"), F.col("_final"))
+    stopped = F.col("_stop").isNotNull()
     return t.select(
-        run,
-        F.when(stopped, F.col("_s.epoch")).otherwise(F.col("_f.epoch")).alias("best_epoch"),
-        F.when(stopped, F.col("_s.score")).otherwise(F.col("_f.score")).alias("best_score"),
-        F.when(stopped, F.col("_s.at")).otherwise(F.col("_last")).alias("validations_used"),
+        run, shown["epoch"].alias("best_epoch"), shown["score"].alias("best_score"),
+        F.when(stopped, F.col("_stop.at")).otherwise(F.col("_last")).alias("validations_used"),
         F.when(stopped, "validation_patience_exhausted").otherwise("max_epochs_reached").alias("stopping_reason"))
 
 
@@ -90,7 +112,7 @@ def stability_flags(
     just before a piece are repeated in it.
     """
     numbered = _first_records(history, score, run, epoch)
-    points = accepted_points(numbered, min_delta, score, run, epoch).select(run, F.inline("_taken"))
+    points = accepted_points(numbered, min_delta, score, run, epoch)
     marked = numbered.drop("position", "group_size", "_best_before").join(
         points.select(run, F.col("at").alias("_at"), F.col("score").alias("_accepted")), [run, "_at"], "left")
     rows = positioned(marked, [run], epoch, maxima={"_max": "_accepted"})

@@ -8,7 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000  # most rows a table of short columns may have to be broadcast
+# a side may be broadcast up to these counted sizes; beyond them the join is shuffled
+BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def get_session(app: str = "triagemill", master: str | None = None, **conf) -> SparkSession:
@@ -61,7 +63,13 @@ def settle(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fits_broadcast(table: DataFrame) -> bool:
+    """Count the rows and text bytes of a settled table against the limits."""
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(4)) for c in table.columns), F.lit(0))
+    size = table.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    return size["rows"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES
+
+
 def sized_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join with a settled table: broadcast up to a counted size, shuffled beyond it."""
-    rows = table.limit(BROADCAST_ROWS + 1).count()
-    return df.join(F.broadcast(table) if rows <= BROADCAST_ROWS else table, on, how)
+    return df.join(F.broadcast(table) if fits_broadcast(table) else table, on, how)

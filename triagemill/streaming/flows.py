@@ -7,7 +7,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triagemill.constants import OPEN_STATUSES
 from triagemill.operators.clean import alert_headline
 from triagemill.operators.decide import decision_record, gate_decision, route_to_analysts
 from triagemill.operators.events import state_changes, state_fold
@@ -75,27 +74,29 @@ def decide_stateless(stream: DataFrame, version: str = "v1", algorithm: str = "l
 def decide_stream(stream: DataFrame, workload: DataFrame, path: str | None = None) -> DataFrame:
     """Gated and routed decisions per micro-batch.
 
-    The load of an analyst is the given one plus the reviews of all earlier
-    batches, read back from the sink; a repeated batch sees the same loads.
+    After each batch the loads are written beside the decisions; the next batch
+    starts from them, so its cost does not grow with the history, and a
+    repeated batch starts from the same loads again.
     """
     def write(batch: DataFrame, number: int, folder: str) -> None:
         spark = batch.sparkSession
-        rows = f"{folder}/rows"
-        records = decide_stateless(batch)
-        staged = f"{folder}/staged/batch={number}"
-        records.write.mode("overwrite").parquet(staged)
-        records = spark.read.schema(records.schema).parquet(staged)
-        current = workload
+
+        def stored(df: DataFrame, name: str) -> DataFrame:
+            target = f"{folder}/{name}/batch={number}"
+            df.write.mode("overwrite").parquet(target)
+            return spark.read.schema(df.schema).parquet(target)
+
+        records = stored(decide_stateless(batch), "staged")
+        loads = workload.select("analyst_id", "capacity", "load")
         if number > 0:
-            done = spark.read.option("basePath", rows).parquet(rows).filter(F.col("batch") < number)
-            added = done.filter(F.col("assigned_analyst").isNotNull() & F.col("status").isin(OPEN_STATUSES))
-            added = added.groupBy(F.col("assigned_analyst").alias("analyst_id")).agg(F.count(F.lit(1)).alias("_more"))
-            current = workload.join(added, "analyst_id", "left").withColumn(
-                "load", F.col("load") + F.coalesce("_more", F.lit(0))).drop("_more")
-        reviews = records.filter("requires_human_review").drop("assigned_analyst")
-        routed = route_to_analysts(reviews, current).drop("position")
+            loads = spark.read.schema(loads.schema).parquet(f"{folder}/loads/batch={number - 1}")
+        routed = route_to_analysts(records.filter("requires_human_review").drop("assigned_analyst"), loads).drop("position")
         others = records.filter("not requires_human_review").withColumn("assigned_analyst", F.lit(None).cast("string"))
-        _put(routed.unionByName(others.select(*routed.columns)), number, folder)
+        done = stored(routed.unionByName(others.select(*routed.columns)), "rows")
+        added = done.filter(F.col("assigned_analyst").isNotNull()).groupBy(
+            F.col("assigned_analyst").alias("analyst_id")).agg(F.count(F.lit(1)).alias("_more"))
+        total = (F.col("load") + F.coalesce("_more", F.lit(0))).alias("load")
+        stored(loads.join(added, "analyst_id", "left").select("analyst_id", "capacity", total), "loads")
 
     return drain(stream, write=write, path=path)
 
