@@ -66,6 +66,13 @@ def test_positions_totals_maxima_following(frame, rows, blocks):
             best = r[3] if best is None else max(best, r[3])
 
 
+def test_hot_null_key_keeps_its_rows(frame, rows):
+    df = frame.withColumn("key", F.when(F.col("key") != "hot", F.col("key")))
+    got = positioned(df, ["key"], "t", "id", following="v", blocks=16).filter("key is null").collect()
+    want = {r[2]: i for i, r in enumerate(by_key(rows)["hot"])}
+    assert {r.id: r.position for r in got} == want
+
+
 def test_whole_table_numbering_is_the_same_for_any_partitioning(frame, rows):
     want = {r[2]: i for i, r in enumerate(sorted(rows, key=order))}
     for n in (1, 9):

@@ -1,10 +1,11 @@
 """Order-dependent computations that stay parallel when one key is hot.
 
-A window over ``partitionBy(key)`` puts a whole key into one task. Here each
-key is first cut into time-ordered blocks at quantiles of the order column
-taken over all rows, so that no (key, block) holds much more than
-``rows / blocks``; windows run inside a block and a small per-block summary
-carries the running value from one block to the next.
+A window over ``partitionBy(key)`` puts a whole key into one task. Keys with
+more rows than an average partition are found first (at most one per
+partition can exist). Without any, the plain window is used. Otherwise the hot
+keys are cut into time-ordered blocks at quantiles of their order column, the
+windows run inside a block, and a small summary per block carries the running
+values from one block to the next.
 """
 
 from __future__ import annotations
@@ -30,14 +31,34 @@ def _numeric(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
+def block_count(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4)
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], blocks: int) -> list[int]:
+    """Hashes of the keys with more than 1/blocks of all rows; fewer than ``blocks``.
+
+    One pass keeps the candidates (it misses no frequent item), a second pass
+    counts them exactly. Both read the key columns only and shuffle nothing but
+    these few counts.
+    """
+    hashed = df.select(F.xxhash64(*keys).alias("_k"))
+    candidates = hashed.freqItems(["_k"], 1.0 / blocks).first()[0] or []
+    if not candidates:
+        return []
+    kept = F.when(F.col("_k").isin(candidates), F.col("_k"))
+    counts = hashed.groupBy(kept.alias("_k")).agg(F.count(F.lit(1)).alias("n")).collect()
+    total = sum(r["n"] for r in counts)
+    return [r["_k"] for r in counts if r["_k"] is not None and r["n"] * blocks > total]
+
+
 def order_blocks(df: DataFrame, time: str, tie: str | None = None, blocks: int | None = None) -> DataFrame:
     """Add ``_block``: larger times never get a smaller block; nulls come last.
 
     ``tie`` (numeric) cuts further where very many rows share one time: such a
     time is itself a quantile, and its rows are sub-divided by ``tie``.
     """
-    spark = df.sparkSession
-    blocks = blocks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4)
+    blocks = blocks or block_count(df)
     columns = [c for c in (time, tie) if c]
     names = [f"_o{i}" for i in range(len(columns))]
     keys = df.select(*[_numeric(df, c).alias(n) for c, n in zip(columns, names)])
@@ -96,7 +117,23 @@ def positioned(
     """
     keys = list(keys)
     totals, maxima = totals or {}, maxima or {}
+    blocks = blocks or block_count(df)
+    if not keys:
+        return _by_blocks(df, keys, time, tie, then, following, totals, maxima, blocks)
+    hot = hot_keys(df, keys, blocks)
+    if not hot:
+        return _by_window(df, keys, time, tie, then, following, totals, maxima)
+    is_hot = F.xxhash64(*keys).isin(hot)
+    usual = _by_window(df.filter(~is_hot), keys, time, tie, then, following, totals, maxima)
+    return usual.unionByName(_by_blocks(df.filter(is_hot), keys, time, tie, then, following, totals, maxima, blocks))
+
+
+def _by_blocks(df, keys, time, tie, then, following, totals, maxima, blocks) -> DataFrame:
+    """Windows inside (key, block), and a per-block summary that links the blocks."""
     cut = order_blocks(df, time, tie, blocks)
+    if keys:  # a struct is never null, so rows with a null key find their summary too
+        cut = cut.withColumn("_key", F.struct(*keys))
+        keys = ["_key"]
     inside = Window.partitionBy(*keys, BLOCK).orderBy(*_sort(time, tie, then))
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
@@ -107,7 +144,6 @@ def positioned(
         local = local.withColumn(out, F.max(source).over(before))
     if following:
         local = local.withColumn(f"next_{following}", F.lead(following).over(inside))
-        local = local.withColumn("_last", F.lead(F.lit(1)).over(inside).isNull())
 
     aggregates = [F.count(F.lit(1)).alias("_size")]
     aggregates += [F.sum(c).alias(f"_sum_{o}") for o, c in totals.items()]
@@ -120,7 +156,7 @@ def positioned(
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     chosen = [
-        *keys, BLOCK,
+        *keys, BLOCK, "_size",
         F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"),
         F.sum("_size").over(whole).alias("group_size"),
     ]
@@ -137,10 +173,24 @@ def positioned(
     if following:
         out = out.withColumn(
             f"next_{following}",
-            F.when(F.col("_last"), F.col("_next_head")["v"]).otherwise(F.col(f"next_{following}")),
+            F.when(F.col("_row") == F.col("_size"), F.col("_next_head")["v"]).otherwise(F.col(f"next_{following}")),
         )
     helpers = [c for c in out.columns if c.startswith("_before_")]
-    return out.drop(BLOCK, "_row", "_offset", "_last", "_next_head", *helpers)
+    return out.drop(BLOCK, "_row", "_size", "_offset", "_next_head", "_key", *helpers)
+
+
+def _by_window(df, keys, time, tie, then, following, totals, maxima) -> DataFrame:
+    """The same columns by plain windows, for keys that fit a task."""
+    inside = Window.partitionBy(*keys).orderBy(*_sort(time, tie, then))
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    added = {
+        "position": F.row_number().over(inside).cast("long") - 1,
+        "group_size": F.count(F.lit(1)).over(Window.partitionBy(*keys))}
+    if following:
+        added[f"next_{following}"] = F.lead(following).over(inside)
+    added |= {out: F.coalesce(F.sum(c).over(upto), F.lit(0)) for out, c in totals.items()}
+    added |= {out: F.max(c).over(inside.rowsBetween(Window.unboundedPreceding, -1)) for out, c in maxima.items()}
+    return df.withColumns(added)
 
 
 def ranked_values(df: DataFrame, keys: Sequence[str], value: str, blocks: int | None = None) -> DataFrame:

@@ -69,6 +69,7 @@ class Views:
     """The views of one data folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # the times of the tables carry no zone
         self.spark, self.sf_dir = spark, sf_dir
         self._stored: dict[str, DataFrame] = {}
 
