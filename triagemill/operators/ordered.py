@@ -210,7 +210,11 @@ def ranked_values(df: DataFrame, keys: Sequence[str], value: str, blocks: int |
     ranked = sums.select(*keys, value, "copies", (F.col("upto") - F.col("copies")).alias("below"))
     if not keys:
         return ranked.withColumn("total", total.scalar())
-    return ranked.join(total, list(keys))
+    same = F.lit(True)
+    for k in keys:
+        total = total.withColumnRenamed(k, f"_g_{k}")
+        same = same & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
+    return ranked.join(total, same).drop(*[f"_g_{k}" for k in keys])
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:

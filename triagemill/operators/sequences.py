@@ -94,8 +94,9 @@ def normalised_advantage(df: DataFrame, batch: str, returns: str, values: str) -
     The moments are aggregated and joined back; no window holds a whole batch.
     """
     rows = df.withColumn("_a", F.col(returns) - F.col(values))
-    stats = rows.groupBy(batch).agg(
+    stats = rows.groupBy(F.col(batch).alias("_batch")).agg(
         F.avg("_a").alias("_mean"), F.stddev_pop("_a").alias("_std"), F.count("_a").alias("_n"))
     wide = (F.col("_n") > 1) & (F.col("_std") > 1e-8)
     scaled = F.when(wide, (F.col("_a") - F.col("_mean")) / (F.col("_std") + 1e-8)).otherwise(F.col("_a"))
-    return rows.join(stats, batch).withColumn("advantage", scaled).drop("_a", "_mean", "_std", "_n")
+    same = F.col(batch).eqNullSafe(F.col("_batch"))
+    return rows.join(stats, same).withColumn("advantage", scaled).drop("_a", "_batch", "_mean", "_std", "_n")
