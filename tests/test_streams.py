@@ -45,7 +45,7 @@ def test_decisions_carry_loads_across_batches(spark, folder):
 
 
 def test_state_stream_equals_batch(spark, folder):
-    live = ST.drain(ST.current_state_stream(activity_from(alerts_from(source(spark, folder)))), mode="update", keys=["alert_id"])
+    live = ST.current_state_stream(activity_from(alerts_from(source(spark, folder))))
     batch = current_alert_state(Views(spark, SF).activity())
     names = ["alert_id", "status", "assigned_analyst", "last_human_decision", "updated_at"]
     assert sorted(map(tuple, live.select(names).collect()), key=repr) == sorted(map(tuple, batch.select(names).collect()), key=repr)

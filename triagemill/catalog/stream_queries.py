@@ -53,7 +53,7 @@ SELECT alert_id, arg_max(status, (ts, seq)) AS status, arg_max(analyst, (ts, seq
     CASE WHEN action = 'HUMAN_APPROVED' THEN actor END AS analyst FROM activity) GROUP BY 1""")
 def k3s(v):
     events = activity_from(alerts_from(stream(v)))
-    state = ST.drain(ST.current_state_stream(events), mode="update", keys=["alert_id"])
+    state = ST.current_state_stream(events)
     return state.select("alert_id", "status", "assigned_analyst", F.unix_micros("updated_at").alias("updated_at"))
 
 

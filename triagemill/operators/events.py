@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triagemill.operators.clean import review_status
@@ -64,21 +64,30 @@ def state_changes(events: DataFrame) -> DataFrame:
         "_status": status, "_analyst": F.when(person, F.col("actor")), "_human": review})
 
 
-def state_fold() -> list[Column]:
-    """Aggregates that keep the latest setting of each field; usable in batch and in a stream."""
-    order = F.struct("ts", "seq")
+STATE_FIELDS = {"_status": "status", "_analyst": "assigned_analyst", "_human": "last_human_decision"}
+
+
+def state_delta(changes: DataFrame) -> DataFrame:
+    """Per alert, the latest setting of each field together with its time and number.
+
+    Deltas can be folded again in any grouping, so they may be taken per batch.
+    """
+    latest = [
+        F.max(F.when(F.col(name).isNotNull(), F.struct("ts", "seq", F.col(name).alias("v")))).alias(out)
+        for name, out in STATE_FIELDS.items()]
+    return changes.groupBy("alert_id").agg(*latest, F.max("ts").alias("updated_at"))
 
-    def latest(name: str) -> Column:
-        return F.max_by(name, F.when(F.col(name).isNotNull(), order))
 
-    return [
-        latest("_status").alias("status"), latest("_analyst").alias("assigned_analyst"),
-        latest("_human").alias("last_human_decision"), F.max("ts").alias("updated_at")]
+def fold_deltas(deltas: DataFrame) -> DataFrame:
+    """One row per alert from any number of deltas."""
+    t = deltas.groupBy("alert_id").agg(*[F.max(c).alias(c) for c in (*STATE_FIELDS.values(), "updated_at")])
+    return t.select("alert_id", *[F.col(f"{c}.v").alias(c) for c in STATE_FIELDS.values()], "updated_at")
 
 
 def current_alert_state(events: DataFrame) -> DataFrame:
-    """One row per alert from its events; folded map-side, no sort."""
-    return state_changes(events).groupBy("alert_id").agg(*state_fold())
+    """One row per alert from its events; folded map-side."""
+    t = state_delta(state_changes(events))
+    return t.select("alert_id", *[F.col(f"{c}.v").alias(c) for c in STATE_FIELDS.values()], "updated_at")
 
 
 def cycle_counts(alerts: DataFrame, reviews: DataFrame, activity: DataFrame) -> DataFrame:

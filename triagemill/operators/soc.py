@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triagemill.constants import OPEN_STATUSES
+from triagemill.constants import ACTIONS, OPEN_STATUSES
 from triagemill.functions.missing import present
+from triagemill.functions.rewards import action_name, code_of
 from triagemill.operators.ordered import exact_percentiles
 
 TRUTH_NAMES = ["IncidentGrade", "incident_grade", "ground_truth", "GroundTruth", "grade"]
@@ -20,20 +21,23 @@ def pair_events(events: DataFrame) -> DataFrame:
     """Per alert: first import, first inference with its action, first human event.
 
     One map-side combined aggregate replaces a lookup per alert. Alerts without
-    both an import and an inference are left out.
+    both an import and an inference are left out. All buffers are numbers (the
+    action is packed under its time), so Spark can aggregate in a hash map
+    without sorting.
     """
     action = F.col("action")
     human = action.startswith("HUMAN_")
-    inferred = action == "AGENT_INFERENCE"
+    code = F.coalesce(code_of(F.col("decided"), ACTIONS), F.lit(len(ACTIONS)))
+    packed = F.unix_micros("ts") * 4 + code
     per = events.groupBy("alert_id").agg(
         F.min(F.when(action == "ALERT_IMPORTED", F.col("ts"))).alias("received"),
-        F.min(F.when(inferred, F.struct("ts", "decided"))).alias("_first"),
+        F.min(F.when(action == "AGENT_INFERENCE", packed)).alias("_first"),
         F.min(F.when(human, F.col("ts"))).alias("human_at"),
         F.min(F.when(human & (F.col("actor") != "system"), F.col("ts"))).alias("analyst_at"),
     )
     return per.filter(F.col("received").isNotNull() & F.col("_first").isNotNull()).select(
-        "alert_id", "received", F.col("_first.ts").alias("decided_at"), F.col("_first.decided").alias("decided"),
-        "human_at", "analyst_at")
+        "alert_id", "received", F.timestamp_micros(F.shiftright("_first", 2)).alias("decided_at"),
+        action_name(F.pmod("_first", F.lit(4))).alias("decided"), "human_at", "analyst_at")
 
 
 def timings(paired: DataFrame, human_only: bool = False) -> DataFrame:

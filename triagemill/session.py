@@ -13,6 +13,9 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+_local_folder: list[str] = []  # used in local mode only, when no shared folder is named
+
+
 def get_session(app: str = "triagemill", master: str | None = None, **conf) -> SparkSession:
     """A UTC session with adaptive execution; every setting can be overridden."""
     builder = (
@@ -40,9 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="triagemill-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not _local_folder:
+        _local_folder.append(tempfile.mkdtemp(prefix="triagemill-"))
+    return _local_folder[0]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from triagemill.operators.clean import alert_headline
 from triagemill.operators.decide import decision_record, gate_decision, route_to_analysts
-from triagemill.operators.events import state_changes, state_fold
+from triagemill.operators.events import fold_deltas, state_changes, state_delta
 from triagemill.operators.joins import route_by_prefix
 from triagemill.operators.soc import seconds_between
 from triagemill.session import scratch_path
@@ -101,9 +101,16 @@ def decide_stream(stream: DataFrame, workload: DataFrame, path: str | None = Non
     return drain(stream, write=write, path=path)
 
 
-def current_state_stream(events: DataFrame) -> DataFrame:
-    """Latest status, analyst and human decision per alert, kept up to date."""
-    return state_changes(events).groupBy("alert_id").agg(*state_fold())
+def current_state_stream(events: DataFrame, path: str | None = None) -> DataFrame:
+    """Latest status, analyst and human decision per alert.
+
+    Each micro-batch writes the deltas of its alerts; the table folds them when
+    read. The state is the table, so it does not grow in executor memory.
+    """
+    def write(batch: DataFrame, number: int, folder: str) -> None:
+        _put(state_delta(batch), number, folder)
+
+    return fold_deltas(drain(state_changes(events), write=write, path=path))
 
 
 def latency_stream(imports: DataFrame, inferences: DataFrame, delay: str = "1 hour", within: str = "1 hour") -> DataFrame:
