@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from triagemill.catalog.base import query
-from triagemill.constants import CATEGORICALS
 from triagemill.functions import missing as M
 from triagemill.functions import rewards as R
 from triagemill.operators import clean as C
@@ -202,3 +201,10 @@ def b19(v):
     a = v.alerts().select("event_id", (F.col("value") / 7).alias("confidence"),
                           F.array(F.col("value") / 3, F.lit(1.0)).alias("state"))
     return C.round_scores(a, "confidence", "state").select("event_id", "confidence", F.get("state", F.lit(0)).alias("first_entry"))
+
+
+@query("B16_humanize", """
+SELECT alert_id, CASE k % 3 WHEN 0 THEN 'Human Review' WHEN 1 THEN 'MODEL ALLOWED' ELSE 'Double Dqn' END AS shown FROM alerts""")
+def b16h(v):
+    names = ["human_review", "MODEL_ALLOWED", "double-dqn"]
+    return v.alerts().select("alert_id", C.humanize(pick(F.col("k") % 3, names)).alias("shown"))

@@ -17,13 +17,13 @@ def d1(v):
 
 
 @query("D2_split_overlap", """
-WITH m AS (SELECT user_id, bool_or(is_train) AS tr, bool_or(NOT is_train) AS te, bool_or(k % 10 = 3 AND event_id % 5 = 0) AS li FROM alerts GROUP BY 1)
+WITH m AS (SELECT user_id, bool_or(is_train) AS tr, bool_or(NOT is_train) AS te, bool_or(category = 'error') AS li FROM alerts GROUP BY 1)
 SELECT 'train' AS "left", 'test' AS "right", count(*) FILTER (WHERE tr AND te) AS shared FROM m
 UNION ALL SELECT 'train', 'live', count(*) FILTER (WHERE tr AND li) FROM m UNION ALL SELECT 'test', 'live', count(*) FILTER (WHERE te AND li) FROM m""")
 def d2(v):
     a = v.alerts_leaky()
     return SP.split_overlap({
-        "train": a.filter("is_train"), "test": a.filter("not is_train"), "live": a.filter("k % 10 = 3 and event_id % 5 = 0")})
+        "train": a.filter("is_train"), "test": a.filter("not is_train"), "live": a.filter("category = 'error'")})
 
 
 @query("D3_incident_split", f"""
@@ -39,19 +39,22 @@ def d3e(v):
     return SP.incident_split_exact(v.alerts())
 
 
-IDS = "SELECT DISTINCT incident_id FROM alerts WHERE k < 10"
+IDS = "SELECT DISTINCT incident_id FROM alerts WHERE grade = 'TruePositive' AND suspicion = 'High'"
+
+
+SEVERE = "grade = 'TruePositive' and suspicion = 'High'"
 
 
 @query("D4_partition_rows_in", f"SELECT alert_id FROM alerts WHERE incident_id IN ({IDS})")
 def d4(v):
     a = v.alerts()
-    return SP.partition_rows(a, SP.distinct_ids(a.filter("k < 10")))[0].select("alert_id")
+    return SP.partition_rows(a, SP.distinct_ids(a.filter(SEVERE)))[0].select("alert_id")
 
 
 @query("D4_partition_rows_out", f"SELECT alert_id FROM alerts WHERE incident_id NOT IN ({IDS})")
 def d4o(v):
     a = v.alerts()
-    return SP.partition_rows(a, SP.distinct_ids(a.filter("k < 10")))[1].select("alert_id")
+    return SP.partition_rows(a, SP.distinct_ids(a.filter(SEVERE)))[1].select("alert_id")
 
 
 @query("D5_attach_lineage", """

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from triagemill.catalog.base import query
 from triagemill.catalog.decide_queries import STAFF, slots, staff
-from triagemill.catalog.queue_queries import k3  # noqa: F401  (batch form of the state fold)
 from triagemill.catalog.soc_queries import rounded
 from triagemill.plans.views import REQUEST_COMPONENTS, activity_from, alerts_from, requests_from
 from triagemill.streaming import flows as ST

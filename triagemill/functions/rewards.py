@@ -42,11 +42,6 @@ def best_reward(df: DataFrame) -> DataFrame:
     })
 
 
-def reward_of_action(action: Column) -> Column:
-    """Reward of the chosen action from the ``r_*`` columns."""
-    return F.get(F.array(*[F.col(f"r_{name}") for name in ACTIONS]), action.cast("int"))
-
-
 def grade_name(code: Column, strict: bool = False) -> Column:
     known = code.between(0, len(GRADES) - 1)
     name = F.get(F.array(*[F.lit(g) for g in GRADES]), F.when(known, code).cast("int"))

@@ -22,12 +22,6 @@ def softmax(values: Column) -> Column:
     return F.transform(weights, lambda w: w / mass)
 
 
-def second_largest(values: Column) -> Column:
-    """Second entry of the values in falling order (equal to the first on a tie)."""
-    ordered = F.array_sort(values)
-    return F.get(ordered, F.greatest(F.size(ordered) - 2, F.lit(0)))
-
-
 def constrained_max(values: Column, likelihood: Column, share: float = 0.05) -> Column:
     """First greatest value among actions the behaviour takes often enough."""
     bound = F.array_max(likelihood) * F.lit(share)

@@ -157,3 +157,10 @@ def round_scores(df: DataFrame, confidence: str, observation: str) -> DataFrame:
         confidence: F.round(confidence, 6),
         observation: F.transform(observation, lambda x: F.round(x, 8)),
     })
+
+
+def humanize(text: Column) -> Column:
+    """Underscores and hyphens to spaces, first letter of each word in upper case."""
+    spaced = F.regexp_replace(text, "[_-]", " ")
+    words = F.transform(F.split(spaced, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))))
+    return F.array_join(words, " ")

@@ -154,8 +154,8 @@ def decision_events(decisions: DataFrame, errors: DataFrame | None = None) -> Da
     routing = event(2, "HUMAN_REVIEW_ROUTED", "system", [
         none.alias("decided"), F.coalesce("uncertainty_reason", F.lit("MODEL_REQUESTED_REVIEW")).alias("reason"),
         F.col("assigned_analyst").alias("analyst_id")])
-    events = F.filter(F.array(inference, F.when(F.col("requires_human_review"), routing)), lambda e: e.isNotNull())
-    out = decisions.select("alert_id", "cycle_id", "ts", F.inline(events))
+    events = F.array(inference, F.when(F.col("requires_human_review"), routing))
+    out = decisions.select("alert_id", "cycle_id", "ts", F.inline(events)).filter("action is not null")
     if errors is not None:
         failed = event(1, "AGENT_INFERENCE_ERROR", "system", [
             none.alias("decided"), F.col("error").alias("reason"), none.alias("analyst_id")])

@@ -52,7 +52,7 @@ def state_changes(events: DataFrame) -> DataFrame:
     """What each event sets: status, analyst, human decision (null = leaves it)."""
     action = F.col("action")
     person = action.startswith("HUMAN_") & (action != "HUMAN_REVIEW_ROUTED")
-    review = F.when(person, F.substring(action, 7, 100))
+    review = F.when(person, F.substr(action, F.lit(7)))
     status = (
         F.when(action == "ALERT_IMPORTED", "WAITING_INFERENCE")
         .when(action == "HUMAN_REVIEW_ROUTED", "HUMAN_REVIEW_PENDING")

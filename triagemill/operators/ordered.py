@@ -217,27 +217,36 @@ def ranked_values(df: DataFrame, keys: Sequence[str], value: str, blocks: int |
     return ranked.join(total, same).drop(*[f"_g_{k}" for k in keys])
 
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
-    """Exact percentiles with linear interpolation, one row per key.
+def _at_rank(rank: Column, value: str) -> Column:
+    return F.max(F.when((F.col("below") <= rank) & (rank < F.col("below") + F.col("copies")), F.col(value)))
+
 
-    Rank arithmetic on merged values: nothing is gathered into one task, so it
-    holds for any number of distinct values.
+def value_summary(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
+    """Count, mean, extremes and exact percentiles (linear interpolation) per key.
+
+    Everything comes from the merged values, so the input is read once, and
+    rank arithmetic gathers nothing into one task.
     """
     ranked = ranked_values(df, keys, value)
-    aggregates = []
+    aggregates = [
+        F.coalesce(F.sum("copies"), F.lit(0)).alias("count"), (F.sum(F.col(value) * F.col("copies")) / F.sum("copies")).alias("mean"),
+        F.max(value).alias("max"), F.min(value).alias("min")]
     for out, q in points.items():
         spot = (F.col("total") - 1) * F.lit(float(q))
         low, high = F.floor(spot), F.ceil(spot)
-
-        def at(rank):
-            return F.max(F.when((F.col("below") <= rank) & (rank < F.col("below") + F.col("copies")), F.col(value)))
-
-        aggregates += [at(low).alias(f"_lo_{out}"), at(high).alias(f"_hi_{out}"), F.max(spot - low).alias(f"_w_{out}")]
+        aggregates += [
+            _at_rank(low, value).alias(f"_lo_{out}"), _at_rank(high, value).alias(f"_hi_{out}"),
+            F.max(spot - low).alias(f"_w_{out}")]
     found = ranked.groupBy(*keys).agg(*aggregates)
     return found.select(
-        *keys,
+        *keys, "count", "mean", "max", "min",
         *[
             (F.col(f"_lo_{o}") + (F.col(f"_hi_{o}") - F.col(f"_lo_{o}")) * F.col(f"_w_{o}")).alias(o)
             for o in points
         ],
     )
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
+    """Only the percentiles of :func:`value_summary`."""
+    return value_summary(df, keys, value, points).select(*keys, *points)

@@ -57,10 +57,6 @@ def target_distribution(df: DataFrame, target: str) -> DataFrame:
     return counts.withColumn("percent", F.col("rows") * 100.0 / F.sum("rows").over(Window.partitionBy()))
 
 
-def _as_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(*[F.col(c).cast("string").alias(c) for c in columns])
-
-
 def value_counts(df: DataFrame, columns: Sequence[str], target: str | None = None) -> DataFrame:
     """(column, value[, target]) counts of all columns in one pass, null as a value."""
     keep = [] if target is None else [F.col(target).cast("string").alias("_target")]

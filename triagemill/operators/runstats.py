@@ -141,11 +141,9 @@ def stability_flags(
 
 def steps_to_threshold(history: DataFrame, target: float, value: str, updates: str, run: str = "run_id", epoch: str = "epoch") -> DataFrame:
     """First epoch of each run at or above the target, N/A when there is none."""
-    hit = F.min(F.when(F.col(value) >= target, F.struct(F.col(epoch).alias("e"), F.col(updates).alias("u"))))
-    t = history.groupBy(run).agg(hit.alias("_h"))
-    return t.select(
-        run, F.col("_h.e").alias("epoch"), F.col("_h.u").alias("updates"),
-        F.when(F.col("_h").isNull(), "N/A").otherwise("available").alias("status"))
+    reached = F.when(F.col(value) >= target, F.col(epoch))
+    t = history.groupBy(run).agg(F.min(reached).alias("epoch"), F.min_by(updates, reached).alias("updates"))
+    return t.withColumn("status", F.when(F.col("epoch").isNull(), "N/A").otherwise("available"))
 
 
 def latest_by_time(df: DataFrame, key: str, columns: Sequence[str], time: str, tie: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from triagemill.constants import ACTIONS, OPEN_STATUSES
 from triagemill.functions.missing import present
 from triagemill.functions.rewards import action_name, code_of
-from triagemill.operators.ordered import exact_percentiles
+from triagemill.operators.ordered import exact_percentiles, value_summary
 
 TRUTH_NAMES = ["IncidentGrade", "incident_grade", "ground_truth", "GroundTruth", "grade"]
 
@@ -55,15 +55,9 @@ def timings(paired: DataFrame, human_only: bool = False) -> DataFrame:
 
 def decision_latency(timed: DataFrame) -> DataFrame:
     """Count, mean, median, p95, extremes of the latency in one row."""
-    plain = timed.agg(
-        F.count("latency").alias("count"), F.avg("latency").alias("mean_seconds"),
-        F.max("latency").alias("max_seconds"), F.min("latency").alias("min_seconds"))
-    ranks = exact_percentiles(timed, [], "latency", {"median_seconds": 0.5, "p95_seconds": 0.95})
-    both = ranks.select(F.struct("*")).scalar()
-    out = plain.withColumn("_p", both)
-    return out.select(
-        "count", "mean_seconds", F.col("_p.median_seconds").alias("median_seconds"),
-        F.col("_p.p95_seconds").alias("p95_seconds"), "max_seconds", "min_seconds",
+    t = value_summary(timed, [], "latency", {"median": 0.5, "p95": 0.95})
+    return t.select(
+        "count", *[F.col(c).alias(f"{c}_seconds") for c in ("mean", "median", "p95", "max", "min")],
         F.when(F.col("count") > 0, "available").otherwise("N/A").alias("status"))
 
 

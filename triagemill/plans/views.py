@@ -223,8 +223,8 @@ def activity_from(alerts: DataFrame) -> DataFrame:
     )
     return g.select(
         "alert_id", "event_id", F.concat(F.lit("C"), F.date_format("ts", "yyyyMMdd")).alias("cycle_id"),
-        F.inline(F.filter(events, lambda e: e.isNotNull())),
-    )
+        F.inline(events),
+    ).filter("action is not null")
 
 
 def requests_from(events: DataFrame) -> DataFrame:
