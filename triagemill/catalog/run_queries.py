@@ -173,17 +173,17 @@ def g15(v):
 
 
 IQM = """WITH r AS (SELECT {key} AS g, score, row_number() OVER (PARTITION BY {key} ORDER BY score) - 1 AS rn, count(*) OVER (PARTITION BY {key}) AS n FROM run_history)
-SELECT {out}round(avg(score) FILTER (WHERE rn >= CASE WHEN n >= 4 THEN n // 4 ELSE 0 END AND rn < n - CASE WHEN n >= 4 THEN n // 4 ELSE 0 END), 6) AS iqm, max(n) AS n FROM r GROUP BY g"""
+SELECT {out}round(avg(score) FILTER (WHERE rn >= CASE WHEN n >= 4 THEN n // 4 ELSE 0 END AND rn < n - CASE WHEN n >= 4 THEN n // 4 ELSE 0 END) + 1e-9, 6) AS iqm, max(n) AS n FROM r GROUP BY g"""
 
 
 @query("G19_iqm", IQM.format(key="run_id", out="g AS run_id, "))
 def g19(v):
-    return rounded(RS.iqm(v.run_history(), ["run_id"], "score"))
+    return rounded(RS.iqm(v.run_history(), ["run_id"], "score").withColumn("iqm", F.col("iqm") + 1e-9))
 
 
 @query("G19_iqm_overall", IQM.format(key="1", out=""))
 def g19o(v):
-    return rounded(RS.iqm(v.run_history(), [], "score"))
+    return rounded(RS.iqm(v.run_history(), [], "score").withColumn("iqm", F.col("iqm") + 1e-9))
 
 
 FINALS = "finals AS (SELECT run_id, seed, arg_max(score, epoch) AS final_return FROM run_history GROUP BY 1, 2)"
