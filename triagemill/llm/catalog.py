@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagemill.llm import chat, decontam, urlgraph, warc
+from triagemill.llm import chat, decontam, tokenbin, tokencount, urlgraph, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,6 +84,19 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+@query()
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to shards and read back."""
+    path = tokenbin.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return tokenbin.read_tokens(spark, path)
+
+
+@query()
+def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document."""
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 512)
+
+
 @query(r"""
 WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
 q AS (SELECT *, min(page_id) OVER (PARTITION BY h, n) AS f FROM p)

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import io
+import tempfile
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -32,3 +37,22 @@ def can_send(table: DataFrame) -> bool:
 def sent(table: DataFrame) -> DataFrame:
     """The table with a broadcast hint if its counted size allows that."""
     return F.broadcast(table) if can_send(table) else table
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once per application, for the operators that run Python there."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    path = Path(tempfile.mkdtemp(prefix="triagemill-code-")) / "triagemill.zip"
+    path.write_bytes(data.getvalue())
+    spark.sparkContext.addPyFile(str(path))
+    _shipped.add(app)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagemill.llm.common import sent
+from triagemill.llm.common import sent, ship
 from triagemill.session import scratch_path, settle
 
 KEYED, NAMESPACE = 1 << 61, 0x5741524300000000
@@ -93,6 +93,7 @@ def to_arc(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
                 out = [arc_record(u, (h or "").encode(), k, 1 + (k or 0) % 2) for k, u, h in zip(*(c.to_pylist() for c in some.columns))]
                 yield pa.RecordBatch.from_pydict({"arc": pa.array(out, pa.binary())})
 
+    ship(pages.sparkSession)
     return pages.select(F.col(key).cast("bigint"), F.col(url), F.col(html)).mapInArrow(write, "arc binary")
 
 
@@ -134,6 +135,7 @@ def _converted(arcs: DataFrame, whole: bool) -> DataFrame:
 def write_warc(arcs: DataFrame, path: str | None = None, min_bytes: int = 0) -> str:
     """Convert ARC records and write the archives; returns their folder."""
     spark = arcs.sparkSession
+    ship(spark)
     path = path or scratch_path(spark, "warc")
     first = F.min(F.struct("key", "record_id", "uri", "date"))
     seen = _converted(arcs, False).filter(F.col("payload_bytes") >= min_bytes).groupBy("digest", "payload_bytes").agg(
@@ -181,5 +183,6 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))],
                     ["key", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(read, "key long, payload_bytes long, payload_digest string, record_type string, refers_to long")
