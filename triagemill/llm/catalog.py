@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagemill.llm import chat, decontam, ngram_join, tokenbin, tokencount, topk, toxicity, urlgraph, warc
+from triagemill.llm import chat, decontam, mixing, ngram_join, tokenbin, tokencount, topk, toxicity, urlgraph, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,6 +53,30 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         decontam.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
+@query(r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    CAST(concat('0x', substr(md5(CAST(doc_id AS VARCHAR)), 1, 15)) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS HUGEINT) AS n, CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS HUGEINT) AS w FROM d GROUP BY source),
+c AS (SELECT *, coalesce(sum(3 * n) OVER o, 0) AS taken, coalesce(sum(w) OVER o, 0) AS gone, (SELECT sum(n) FROM s) AS t, (SELECT sum(w) FROM s) AS ws
+  FROM s WINDOW o AS (ORDER BY 3e0 * n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, 3 * n * (ws - gone) < w * (t - taken) AS is_full FROM c),
+r AS (SELECT (SELECT any_value(t) FROM f) - coalesce(sum(3 * n) FILTER (WHERE is_full), 0) AS free,
+    (SELECT any_value(ws) FROM f) - coalesce(sum(w) FILTER (WHERE is_full), 0) AS left_w FROM f),
+p AS (SELECT source, CAST(n AS BIGINT) AS source_size, CASE WHEN is_full THEN CAST(3 * n AS DOUBLE) ELSE CAST(w * free AS DOUBLE) / CAST(left_w AS DOUBLE) END AS target,
+    CASE WHEN n = 0 THEN 0 WHEN is_full THEN 3 ELSE (w * free) // (n * left_w) END AS base,
+    CASE WHEN n = 0 OR is_full THEN 0 ELSE w * free - ((w * free) // (n * left_w)) * n * left_w END AS rest, left_w FROM f, r),
+g AS (SELECT source, h, sum(size) AS size FROM d GROUP BY source, h),
+k AS (SELECT source, h, size, sum(size) OVER (PARTITION BY source ORDER BY h) - size AS before FROM g)
+SELECT doc_id, CAST(d.size AS BIGINT) AS size, source_size, target,
+  CAST(d.size * (base + CASE WHEN rest > 0 AND (2 * before + k.size) * left_w <= 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN k ON k.source IS NOT DISTINCT FROM d.source AND k.h = d.h""")
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a mix of weights 1, 2, 3 takes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.apply_mix(docs, mixing.mix_plan(docs, (1, 2, 3), 3))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 @query(r"""
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
   SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),

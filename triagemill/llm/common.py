@@ -8,8 +8,11 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from triagemill.session import settle
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # a settled side may be broadcast up to these counted sizes; beyond them the join is shuffled
 SEND_ROWS = 200_000
@@ -56,3 +59,14 @@ def ship(spark: SparkSession) -> None:
     path.write_bytes(data.getvalue())
     spark.sparkContext.addPyFile(str(path))
     _shipped.add(app)
+
+
+def numbered(table: DataFrame, *order: Column) -> DataFrame:
+    """The table with ``number`` (from 0) by ``order``: rows are dealt by range and each part is counted on."""
+    dealt = table.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = settle(dealt.withColumn("_part", F.spark_partition_id()), "numbered")
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row per part
+    base = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    place = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
+    return parts.join(sent(settle(base, "parts")), "_part").withColumn("number", F.col("_base") + place).drop("_part", "_base")

@@ -185,7 +185,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, text_key (hash of the text), n_shingles, component_id of every row; links need ``num / den`` similarity."""
+    """key, text_key (hash of the text), n_shingles, component_id and group of every row.
+
+    Rows are linked from a similarity of ``num / den`` on; ``group`` numbers the components (null for empty sets).
+    """
     ship(docs.sparkSession)
     source = docs.select(
         F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).cast("binary").alias("t"))
@@ -222,11 +225,30 @@ def jaccard_join(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN, ke
     # the smallest document id of each component
     labelled = nodes.select("node", "d1", "d2", "least").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = labelled.join(smallest, "root").select("d1", "d2", "component_id", F.lit(True).alias("has"))
+    labelled = labelled.join(smallest, "root").select("d1", "d2", "component_id", F.col("root").alias("group"))
     out = rows.select("doc_id", "text_key", "n", "d1", "d2").join(labelled, ["d1", "d2"], "left")
     return out.select(
         F.col("doc_id").alias(key), "text_key", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "group")
+
+
+def keep_one(docs: DataFrame, groups: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents less all but one of each group: the one with the smallest id stays (without ids, the one with the
+    smallest hash of its text).  Rows with an empty set stay."""
+    pair = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("text_key").alias("h"))
+    rows = settle(groups.filter(F.col("group").isNotNull()).groupBy("group", pair.alias("p")).agg(F.count(F.lit(1)).alias("times")), "groups")
+    best = rows.groupBy("group").agg(F.min("p").alias("best"), F.sum("times").alias("all")).filter("all > 1")
+    met = settle(rows.join(best, "group").select("p.id", "p.h", (F.col("p") == F.col("best")).alias("stays"), "times"), "copies")
+    marked = docs.withColumn("_h", F.xxhash64(F.col(text)))
+    same = lambda t: F.col(key).eqNullSafe(t["id"]) & (F.col("_h") == t["h"])
+    gone = sent(settle(met.filter("not stays").select("id", "h").distinct(), "gone"))
+    left = marked.join(gone, same(gone), "left_anti")
+    again = settle(met.filter("stays and times > 1").select("id", "h"), "again")
+    if again.take(1):  # the document that stays is there in several rows
+        again = sent(again)
+        one = left.join(again, same(again), "left_semi").dropDuplicates([key, "_h"])
+        left = left.join(again, same(again), "left_anti").unionByName(one)
+    return left.drop("_h")
 
 
 def _sized(products: DataFrame, size: DataFrame) -> DataFrame:

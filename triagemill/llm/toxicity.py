@@ -216,3 +216,20 @@ def score_texts(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
 
     rows = docs.select(F.col(key).cast("bigint").alias(key), F.xxhash64(F.col(text)).alias("text_key"), text)
     return rows.mapInArrow(run, f"`{key}` long, text_key long, score double")
+
+
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The documents, with all their columns, whose score is below the threshold."""
+    spark = docs.sparkSession
+    ship(spark)
+    shared, place = spark.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Lexicon(shared.value)
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                some = b.slice(i, 512)
+                worst = np.array([words.worst(t or "", window) for t in some.column(place).to_pylist()])
+                yield some.filter(pa.array(shared.value.score(worst) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
