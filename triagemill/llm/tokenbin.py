@@ -22,6 +22,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,8 +38,9 @@ from triagemill.llm.tokencount import tokenizer
 from triagemill.session import scratch_path, settle
 
 MAGIC, SAMPLE = b"EFTOK001", 256
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 SHARD_BYTES = 16 * 1024 * 1024
-REMEMBERED = 600_000  # distinct words whose ids a worker keeps; beyond, they are encoded again when met again
+REMEMBERED = 1_000_000  # distinct words whose ids a worker keeps; beyond, they are encoded again when met again
 
 
 class EliasFano:
@@ -108,36 +110,69 @@ class Words:
         self.tok, self.known = tokenizer(path), {}
         width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.kind, self.width = f"<u{width}", width
+        # byte-level vocabularies write a byte as a printable character: itself, or the next free one from 256 up
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        self.shown = {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*shown}))}
+        self.letters = self._lowers_letters()
+
+    def _lowers_letters(self) -> bool:
+        """Whether the tokenizer lower-cases and makes one pre-token of a run of Latin letters (tried on all of them)."""
+        run = "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7) + "abcdefghijklmnopqrstuvwxyz"
+        ids = lambda t: self.tok.encode(t, add_special_tokens=False).ids
+        pairs = [a + b for a, b in zip(run, run[1:])] + [run, run[::-1]]
+        return all(ids(p.upper() if "ß" not in p and "ÿ" not in p else p) == self._merged(p) for p in pairs)
+
+    def _merged(self, word: str) -> list[int]:
+        """Merges alone, for a word that is one pre-token."""
+        return [t.id for t in self.tok.model.tokenize(word.encode().decode("latin-1").translate(self.shown))]
+
+    def _ids(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Latin words go to the merges at once, the rest through the whole tokenizer."""
+        out, rest, whole = {}, [], LATIN.fullmatch
+        for w in words:
+            text = w.decode()
+            if self.letters and whole(text):
+                ids = self._merged(text.lower())
+                out[w] = struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+            else:
+                rest.append(w)
+        return out | self._encoded(rest)
 
     def _encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Many words in one call; offsets tell whose the tokens are."""
-        out = {}
-        for i in range(0, len(words), 2000):
-            some = [w.decode() for w in words[i:i + 2000]]
-            got = self.tok.encode(" ".join(some), add_special_tokens=False)
-            ends = np.cumsum([len(w) + 1 for w in some])
-            ids = np.array(got.ids, self.kind)
-            starts = np.array([o[0] for o in got.offsets], np.int64)
-            cuts = np.searchsorted(starts, ends)
-            at = 0
-            for w, cut in zip(words[i:i + 2000], cuts):
-                out[w], at = ids[at:cut].tobytes(), cut
+        out, width = {}, self.width
+        for i in range(0, len(words), 4000):
+            some = words[i:i + 4000]
+            joined = b" ".join(some).decode()
+            got = self.tok.encode(joined, add_special_tokens=False)
+            gaps = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le"), "<u4") == 32)
+            starts = np.fromiter((o[0] for o in got.offsets), np.int64, len(got.ids))
+            cuts = [*(np.searchsorted(starts, gaps) * width).tolist(), len(starts) * width]
+            ids, at = np.array(got.ids, self.kind).tobytes(), 0
+            for w, cut in zip(some, cuts, strict=True):
+                out[w] = ids[at:cut]
+                at = cut
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        known = self.known
         split = [x.split() for x in texts]
-        new = set().union(*split) - self.known.keys()
-        if new:
-            stems = {w: w[:-1] for w in new if len(w) > 1 and w[-1:] in b",." and w[-2:-1].isalnum()}
-            need = (new | {*stems.values()} | {b",", b"."}) - self.known.keys() - stems.keys()
-            self.known |= self._encoded(sorted(need))
-            for w, stem in stems.items():
-                self.known[w] = self.known[stem] + self.known[w[-1:]]
-            new |= need
-        out = [b"".join(map(self.known.__getitem__, ws)) for ws in split]
-        if len(self.known) > REMEMBERED:
-            for w in new:
-                del self.known[w]
+        new = [w for w in set().union(*split) if w not in known]
+        # a word is looked up by its plain form: lower case, and without the final sign that is a token of its own
+        plain, signs = [], []
+        for w in new:
+            sign = w[-1:] if w[-1:] in (b",", b".") and w[-2:-1].isalnum() else b""
+            signs.append(sign)
+            if sign:
+                w = w[:-1]
+            plain.append(w.lower() if w.isascii() and b"<|" not in w else w)
+        ids = self._ids(sorted({x for x in plain if x not in known} | {b",", b"."}))
+        known.update((w, (ids[x] if x in ids else known[x]) + (ids[sign] if sign else b"")) for w, x, sign in zip(new, plain, signs))
+        known.update(ids)
+        out = [b"".join(map(known.__getitem__, ws)) for ws in split]
+        if len(known) > REMEMBERED:
+            for w in {*new, *plain}:
+                known.pop(w, None)
         return out
 
 

@@ -73,7 +73,7 @@ class Counter:
 
     def counts(self, texts: list[str]) -> list[int]:
         pieces = [self.piece.findall(x) if self._simple(x) else None for x in texts]
-        new = list(set().union(*(p for p in pieces if p)) - self.cost.keys())
+        new = [p for p in set().union(*(p for p in pieces if p)) if p not in self.cost]
         self.cost.update(zip(new, map(len, self.tok.encode_batch_fast(new, add_special_tokens=False))))
         cost = self.cost.__getitem__
         out = [len(self.tok.encode(x, add_special_tokens=False)) if p is None else sum(map(cost, p)) for x, p in zip(texts, pieces)]
