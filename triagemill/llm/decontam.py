@@ -122,17 +122,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
         parts = []
         for k, w in windows.items():
             prints = fingerprints(source, k, w).select("_id", "_key", "_at", "_hash")
-            met = prints.join(grams[k], "_hash").withColumnRenamed("_id", "_doc")
-            back = source.distinct().withColumnRenamed("_id", "_doc")
-            met = met.join(back, met["_doc"].eqNullSafe(back["_doc"]) & met["_key"].eqNullSafe(back["_key"])).select(
-                back["_doc"], back["_key"], "_words", "_item", "_at", "_need", "i_gram", "i_left", "i_right")
-            met = met.select("*", *_around("d", k, reach))
-            parts.append(met.select("_doc", "_key", *_extended(k, reach)).filter(F.col("_span").isNotNull()))
-        found = reduce(DataFrame.union, parts).groupBy("_doc", "_key").agg(
+            met = prints.join(grams[k], "_hash").withColumnsRenamed({"_id": "_doc", "_key": "_text"})
+            met = met.join(source.distinct(), F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_text").eqNullSafe(F.col("_key")))
+            met = met.select("_doc", "_text", "_item", "_at", "_need", "i_gram", "i_left", "i_right", *_around("d", k, reach))
+            parts.append(met.select("_doc", "_text", *_extended(k, reach)).filter(F.col("_span").isNotNull()))
+        found = reduce(DataFrame.union, parts).groupBy("_doc", "_text").agg(
             F.collect_set("_span").alias("_spans"), F.collect_set("_item").alias("_items"))
         plain = source.select("_id", "_key", F.size("_words").alias("_n"))
-        rows = plain.join(found, plain["_id"].eqNullSafe(found["_doc"]) & plain["_key"].eqNullSafe(found["_key"]), "left")
-        rows = rows.select(plain["_id"], plain["_key"], "_n", "_spans", "_items")
+        rows = plain.join(found, F.col("_id").eqNullSafe(F.col("_doc")) & F.col("_key").eqNullSafe(F.col("_text")), "left")
     spans = F.array_sort(F.coalesce("_spans", F.array().cast("array<struct<start:int,end:int>>")))
     rows = rows.withColumn("spans", _merged(spans))
     length = F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + x["end"] - x["start"])

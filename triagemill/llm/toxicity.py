@@ -11,7 +11,7 @@ The model is fitted on a bounded sample of labelled rows (``per_class`` texts of
 hashes of their id); every text is scored, wholly.  The softmax is linear, so a word's contribution is one number and
 scoring a text is a running mean of numbers.
 
-Cases: null and empty texts have no words and get the score of an empty window; labels that are null, or of ids that
+Cases: null and empty texts have no words and get the score of the middle clean text of the sample; labels that are null, or of ids that
 have no text, are not used; of several labels of an id the largest counts; without both classes every score is the share
 of toxic labels (0 without labels); repeated rows give repeated rows; an empty table gives no rows; other columns are
 ignored.
@@ -50,6 +50,7 @@ class Model:
     bias: float
     slope: float
     shift: float
+    blank: float = 0.0  # the window value of a text without words: that of the middle clean text
 
     def word(self, word: str) -> float:
         return float(self.values[subwords(word)].mean())
@@ -161,8 +162,9 @@ def fit(sample: list[tuple[str, int]], window: int = WINDOW, rounds: int = 14, s
     if len(set(labels[check].tolist())) < 2:
         check = range(len(texts))
     worst = np.array([window_means(values[texts[i]] * new[i], window).max() for i in check]) + gap
-    slope, shift = _scale(worst, labels[list(check)])
-    return Model((vectors @ (soft[1] - soft[0])).astype(np.float32), gap, slope, shift)
+    ys = labels[list(check)]
+    slope, shift = _scale(worst, ys)
+    return Model((vectors @ (soft[1] - soft[0])).astype(np.float32), gap, slope, shift, float(np.median(worst[ys == 0])) - gap)
 
 
 def _scale(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -195,6 +197,8 @@ class Lexicon:
             if n >= len(self.values):
                 self.values = np.concatenate([self.values, np.zeros(len(self.values))])
             self.values[n] = self.model.word(w)
+        if not words:
+            return self.model.blank
         ids = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         return float(window_means(self.values[ids] * fresh(ids, window), window).max())
 
