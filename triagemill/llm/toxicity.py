@@ -50,6 +50,7 @@ class Model:
     bias: float
     slope: float
     shift: float
+    usual: float = 0.0  # what a repetition counts: the mean word of the clean texts
     blank: float = 0.0  # the window value of a text without words: that of the middle clean text
 
     def word(self, word: str) -> float:
@@ -61,7 +62,7 @@ class Model:
 
 
 def fresh(ids: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Which words of a text are no repetition within their window; repetitions add nothing to a bag."""
+    """Which words of a text are no repetition within their window; repetitions say nothing new."""
     order = np.argsort(ids, kind="stable")
     again = np.zeros(len(ids), bool)
     again[order[1:]] = (ids[order[1:]] == ids[order[:-1]]) & (np.diff(order) < window)
@@ -113,8 +114,10 @@ def fit(sample: list[tuple[str, int]], window: int = WINDOW, rounds: int = 14, s
     def word_values() -> np.ndarray:
         return np.add.reduceat((vectors @ (soft[1] - soft[0]))[flat], start[:-1]) / np.diff(start)
 
-    def worst_at(i: int, values: np.ndarray) -> int:
-        return int(window_means(values[texts[i]] * new[i], window).argmax())
+    clean = np.concatenate([texts[i] for i in train if not labels[i]] or [np.zeros(1, np.int64)])
+
+    def means(i: int, values: np.ndarray) -> np.ndarray:
+        return window_means(np.where(new[i], values[texts[i]], usual), window)
 
     def step(windows: list[np.ndarray], sizes: np.ndarray, ys: np.ndarray, rate: float) -> None:
         """One gradient step of the softmax loss on averaged windows."""
@@ -145,6 +148,7 @@ def fit(sample: list[tuple[str, int]], window: int = WINDOW, rounds: int = 14, s
 
     for r in range(rounds):
         values = word_values()
+        usual = float(values[clean].mean())
         order = rng.permutation(train)
         for i in range(0, len(order), 128):
             some, windows, sizes, ys = order[i:i + 128], [], [], []
@@ -152,19 +156,20 @@ def fit(sample: list[tuple[str, int]], window: int = WINDOW, rounds: int = 14, s
                 t, random = texts[d], r < 3
                 spare = 4 if random else 1 - labels[d]
                 places = [int(rng.integers(max(1, len(t) - window + 1))) for _ in range(spare)]
-                places += [] if random else [worst_at(d, values)]
+                places += [] if random else [int(means(d, values).argmax())]
                 windows += [t[p:p + window][new[d][p:p + window]] for p in places]
                 sizes += [min(window, len(t))] * len(places)
                 ys += [labels[d]] * len(places)
             step(windows, np.array(sizes), np.array(ys), 0.15 if r < 3 else 0.08)
     values, gap = word_values(), float(bias[1] - bias[0])
-    check = [i for i in range(len(texts)) if i % 5 == 0]
+    usual = float(values[clean].mean())
+    check = [i for i in range(len(texts)) if i % 5 == 0 and len(texts[i])]
     if len(set(labels[check].tolist())) < 2:
-        check = range(len(texts))
-    worst = np.array([window_means(values[texts[i]] * new[i], window).max() for i in check]) + gap
-    ys = labels[list(check)]
+        check = [i for i in range(len(texts)) if len(texts[i])]
+    worst = np.array([means(i, values).max() for i in check]) + gap
+    ys = labels[check]
     slope, shift = _scale(worst, ys)
-    return Model((vectors @ (soft[1] - soft[0])).astype(np.float32), gap, slope, shift, float(np.median(worst[ys == 0])) - gap)
+    return Model((vectors @ (soft[1] - soft[0])).astype(np.float32), gap, slope, shift, usual, float(np.median(worst[ys == 0])) - gap)
 
 
 def _scale(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -200,7 +205,7 @@ class Lexicon:
         if not words:
             return self.model.blank
         ids = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        return float(window_means(self.values[ids] * fresh(ids, window), window).max())
+        return float(window_means(np.where(fresh(ids, window), self.values[ids], self.model.usual), window).max())
 
 
 def score_texts(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
