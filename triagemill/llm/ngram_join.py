@@ -133,33 +133,29 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "d1 long, d2 long, grams binary")
 
 
-def _multiplied(pairs: DataFrame, sets: DataFrame, differences: bool) -> DataFrame:
-    """Overlap counts of node pairs (a, b); with ``differences`` also the columns in which they differ."""
+def _multiplied(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Overlap counts of node pairs (a, b), and the columns in which they differ where ``wide`` asks for them."""
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                a, b, x, y = (c.to_pylist() for c in batch.slice(i, 256).columns)
+                a, b, wide, x, y = (c.to_pylist() for c in batch.slice(i, 256).columns)
                 common, differ = [], []
-                for p, q in zip(x, y):
+                for p, q, w in zip(x, y, wide):
                     p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
                     at = np.searchsorted(q, p)
                     both = at < len(q)
                     both[both] = q[at[both]] == p[both]
                     common.append(int(both.sum()))
-                    if differences:
-                        gone = np.ones(len(q), bool)
-                        gone[at[both]] = False
-                        differ.append(np.concatenate([p[~both], q[gone]]).view(np.int64))
-                cols = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(common, pa.int64())]
-                if differences:
-                    cols.append(pa.array(differ, pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays(cols, names)
+                    gone = np.ones(len(q), bool)
+                    gone[at[both]] = False
+                    differ.append(np.concatenate([p[~both], q[gone]]).view(np.int64) if w else None)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(v, pa.int64()) for v in (a, b, common)), pa.array(differ, pa.list_(pa.int64()))], ["a", "b", "common", "differ"])
 
-    names = ["a", "b", "common"] + ["differ"] * differences
-    rows = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
-    rows = rows.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
-    return rows.mapInArrow(run, "a long, b long, common long" + ", differ array<long>" * differences)
+    rows = pairs.select("a", "b", "wide").join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
+    rows = rows.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "wide", "x", "y")
+    return rows.mapInArrow(run, "a long, b long, common long, differ array<long>")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -204,8 +200,9 @@ def jaccard_join(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN, ke
     score = met.groupBy("node").agg(F.sum("c").alias("score"))
     scored = met.join(score, "node")
     hub = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("node")).alias("rest"))).alias("top"))
-    pairs = met.join(hub.select("key", (-F.col("top.rest")).alias("b")), "key").filter("node <> b").select(F.col("node").alias("a"), "b")
-    pairs = settle(pairs.distinct(), "pairs")
+    pairs = met.join(hub.select("key", (-F.col("top.rest")).alias("b")), "key").filter("node <> b")
+    # a block of two rows is done with its one pair; differences serve blocks of three and more
+    pairs = settle(pairs.groupBy(F.col("node").alias("a"), "b").agg((F.max("c") > 2).alias("wide")), "pairs")
     # full sets of the nodes that met another
     wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node")
     wanted = settle(wanted.select("node", "n", "d1", "d2", "from.doc_id", "from.text_key"), "wanted")
@@ -214,13 +211,13 @@ def jaccard_join(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN, ke
     sets = settle(_sets(texts, n).join(sent(wanted.select("node", "n", "d1", "d2")), ["d1", "d2"]).dropDuplicates(["node"]).select(
         "node", "n", "grams"), "sets")
     size = sets.select("node", "n")
-    done = settle(_sized(_multiplied(pairs, sets, True), size), "products")
+    done = settle(_sized(_multiplied(pairs, sets), size), "products")
     close = (F.col("common") * den >= (F.col("na") + F.col("nb") - F.col("common")) * num)
     links = done.filter(close).select("a", "b")
     root = settle(components(links), "roots")
     more = _by_differences(done, root, num, den)
     more = settle(more, "candidates")
-    found = settle(_sized(_multiplied(more, sets, False), size).filter(close).select("a", "b"), "links")
+    found = settle(_sized(_multiplied(more.withColumn("wide", F.lit(False)), sets), size).filter(close).select("a", "b"), "links")
     root = settle(components(links.unionAll(found)), "roots")
     # the smallest document id of each component
     labelled = nodes.select("node", "d1", "d2", "least").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -258,7 +255,7 @@ def _sized(products: DataFrame, size: DataFrame) -> DataFrame:
 
 def _by_differences(done: DataFrame, root: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) in different components, compared with one hub, that may yet be linked."""
-    named = done.select(F.col("b").alias("hub"), F.col("a").alias("x"), F.col("na").alias("n"), "differ").join(
+    named = done.filter(F.col("differ").isNotNull()).select(F.col("b").alias("hub"), F.col("a").alias("x"), F.col("na").alias("n"), "differ").join(
         root.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
     open_hubs = named.groupBy("hub").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("hub")
     named = settle(named.join(open_hubs, "hub", "left_semi"), "open")
