@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from triagemill import catalog
@@ -23,7 +24,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = get_session(
         "bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__ui__enabled="false",
-        spark__driver__memory="8g", spark__ui__showConsoleProgress="false")
+        spark__driver__memory="8g", spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="bench-"))
     spark.sparkContext.setLogLevel("ERROR")
     queries = catalog.queries()
     chosen = sys.argv[1:] or HEADLINE

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from triagemill.catalog.base import query
 from triagemill.catalog.soc_queries import rounded
-from triagemill.constants import CALENDAR
+from triagemill.constants import CALENDAR, STATE
 from triagemill.functions import scoring as SC
 from triagemill.functions.missing import calendar_features
 from triagemill.operators import decide as D
@@ -41,9 +41,10 @@ def j1(v):
 
 
 def coded(v, rows):
-    book = N.fit_codebook(v.train(), ["category", "os_family", "suspicion"])
-    names = ["category_code", "os_family_code", "suspicion_code"] + CALENDAR
-    return N.apply_codebook(calendar_features(rows), book, ["category", "os_family", "suspicion"]), names
+    """Rows with the 13 state features as numbers: nine train-only codes and four calendar values."""
+    texts = [c for c in STATE if c not in CALENDAR]
+    book = N.fit_codebook(v.train(), texts)
+    return N.apply_codebook(calendar_features(rows), book, texts), [f"{c}_code" for c in texts] + CALENDAR
 
 
 @query("J1_score_network")
@@ -88,13 +89,13 @@ def j4(v):
         F.col("action_probabilities")["human_review"].alias("p_review"), "confidence_threshold", "model_version", "cycle_id", "requires_human_review"))
 
 
-STAFF = """staff AS (SELECT a.analyst_id, a.capacity * 100 AS cap, count(l.alert_id) AS load FROM analysts a LEFT JOIN (SELECT * FROM live_alerts WHERE category = 'error') l
+STAFF = """staff AS (SELECT a.analyst_id, a.capacity * 1000 AS cap, count(l.alert_id) AS load FROM analysts a LEFT JOIN live_alerts l
   ON l.assigned_analyst = a.analyst_id AND l.status = 'HUMAN_REVIEW_PENDING' GROUP BY 1, 2)"""
 
 
 def staff(v):
-    w = soc.workload_join(v.analysts(), v.live_alerts().filter("category = 'error'"))
-    return w.withColumn("capacity", F.col("capacity") * 100)
+    w = soc.workload_join(v.analysts(), v.live_alerts())
+    return w.withColumn("capacity", F.col("capacity") * 1000)
 
 
 def slots(reviews):
@@ -171,8 +172,8 @@ def j11(v):
     return out.select("alert_id", "explored", "action")
 
 
-FP = """fp AS (SELECT sha256(concat_ws(':', count(*), sum(('0x' || substr(d, 1, 8))::BIGINT)::VARCHAR, bit_xor(('0x' || substr(d, 9, 8))::BIGINT), bit_xor(('0x' || substr(d, 17, 8))::BIGINT))) AS fingerprint,
-  count(*) AS rows FROM (SELECT md5(concat_ws('|', category, grade_code, incident_id, coalesce(mitre, '~'))) AS d FROM alerts))"""
+FP = """fp AS (SELECT sha256(concat_ws(':', count(*), sum(('0x' || substr(d, 1, 8))::BIGINT)::VARCHAR, bit_xor(('0x' || substr(d, 9, 8))::BIGINT), bit_xor(('0x' || substr(d, 17, 8))::BIGINT), '8:category,10:grade_code,11:incident_id,5:mitre')) AS fingerprint,
+  count(*) AS rows FROM (SELECT md5(concat(coalesce(length(category) || ':' || category, '~'), coalesce(length(grade_code::VARCHAR) || ':' || grade_code::VARCHAR, '~'), coalesce(length(incident_id) || ':' || incident_id, '~'), coalesce(length(mitre) || ':' || mitre, '~'))) AS d FROM alerts))"""
 
 
 @query("J12_table_version", f"""

@@ -189,16 +189,36 @@ def g19o(v):
 FINALS = "finals AS (SELECT run_id, seed, arg_max(score, epoch) AS final_return FROM run_history GROUP BY 1, 2)"
 
 
+def _poisson_sql(u: str) -> str:
+    edge, term, parts = 0.0, 2.718281828459045**-1, []
+    for i in range(13):
+        edge += term
+        parts.append(f"CAST({u} >= {min(int(edge * 2**31), 2**31 - 1)} AS INT)")
+        term /= i + 1
+    return " + ".join(parts)
+
+
 @query("G20_bootstrap_ci", f"""
-WITH {FINALS}, a AS (SELECT seed, list(final_return ORDER BY final_return) AS vs, count(*) AS n FROM finals GROUP BY 1),
-d AS (SELECT seed, rep, n, vs, unnest(range(1, n + 1)) AS j FROM a, (SELECT unnest(range(0, 1000)) AS rep)),
-m AS (SELECT seed, rep, any_value(n) AS n, avg(vs[1 + ('0x' || substr(md5(concat_ws(':', '20260818', seed, rep, j)), 1, 8))::BIGINT % n]) AS mean FROM d GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY mean) - 1 AS rk FROM m)
-SELECT seed, max(n) AS n, round(max(mean) FILTER (WHERE rk = 24), 6) AS lower, round(max(mean) FILTER (WHERE rk = 974), 6) AS upper, 'available' AS status, CAST(NULL AS VARCHAR) AS reason
-FROM r GROUP BY 1""".replace("rk = 24", "rk = CAST(floor(0.025 * 999) AS BIGINT)").replace("rk = 974", "rk = CAST(floor(0.975 * 999) AS BIGINT)"))
+WITH {FINALS}, a AS (SELECT seed, final_return AS v, row_number() OVER (PARTITION BY seed ORDER BY final_return) - 1 AS pos,
+    ('0x' || substr(md5(concat_ws(':', '20260818', seed)), 1, 7))::BIGINT AS g FROM finals),
+h0 AS (SELECT seed, v, (g + (pos & 2147483647) * 1103515245) & 2147483647 AS x FROM a),
+h1 AS (SELECT seed, v, (xor(x, x >> 16) * 73244475) & 2147483647 AS x FROM h0),
+h2 AS (SELECT seed, v, (xor(x, x >> 16) * 73244475) & 2147483647 AS x FROM h1),
+h3 AS (SELECT seed, v, xor(x, x >> 16) AS x FROM h2),
+u0 AS (SELECT seed, v, rep, (x + rep * 1664525) & 2147483647 AS x FROM h3, (SELECT unnest(range(0, 10000)) AS rep)),
+u1 AS (SELECT seed, v, rep, (xor(x, x >> 16) * 73244475) & 2147483647 AS x FROM u0),
+u2 AS (SELECT seed, v, rep, (xor(x, x >> 16) * 73244475) & 2147483647 AS x FROM u1),
+u3 AS (SELECT seed, v, rep, xor(x, x >> 16) AS x FROM u2),
+w AS (SELECT seed, v, rep, {_poisson_sql("x")} AS w FROM u3),
+m AS (SELECT seed, rep, sum(v * w) / sum(w) AS mean FROM w GROUP BY 1, 2 HAVING sum(w) > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY mean) - 1 AS rk, count(*) OVER (PARTITION BY seed) AS c FROM m),
+b AS (SELECT seed, max(mean) FILTER (WHERE rk = floor(0.025e0 * (c - 1))) AS lower, max(mean) FILTER (WHERE rk = floor(0.975e0 * (c - 1))) AS upper FROM r GROUP BY 1),
+n AS (SELECT seed, count(*) AS n FROM a GROUP BY 1)
+SELECT seed, n, CASE WHEN n > 1 THEN round(lower, 6) END AS lower, CASE WHEN n > 1 THEN round(upper, 6) END AS upper,
+  CASE WHEN n > 1 THEN 'available' ELSE 'N/A' END AS status, CASE WHEN n < 2 THEN 'needs two or more results' END AS reason FROM n JOIN b USING (seed)""")
 def g20(v):
     finals = v.run_history().groupBy("run_id", "seed").agg(F.max_by("score", "epoch").alias("final_return"))
-    return rounded(RS.bootstrap_ci(finals, "seed", "final_return", reps=1000))
+    return rounded(RS.bootstrap_ci(finals, "seed", "final_return"))
 
 
 LAST10 = "last10 AS (SELECT * FROM run_history QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY epoch DESC) <= 10)"

@@ -31,6 +31,14 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) != infinite), value)
 
 
+def absent(df: DataFrame, name: str) -> Column:
+    """Whether a cell is missing: null, or NaN in a column of floats."""
+    value = F.col(name)
+    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+        return value.isNull() | F.isnan(value)
+    return value.isNull()
+
+
 def number(text: Column) -> Column:
     """Parse a finite number, null when there is none."""
     return finite(text.try_cast("double"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from triagemill.functions.missing import finite
 from triagemill.operators.ordered import positioned
 from triagemill.session import BROADCAST_BYTES, BROADCAST_ROWS, settle, sized_join
 
@@ -104,19 +105,20 @@ def require_one_to_one(recovered: DataFrame) -> DataFrame:
 
 
 def fit_minmax(train: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row with a struct (min, max) per column."""
+    """One row with a struct (min, max) of the finite values per column."""
     return train.agg(*[
-        F.struct(F.min(F.col(c).cast("double")).alias("min"), F.max(F.col(c).cast("double")).alias("max")).alias(c)
+        F.struct(F.min(finite(F.col(c).cast("double"))).alias("min"), F.max(finite(F.col(c).cast("double"))).alias("max")).alias(c)
         for c in columns])
 
 
 def apply_minmax(df: DataFrame, ranges: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``<column>_scaled``: 0 for a constant column, never clipped."""
+    """``<column>_scaled``: 0 for a constant column, null for a value that is not finite, never clipped."""
     out = df.withColumn("_r", ranges.select(F.struct("*")).scalar())
     scaled = {}
     for c in columns:
         low, high = F.col("_r")[c]["min"], F.col("_r")[c]["max"]
-        scaled[f"{c}_scaled"] = F.when(high == low, 0.0).otherwise((F.col(c) - low) / (high - low))
+        value = finite(F.col(c).cast("double"))
+        scaled[f"{c}_scaled"] = F.when(high == low, 0.0).otherwise((value - low) / (high - low))
     return out.withColumns(scaled).drop("_r")
 
 
@@ -124,8 +126,9 @@ def fit_zscore(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row with mean and population deviation per column; tiny deviations become 1."""
     parts = []
     for c in columns:
-        std = F.stddev_pop(F.col(c).cast("double"))
-        parts.append(F.struct(F.avg(c).alias("mean"), F.when(std < 1e-8, 1.0).otherwise(std).alias("std")).alias(c))
+        value = finite(F.col(c).cast("double"))
+        std = F.stddev_pop(value)
+        parts.append(F.struct(F.avg(value).alias("mean"), F.when(std < 1e-8, 1.0).otherwise(std).alias("std")).alias(c))
     return train.agg(*parts)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triagemill.operators.clean import review_status
+from triagemill.operators.joins import last_per_key
 from triagemill.operators.ordered import positioned
 
 
@@ -60,8 +61,11 @@ def state_changes(events: DataFrame) -> DataFrame:
               .when(F.col("decided") == "block", "MODEL_BLOCKED").otherwise("HUMAN_REVIEW_PENDING"))
         .when(person, review)
     )
-    return events.withColumns({
-        "_status": status, "_analyst": F.when(person, F.col("actor")), "_human": review})
+    analyst = F.when(person, F.col("actor"))
+    if "details" in events.columns:  # an assignment or a routing names the analyst there
+        named = F.col("details")["analyst_id"]
+        analyst = F.when(action.isin("ASSIGNED", "HUMAN_REVIEW_ROUTED"), named).otherwise(analyst)
+    return events.withColumns({"_status": status, "_analyst": analyst, "_human": review})
 
 
 STATE_FIELDS = {"_status": "status", "_analyst": "assigned_analyst", "_human": "last_human_decision"}
@@ -129,8 +133,11 @@ def append_with_ids(existing: DataFrame, batch: DataFrame, time: str, tie: str)
     return numbered.withColumn("id", (F.col("position") + 1 + start).cast("long")).drop("position", "group_size")
 
 
-def upsert_dimension(existing: DataFrame, batch: DataFrame, key: str) -> DataFrame:
-    """Insert or replace by key."""
+def upsert_dimension(existing: DataFrame, batch: DataFrame, key: str, ordinal: str | None = None) -> DataFrame:
+    """Insert or replace by key; of several batch rows of a key the last one, by ``ordinal`` or by place, counts."""
+    place = F.col(ordinal) if ordinal else F.monotonically_increasing_id()
+    last = last_per_key(batch.withColumn("_place", place), key, "_place").select(*batch.columns)
+    batch = last.unionByName(batch.filter(F.col(key).isNull()))
     kept = existing.join(batch.select(key), key, "left_anti")
     return kept.unionByName(batch, allowMissingColumns=True)
 

@@ -61,9 +61,15 @@ def overlay_epoch_actions(history: DataFrame, raw: DataFrame, keys: Sequence[str
         "action_distribution", F.coalesce("_d", "action_distribution")).drop("_d")
 
 
-def refresh_source(alerts: DataFrame, source: DataFrame, column: str = "source", key: str = "alert_id") -> DataFrame:
-    """Replace the source record of alerts that exist; ``changed`` marks real changes."""
-    right = source.select(key, F.col(column).alias("_new"))
+def refresh_source(
+    alerts: DataFrame, source: DataFrame, column: str = "source", key: str = "alert_id", ordinal: str | None = None,
+) -> DataFrame:
+    """Replace the source record of alerts that exist; ``changed`` marks real changes.
+
+    Of several records of a key the last one counts, by ``ordinal`` or by place in the input.
+    """
+    place = F.col(ordinal) if ordinal else F.monotonically_increasing_id()
+    right = last_per_key(source.select(key, F.col(column).alias("_new"), place.alias("_place")), key, "_place")
     joined = alerts.join(right, key, "left")
     fresh = F.coalesce("_new", column)
     return joined.withColumn("changed", ~F.col(column).eqNullSafe(fresh)).withColumn(column, fresh).drop("_new")

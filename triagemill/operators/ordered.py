@@ -43,7 +43,8 @@ def hot_keys(df: DataFrame, keys: Sequence[str], blocks: int) -> list[int]:
     these few counts.
     """
     hashed = df.select(F.xxhash64(*keys).alias("_k"))
-    candidates = hashed.freqItems(["_k"], 1.0 / blocks).first()[0] or []
+    # Spark takes no smaller support; with more blocks, a key below it has the rows of a few average partitions at most
+    candidates = hashed.freqItems(["_k"], max(1.0 / blocks, 1e-4)).first()[0] or []
     if not candidates:
         return []
     kept = F.when(F.col("_k").isin(candidates), F.col("_k"))

@@ -138,7 +138,10 @@ def grade_baseline(
 
 def fingerprint(table: DataFrame) -> DataFrame:
     """Order-free content hash of a table in one map-side aggregate."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in sorted(table.columns)])
+    # every value is preceded by its length, null by nothing, so that different rows give different texts
+    texts = [F.col(c).cast("string") for c in sorted(table.columns)]
+    text = F.concat(*[F.coalesce(F.concat(F.char_length(x).cast("string"), F.lit(":"), x), F.lit("~")) for x in texts])
+    names = ",".join(f"{len(c)}:{c}" for c in sorted(table.columns))
     digest = F.md5(text.cast("binary"))
 
     def part(start: int) -> Column:
@@ -147,7 +150,7 @@ def fingerprint(table: DataFrame) -> DataFrame:
     sums = table.agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(part(1).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("s"),
         F.coalesce(F.bit_xor(part(9)), F.lit(0)).alias("x"), F.coalesce(F.bit_xor(part(17)), F.lit(0)).alias("y"))
-    return sums.select(F.sha2(F.concat_ws(":", "n", "s", "x", "y").cast("binary"), 256).alias("fingerprint"), F.col("n").alias("rows"))
+    return sums.select(F.sha2(F.concat_ws(":", "n", "s", "x", "y", F.lit(names)).cast("binary"), 256).alias("fingerprint"), F.col("n").alias("rows"))
 
 
 def table_version(table: DataFrame, registry: DataFrame, name: str, stamp: Column) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from triagemill.constants import GRADES, OBSERVATION
+from triagemill.functions.missing import absent, finite
 from triagemill.operators.clean import is_leaky_name
 from triagemill.session import settle
 
@@ -23,7 +24,7 @@ def audit_split(df: DataFrame) -> DataFrame:
     Equal rows are merged before the shuffle, so copies cost nothing extra.
     """
     copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    empty = sum((F.col(c).isNull().cast("long") for c in df.columns), F.lit(0))
+    empty = sum((absent(df, c).cast("long") for c in df.columns), F.lit(0))
     return copies.agg(
         F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows"),
         F.lit(len(df.columns)).cast("long").alias("columns"),
@@ -34,7 +35,7 @@ def audit_split(df: DataFrame) -> DataFrame:
 
 def missing_stats(df: DataFrame) -> DataFrame:
     """Rows, columns and missing cells in one map-side aggregate."""
-    empty = sum((F.col(c).isNull().cast("long") for c in df.columns), F.lit(0))
+    empty = sum((absent(df, c).cast("long") for c in df.columns), F.lit(0))
     return df.agg(
         F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).cast("long").alias("columns"),
         F.coalesce(F.sum(empty), F.lit(0)).alias("missing"),
@@ -60,7 +61,7 @@ def target_distribution(df: DataFrame, target: str) -> DataFrame:
 def value_counts(df: DataFrame, columns: Sequence[str], target: str | None = None) -> DataFrame:
     """(column, value[, target]) counts of all columns in one pass, null as a value."""
     keep = [] if target is None else [F.col(target).cast("string").alias("_target")]
-    wide = df.select(*keep, *[F.col(c).cast("string").alias(c) for c in columns])
+    wide = df.select(*keep, *[F.when(~absent(df, c), F.col(c).cast("string")).alias(c) for c in columns])
     names = [] if target is None else ["_target"]
     if target is not None and target in columns:
         raise ValueError("the target cannot screen itself")
@@ -81,7 +82,7 @@ def feature_health(df: DataFrame, forbidden: Sequence[str] = ()) -> DataFrame:
     if numeric:
         parts = []
         for c in numeric:
-            x = F.col(c).cast("double")
+            x = finite(F.col(c).cast("double"))
             parts.append(F.struct(
                 F.lit(c).alias("column"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
                 F.min(x).alias("min"), F.max(x).alias("max")))

@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from triagemill.functions.missing import finite
 from triagemill.operators.ordered import positioned, ranked_values
 from triagemill.session import settle
 
-ARRAY_LIMIT = 2000  # values of one group resampled from an array in its row
+HASH_MASK = (1 << 31) - 1
 
 
 def last_n(history: DataFrame, n: int, run: str = "run_id", epoch: str = "epoch") -> DataFrame:
@@ -87,7 +88,8 @@ def replay_early_stopping(
         F.max("_at").alias("_last"), F.min(F.when(F.col(epoch) >= min_epochs, F.col("_at"))).alias("_from"))
     # a span lasts from one accepted epoch to the next; patience ends in the first long one
     points = accepted_points(numbered, min_delta, score, run, epoch).select(run, "at", F.col("epoch").alias("_e"), F.col("score").alias("_s"))
-    spans = points.withColumn("_next", F.lead("at").over(Window.partitionBy(run).orderBy("at"))).join(ends, run)
+    spans = points.withColumn("_next", F.lead("at").over(Window.partitionBy(run).orderBy("at"))).join(
+        ends.withColumnRenamed(run, "_run"), F.col(run).eqNullSafe(F.col("_run"))).drop("_run")
     stop = F.greatest(F.col("at") + patience, F.col("_from"))
     ends_here = F.col("_from").isNotNull() & (stop <= F.col("_last")) & (F.col("_next").isNull() | (stop < F.col("_next")))
     best = [F.col("_e").alias("epoch"), F.col("_s").alias("score")]
@@ -114,7 +116,8 @@ def stability_flags(
     numbered = _first_records(history, score, run, epoch)
     points = accepted_points(numbered, min_delta, score, run, epoch)
     marked = numbered.drop("position", "group_size", "_best_before").join(
-        points.select(run, F.col("at").alias("_at"), F.col("score").alias("_accepted")), [run, "_at"], "left")
+        points.select(F.col(run).alias("_run"), "at", F.col("score").alias("_accepted")),
+        F.col(run).eqNullSafe(F.col("_run")) & (F.col("_at") == F.col("at")), "left").drop("_run", "at")
     rows = positioned(marked, [run], epoch, maxima={"_max": "_accepted"})
     rows = rows.withColumn("best_so_far", F.greatest("_max", "_accepted"))
     own = F.floor(F.col("position") / piece)
@@ -141,7 +144,7 @@ def stability_flags(
 
 def steps_to_threshold(history: DataFrame, target: float, value: str, updates: str, run: str = "run_id", epoch: str = "epoch") -> DataFrame:
     """First epoch of each run at or above the target, N/A when there is none."""
-    reached = F.when(F.col(value) >= target, F.col(epoch))
+    reached = F.when(finite(F.col(value)) >= target, F.col(epoch))
     t = history.groupBy(run).agg(F.min(reached).alias("epoch"), F.min_by(updates, reached).alias("updates"))
     return t.withColumn("status", F.when(F.col("epoch").isNull(), "N/A").otherwise("available"))
 
@@ -154,9 +157,10 @@ def latest_by_time(df: DataFrame, key: str, columns: Sequence[str], time: str, t
 
 def best_points(history: DataFrame, score: str, reward: str, run: str = "run_id", epoch: str = "epoch") -> DataFrame:
     """Best score with its first epoch, and best reward."""
-    first = F.struct(F.col(score), -F.col(epoch))
+    value = finite(F.col(score))
+    first = F.when(value.isNotNull(), F.struct(value.alias("v"), -F.col(epoch)))
     return history.groupBy(run).agg(
-        F.max_by(epoch, first).alias("best_epoch"), F.max(score).alias("best_score"), F.max(reward).alias("best_reward"))
+        F.max_by(epoch, first).alias("best_epoch"), F.max(value).alias("best_score"), F.max(finite(F.col(reward))).alias("best_reward"))
 
 
 def cumulative_updates(history: DataFrame, updates: str = "updates", run: str = "run_id", epoch: str = "epoch") -> DataFrame:
@@ -174,7 +178,7 @@ def action_share(history: DataFrame, keys: Sequence[str], action: str, actions:
 
 def iqm(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Mean without floor(n/4) values at both ends, from four values on."""
-    ranked = ranked_values(df, keys, value)
+    ranked = ranked_values(df.withColumn(value, finite(F.col(value))), keys, value)
     trim = F.when(F.col("total") >= 4, F.floor(F.col("total") * 0.25)).otherwise(0)
     low = F.greatest(F.col("below"), trim)
     high = F.least(F.col("below") + F.col("copies"), F.col("total") - trim)
@@ -183,58 +187,57 @@ def iqm(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         (F.sum(F.col(value) * kept) / F.sum(kept)).alias("iqm"), F.max("total").alias("n"))
 
 
+def _scattered(df: DataFrame, name: str) -> DataFrame:
+    """Scatter a 31-bit column by two rounds of multiply and shift, one column at a time to keep the code short."""
+    x = F.col(name)
+    for _ in range(2):
+        df = df.withColumn(name, x.bitwiseXOR(F.shiftright(x, 16)))
+        df = df.withColumn(name, (x * F.lit(73244475)).bitwiseAND(F.lit(HASH_MASK)))
+    return df.withColumn(name, x.bitwiseXOR(F.shiftright(x, 16)))
+
+
 def bootstrap_ci(df: DataFrame, group: str, value: str, reps: int = 10_000, seed: int = 20260818) -> DataFrame:
-    """Percentile bootstrap of the mean, one row per group.
+    """Percentile bootstrap of the mean, one row per group, by Poisson weights.
 
-    Small groups draw n values by md5 from an array in their row, spread over
-    the replications. Larger groups weight every row by Poisson(1) numbers per
-    replication, which sums up map-side and shuffles one row per replication.
+    In every replication each value counts Poisson(1) times. The weight is a hash of seed, group, place of the value
+    in its group and replication, so the interval depends neither on partitions nor on the size of a group. Weighted
+    sums are formed map-side and one row per task, group and replication is shuffled. A replication without any value
+    (possible in groups of a few) is left out.
     """
-    sizes = df.filter(F.col(value).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    rows = df.filter(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("_v"))
-    small, large = sizes.filter((F.col("n") > 1) & (F.col("n") <= ARRAY_LIMIT)), sizes.filter(F.col("n") > ARRAY_LIMIT)
-    arrays = (
-        rows.join(small.select(group), group, "left_semi").groupBy(group)
-        .agg(F.array_sort(F.collect_list("_v")).alias("_values"))  # at most ARRAY_LIMIT values
-    )
-    width = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    drawn = arrays.select(group, "_values", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    drawn = drawn.repartition(width, group, "rep")
-    n = F.size("_values")
-
-    def pick(j: Column) -> Column:
-        text = F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string"), F.col("rep").cast("string"), j.cast("string"))
-        spot = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % n
-        return F.get(F.col("_values"), spot.cast("int"))
-
-    total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda s, j: s + pick(j))
-    means = drawn.select(group, (total / n).alias("mean"))
-    u = F.rand(seed)
-    weight = F.lit(0)
-    edges, term = 0.0, 2.718281828459045**-1
-    for i in range(12):  # inverse distribution function of Poisson(1)
-        edges += term
-        weight = weight + (u > edges).cast("int")
+    rows = df.select(group, finite(F.col(value).cast("double")).alias("_v")).filter(F.col("_v").isNotNull())
+    placed = positioned(rows, [group], "_v")
+    start = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string")).cast("binary")), 1, 7), 16, 10)
+    place = (start.cast("long") + F.col("position").bitwiseAND(F.lit(HASH_MASK)) * F.lit(1103515245)).bitwiseAND(F.lit(HASH_MASK))
+    placed = _scattered(placed.select(group, "_v", place.alias("_h")), "_h")
+    drawn = placed.select(group, "_v", "_h", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    u = (F.col("_h") + F.col("rep").cast("long") * F.lit(1664525)).bitwiseAND(F.lit(HASH_MASK))
+    drawn = _scattered(drawn.select(group, "rep", "_v", u.alias("_u")), "_u")
+    weight, edge, term = F.lit(0), 0.0, 2.718281828459045**-1
+    for i in range(13):  # the inverse distribution function of Poisson(1), as far as 31 bits tell values apart
+        edge += term
+        weight = weight + (F.col("_u") >= F.lit(min(int(edge * (HASH_MASK + 1)), HASH_MASK))).cast("int")
         term /= i + 1
-    heavy = rows.join(large.select(group), group, "left_semi").select(
-        group, "_v", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).withColumn("_w", weight)
-    heavy = heavy.groupBy(group, "rep").agg((F.sum(F.col("_v") * F.col("_w")) / F.sum("_w")).alias("mean"))
-    both = means.unionByName(heavy.select(group, "mean"))
-    order = Window.partitionBy(group).orderBy("mean")  # ``reps`` rows per group
-    ranked = both.withColumn("_rank", F.row_number().over(order) - 1)
-    low, high = int(0.025 * (reps - 1)), int(0.975 * (reps - 1))
-    bounds = ranked.groupBy(group).agg(
-        F.max(F.when(F.col("_rank") == low, F.col("mean"))).alias("lower"),
-        F.max(F.when(F.col("_rank") == high, F.col("mean"))).alias("upper"))
-    out = sizes.join(bounds, group, "left")
+    means = drawn.select(group, "rep", "_v", weight.alias("_w")).groupBy(group, "rep").agg(
+        F.sum(F.col("_v") * F.col("_w")).alias("_s"), F.sum("_w").alias("_n")).filter("_n > 0")
+    ranked = means.select(
+        F.col(group).alias("_g"), (F.col("_s") / F.col("_n")).alias("mean")).withColumns({  # ``reps`` rows per group
+            "_rank": F.row_number().over(Window.partitionBy("_g").orderBy("mean")) - 1,
+            "_all": F.count(F.lit(1)).over(Window.partitionBy("_g"))})
+    at = lambda q: F.floor(F.lit(q) * (F.col("_all") - 1))
+    bounds = ranked.groupBy("_g").agg(
+        F.max(F.when(F.col("_rank") == at(0.025), F.col("mean"))).alias("lower"),
+        F.max(F.when(F.col("_rank") == at(0.975), F.col("mean"))).alias("upper"))
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    out = sizes.join(bounds, F.col(group).eqNullSafe(F.col("_g")), "left")
+    few = F.col("n") < 2
     return out.select(
-        group, "n", "lower", "upper", F.when(F.col("n") < 2, "N/A").otherwise("available").alias("status"),
-        F.when(F.col("n") < 2, "needs two or more results").alias("reason"))
+        group, "n", F.when(~few, F.col("lower")).alias("lower"), F.when(~few, F.col("upper")).alias("upper"),
+        F.when(few, "N/A").otherwise("available").alias("status"), F.when(few, "needs two or more results").alias("reason"))
 
 
 def final_return_stats(history: DataFrame, value: str, run: str = "run_id", epoch: str = "epoch", n: int = 10) -> DataFrame:
     """Mean, IQM and last of the last ``n`` returns of each run."""
-    points = last_n(history.filter(F.col(value).isNotNull()), n, run, epoch)
+    points = last_n(history.filter(finite(F.col(value)).isNotNull()), n, run, epoch)
     whole = F.array_sort(F.collect_list(F.col(value)))  # at most ``n`` values
     t = points.groupBy(run).agg(
         whole.alias("_v"), F.avg(value).alias("mean_last"), F.max_by(value, epoch).alias("final_return"))
@@ -253,9 +256,10 @@ def per_seed_results(runs: DataFrame, history: DataFrame, value: str, run: str =
 
 def performance_profile(results: DataFrame, value: str, thresholds: Sequence[float], seed: str = "seed") -> DataFrame:
     """Share of runs at or above each threshold; null with fewer than two seeds."""
-    seeds = F.count_distinct(seed).alias("seeds")
+    held = finite(F.col(value))
+    seeds = F.count_distinct(F.when(held.isNotNull(), F.col(seed))).alias("seeds")
     points = [
-        F.struct(F.lit(float(t)).alias("threshold"), F.avg(F.when(F.col(value) >= t, 1.0).otherwise(0.0)).alias("share"))
+        F.struct(F.lit(float(t)).alias("threshold"), F.avg(F.when(held >= t, 1.0).when(held.isNotNull(), 0.0)).alias("share"))
         for t in thresholds]
     t = results.agg(seeds, F.array(*points).alias("a")).select("seeds", F.inline("a"))
     return t.select(

@@ -81,8 +81,13 @@ def discounted_return(
         carried = F.aggregate(F.reverse(later), F.lit(0.0), lambda s, x: x + s * F.lit(gamma**length))
     pieces = pieces.select(*keys, "_piece", carried.alias("_carried"))
     left = F.least(F.lit(length), F.col("group_size") - F.col("_piece") * length) - F.col("_at")
+    names = [f"_k{i}" for i in range(len(keys))]
+    pieces = pieces.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_piece").alias("_p"), "_carried")
+    same = F.col("_piece") == F.col("_p")
+    for k, n in zip(keys, names):  # rows without a key are one sequence
+        same = same & F.col(k).eqNullSafe(F.col(n))
     return (
-        local.join(pieces, [*keys, "_piece"])
+        local.join(pieces, same).drop("_p", *names)
         .withColumn("return", F.col("_own") + F.pow(F.lit(float(gamma)), left) * F.col("_carried"))
         .drop("_piece", "_at", "_own", "_carried")
     )

@@ -113,10 +113,7 @@ class Views:
         return activity_from(self.alerts())
 
     def live_alerts(self) -> DataFrame:
-        """Alerts with their current status and analyst, as a stored table."""
-        return self.stored("live", self._live_alerts)
-
-    def _live_alerts(self) -> DataFrame:
+        """Alerts with their current status and analyst: a projection, so each query reads the columns it needs."""
         gated = gate_columns(self.alerts())
         pending = F.col("action_code") == 2
         status = (

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
 from triagemill.constants import RAW_COLUMNS
+from triagemill.functions.missing import absent
 
 RAW_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in RAW_COLUMNS])
 
@@ -37,7 +38,7 @@ def scan_pruned(
 def contract_report(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Rows and missing feature cells in one map-side aggregate."""
     return df.agg(
-        F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(f).isNull()).alias(f"missing_{f}") for f in features])
+        F.count(F.lit(1)).alias("rows"), *[F.count_if(absent(df, f)).alias(f"missing_{f}") for f in features])
 
 
 def load_contract(df: DataFrame, required: Sequence[str], features: Sequence[str]) -> DataFrame:
