@@ -9,8 +9,10 @@ from triagemill.operators import joins as J
 from triagemill.operators import ordered as O
 from triagemill.operators import policy as P
 from triagemill.operators import quality as Q
+from triagemill.operators import queues as QU
 from triagemill.operators import runstats as RS
 from triagemill.operators import sequences as S
+from triagemill.operators import soc
 from triagemill.sources import alerts as A
 
 NAN = float("nan")
@@ -104,3 +106,24 @@ def test_many_blocks(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.lit(1)).otherwise(F.col("id")).alias("k"), F.col("id").alias("t"))
     hot = O.hot_keys(df, ["k"], 20_000)
     assert df.select(F.xxhash64(F.lit(1).cast("long"))).first()[0] in hot
+
+
+def test_truth_in_order(spark):
+    events = spark.createDataFrame([("A", "block"), ("B", None), ("C", "allow")], "alert_id string, decided string")
+    make = lambda rows, extra="": spark.createDataFrame(rows, "alert_id string, IncidentGrade string" + extra)
+    alerts = make([("A", "FalsePositive", "x"), ("B", "TruePositive", "block"), ("C", "TruePositive", "y")], ", action string")
+    source, lineage = make([("A", "TruePositive")]), make([("A", "BenignPositive"), ("C", "FalsePositive")])
+    got = {r["alert_id"]: (r["decided"], r["truth"], r["positive"]) for r in soc.with_truth(events, alerts, source, lineage, "action").collect()}
+    assert got == {"A": ("block", "TruePositive", True), "B": ("block", "TruePositive", True), "C": ("allow", "FalsePositive", False)}
+
+
+def test_pages_by_last_row(spark):
+    rows = [(f"A{i}", i, None if i % 7 == 0 else i // 3) for i in range(40)]
+    alerts = spark.createDataFrame(rows, "alert_id string, event_id long, ts long")
+    want = [r["event_id"] for r in QU.newest_first(alerts).collect()]
+    got, last = [], None
+    while page := QU.page_after(alerts, last, limit=9).collect():
+        got += [r["event_id"] for r in page]
+        last = (page[-1]["ts"], page[-1]["event_id"])
+    assert got == want
+    assert QU.page_alerts(alerts, skip=100).count() == 0 and QU.matching_total(alerts).first()["total"] == 40

@@ -88,7 +88,7 @@ def d7(v):
 
 @query("D9_split_report", f"""
 WITH s AS (SELECT user_id::VARCHAR AS incident_id, CASE WHEN is_train THEN 'train' ELSE 'test' END AS split FROM alerts)
-SELECT split, count(*) AS rows, count(DISTINCT incident_id) AS incidents,
+SELECT split, count(*) AS rows, count(*) / (SELECT count(*) FROM s) AS share, count(DISTINCT incident_id) AS incidents,
   (SELECT count(*) FROM (SELECT incident_id FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1)) AS shared_incidents FROM s GROUP BY 1""")
 def d9(v):
     a = v.alerts_leaky().withColumn("split", F.when(F.col("is_train"), "train").otherwise("test"))

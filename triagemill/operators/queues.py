@@ -28,6 +28,32 @@ def page_alerts(
     return newest_first(found).offset(skip).limit(limit).withColumn("total", total.scalar())
 
 
+def matching_total(alerts: DataFrame, search: str | None = None, severity: str | None = None) -> DataFrame:
+    """The total of a search in one row, also for a page that lies past the end."""
+    return search_alerts(alerts, search, severity).agg(F.count(F.lit(1)).alias("total"))
+
+
+def page_after(
+    alerts: DataFrame, last: tuple | None, search: str | None = None, severity: str | None = None, limit: int = 100,
+    time: str = "ts", tie: str = "event_id",
+) -> DataFrame:
+    """The page that follows the row with (time, tie) = ``last``; the first page for None.
+
+    However deep the page, a task keeps no more rows than the page has. Rows without a time come last.
+    """
+    if not 1 <= limit <= 500:
+        raise ValueError("limit must be within 1..500")
+    found = search_alerts(alerts, search, severity)
+    if last is not None:
+        at, number = last
+        earlier = F.col(tie) < F.lit(number)
+        if at is None:
+            found = found.filter(F.col(time).isNull() & earlier)
+        else:
+            found = found.filter(F.col(time).isNull() | (F.col(time) < F.lit(at)) | ((F.col(time) == F.lit(at)) & earlier))
+    return newest_first(found, time, tie).limit(limit)
+
+
 def review_queue(alerts: DataFrame, n: int = 100, filter_first: bool = False) -> DataFrame:
     """Alerts that need a human among the newest ``n``.
 

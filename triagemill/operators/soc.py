@@ -65,11 +65,28 @@ def mttr(timed: DataFrame) -> DataFrame:
     return timed.agg(F.avg("response").alias("mttr_seconds"), F.count("response").alias("alerts"))
 
 
-def with_truth(paired: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Attach the verified grade and whether it is a true positive."""
-    names = [present(F.col(n)) for n in TRUTH_NAMES if n in alerts.columns]
-    truth = alerts.select("alert_id", F.coalesce(*names).alias("truth"))
-    joined = paired.join(truth, "alert_id", "left")
+def with_truth(
+    paired: DataFrame, alerts: DataFrame, source: DataFrame | None = None, lineage: DataFrame | None = None,
+    action: str | None = None,
+) -> DataFrame:
+    """Attach the verified grade and whether it is a true positive.
+
+    The grade is looked up in the source record, then in the lineage, then in the alert (tables with one row per
+    alert_id). With ``action``, a column of the alerts, a decision that the events lack is taken from there.
+    """
+    joined, found = paired, []
+    for i, table in enumerate((source, lineage, alerts)):
+        if table is None:
+            continue
+        names = [present(F.col(n)) for n in TRUTH_NAMES if n in table.columns]
+        fields = [F.coalesce(*names).alias(f"_truth{i}")] if names else []
+        found += [F.col(f"_truth{i}")] if names else []
+        if table is alerts and action:
+            fields.append(F.col(action).alias("_action"))
+        joined = joined.join(table.select("alert_id", *fields), "alert_id", "left")
+    if action:
+        joined = joined.withColumn("decided", F.coalesce("decided", "_action")).drop("_action")
+    joined = joined.withColumn("truth", F.coalesce(*found)).drop(*[f"_truth{i}" for i in range(3)])
     return joined.withColumn("positive", F.coalesce(F.col("truth") == "TruePositive", F.lit(False)))
 
 

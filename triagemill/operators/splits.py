@@ -70,8 +70,12 @@ def partition_rows(df: DataFrame, ids: DataFrame, incident: str = "incident_id")
 
 
 def split_report(df: DataFrame, split: str = "split", incident: str = "incident_id") -> DataFrame:
-    """Rows and incidents per split, and incidents that sit in several splits."""
+    """Rows, share of all rows and incidents per split, and incidents that sit in several splits.
+
+    The incidents that two given splits share are counted by :func:`split_overlap`.
+    """
     per = df.groupBy(incident, split).agg(F.count(F.lit(1)).alias("_n"))
     own = per.groupBy(split).agg(F.sum("_n").alias("rows"), F.count(incident).alias("incidents"))
     shared = per.groupBy(incident).agg(F.count(F.lit(1)).alias("_s")).agg(F.count_if(F.col("_s") > 1))
-    return own.withColumn("shared_incidents", shared.scalar())
+    total = per.agg(F.sum("_n"))
+    return own.withColumns({"share": F.col("rows") / total.scalar(), "shared_incidents": shared.scalar()})
