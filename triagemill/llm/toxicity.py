@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from triagemill.llm.common import ship
 
 WORD = re.compile(r"\w*[^\W\d_]\w*")  # words with a letter
-PER_CLASS, BUCKETS, WIDTH, WINDOW = 1500, 1 << 18, 8, 8
+PER_CLASS, BUCKETS, WIDTH, WINDOW, BATCH = 1500, 1 << 18, 8, 8, 128
 SHORT, LONG = 3, 5  # lengths of the character n-grams
 REMEMBERED = 600_000  # distinct words whose values a worker keeps
 
@@ -93,8 +94,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     return sorted(((r["text"] or "", r["toxic"]) for r in texts), key=lambda x: zlib.crc32(x[0].encode()))
 
 
-def fit(sample: list[tuple[str, int]], window: int = WINDOW, rounds: int = 14, seed: int = 1) -> Model:
-    """Train vectors and softmax jointly; the last fifth of the sample sets the scale of the scores."""
+def fit(sample: list[tuple[str, int]], window: int = WINDOW, steps: int = 400, seed: int = 1) -> Model:
+    """Train vectors and softmax jointly, with as many rounds over the sample as make ``steps`` steps; every fifth text
+    of the sample is left out and sets the scale of the scores."""
     labels = np.array([y for _, y in sample])
     if len(set(labels.tolist())) < 2:
         share = float(labels.mean()) if len(labels) else 0.0
@@ -102,9 +104,12 @@ def fit(sample: list[tuple[str, int]], window: int = WINDOW, rounds: int = 14, s
     number: dict[str, int] = {}
     texts = [np.array([number.setdefault(w, len(number)) for w in WORD.findall(t.lower())], np.int64) for t, _ in sample]
     new = [fresh(t, window) for t in texts]
-    grams = [subwords(w) for w in number] or [[0]]
-    start = np.concatenate([[0], np.cumsum([len(g) for g in grams])])
-    flat = np.fromiter((x for g in grams for x in g), np.int64, int(start[-1]))
+    grams, counts = array("i"), []
+    for w in number or [""]:
+        parts = subwords(w)
+        counts.append(len(parts))
+        grams.extend(parts)
+    start, flat = np.concatenate([[0], np.cumsum(counts)]), np.frombuffer(grams, np.int32)
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1, 1, (BUCKETS, WIDTH)).astype(np.float32) / WIDTH
     soft, bias = rng.normal(0, 1, (2, WIDTH)).astype(np.float32), np.zeros(2, np.float32)
@@ -146,21 +151,23 @@ def fit(sample: list[tuple[str, int]], window: int = WINDOW, rounds: int = 14, s
             else:
                 bias = bias - change
 
+    rounds = max(12, -(-steps * BATCH // max(len(train), 1)))
     for r in range(rounds):
+        early = r < rounds // 5
         values = word_values()
         usual = float(values[clean].mean())
         order = rng.permutation(train)
-        for i in range(0, len(order), 128):
-            some, windows, sizes, ys = order[i:i + 128], [], [], []
+        for i in range(0, len(order), BATCH):
+            some, windows, sizes, ys = order[i:i + BATCH], [], [], []
             for d in some:
-                t, random = texts[d], r < 3
+                t, random = texts[d], early
                 spare = 4 if random else 1 - labels[d]
                 places = [int(rng.integers(max(1, len(t) - window + 1))) for _ in range(spare)]
                 places += [] if random else [int(means(d, values).argmax())]
                 windows += [t[p:p + window][new[d][p:p + window]] for p in places]
                 sizes += [min(window, len(t))] * len(places)
                 ys += [labels[d]] * len(places)
-            step(windows, np.array(sizes), np.array(ys), 0.15 if r < 3 else 0.08)
+            step(windows, np.array(sizes), np.array(ys), 0.15 if early else 0.08)
     values, gap = word_values(), float(bias[1] - bias[0])
     usual = float(values[clean].mean())
     check = [i for i in range(len(texts)) if i % 5 == 0 and len(texts[i])]
