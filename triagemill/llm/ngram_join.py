@@ -5,7 +5,8 @@ Rows of the matrix are the distinct n-gram sets, columns the n-grams.  Two rows
 some must be equal in both rows.  The steps:
 
 1. Equal sets become one row (a node).  Column blocks are made per size band (H follows from the band's largest size);
-   a row gives the hash of its content in each block.  Spare blocks let a row leave out its emptiest ones.
+   a row gives the hash of its content in each block.  There are more than H + 1 blocks: a row may leave out its emptiest
+   ones, and a row that shares fewer blocks than a link must leave equal is done, it has no link.
 2. Rows that are equal in some block meet.  Not all pairs of them: each block's rows are multiplied with one hub, the
    row that shares most.  The product gives the overlap count of every row with its hubs, and exact links.
 3. Two rows of a block that are not yet in one component have both been compared with the block's hub.  Their overlap
@@ -14,8 +15,8 @@ some must be equal in both rows.  The steps:
    of common differences that the sizes ask for.  The pairs left are multiplied exactly.
 
 Nothing is capped: a block with thousands of rows costs a product with its hub for each, and pairs are only formed where
-differences coincide.  Components come from rounds of star contraction.  N-grams are 64-bit hashes; sets are told apart
-by 128 bits.
+differences coincide.  Components come from rounds of star contraction.  N-grams and whole sets are told
+apart by 64-bit hashes.
 
 Cases: null or wordless texts have an empty set and are linked with nothing; a text with fewer words than ``n`` is one
 sequence; ties do not occur (components take the smallest id); repeated rows are kept; rows without id take part and get
@@ -37,7 +38,6 @@ from triagemill.llm.common import sent, ship
 from triagemill.session import settle
 
 N, NUM, DEN = 3, 90, 100
-SMALL = 3  # blocks with fewer n-grams say little; up to `_spare` of them are left out
 _U = np.uint64
 
 
@@ -66,6 +66,8 @@ class Bands:
 
     def __init__(self, num: int, den: int):
         self.num, self.den, self.low = num, den, [1]
+        # blocks with fewer n-grams than this say little (a share of what a block holds on average in small sets)
+        self.small = max(1, (den + num) * 20 // ((den - num) * 115)) if den > num else 1
         while self.low[-1] < 1 << 40:
             self.low.append(max(self.low[-1] + 1, -(-self.low[-1] * 5 // 4)))
 
@@ -75,13 +77,13 @@ class Bands:
         while self.num * max(n, self.low[band]) <= self.den * n:
             most = 2 * (self.low[band + 1] - 1) * (self.den - self.num) // (self.den + self.num)
             if most:  # otherwise only equal sets are linked
-                spare = 1 + most // 8
+                spare = 1 + most // 4
                 yield band, most + 1 + spare, spare
             band += 1
 
 
-def block_keys(grams: np.ndarray, bands: Bands) -> np.ndarray:
-    """Hashes of a row's content in its column blocks."""
+def block_keys(grams: np.ndarray, bands: Bands) -> list[tuple[int, np.ndarray]]:
+    """Per band, how many blocks a linked row must share, and the hashes of the row's content in its blocks."""
     keys = []
     if len(grams):
         content = _mix(grams, 77)
@@ -93,44 +95,67 @@ def block_keys(grams: np.ndarray, bands: Bands) -> np.ndarray:
             ends = np.cumsum(count)
             sums = total[ends] - total[ends - count]
             key = _mix(sums + _U(band << 32) + np.arange(blocks, dtype=np.uint64), 99)
-            large = count >= SMALL
-            keys.append(key[large] if blocks - large.sum() <= spare else key)
-    return np.concatenate(keys) if keys else np.empty(0, np.uint64)
+            large = count >= bands.small
+            gone = blocks - int(large.sum())
+            # small blocks that are equal are small in both rows; a row that keeps its small ones may meet one that does not
+            keys.append((1 + spare - gone, key[large]) if gone <= spare else (1, key))
+    return keys
 
 
-def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, text_key, size, two digests of the set and the block keys."""
-    bands = Bands(num, den)
+def _digest(grams: np.ndarray) -> int:
+    """64 bits of a set, whatever its order; it names the node."""
+    return int(_mix(_mix(grams, 5).sum(dtype=np.uint64, keepdims=True) + _U(len(grams)), 6).view(np.int64)[0])
+
+
+def _digests(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, text_key, size and digest of the set of every row."""
 
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, 512):
-                some, rows = b.slice(i, 512), []
-                for text in some.column(2).to_pylist():
+                some = b.slice(i, 512)
+                grams = [ngrams(t or b"", n) for t in some.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), some.column(1), pa.array(map(len, grams), pa.int64()), pa.array(map(_digest, grams), pa.int64())],
+                    ["doc_id", "text_key", "n", "node"])
+
+    return docs.mapInArrow(run, "doc_id long, text_key long, n long, node long")
+
+
+def _blocks(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """node, band (place among the node's bands), need and the block keys of documents.
+
+    Made anew where it is used: the keys are many, and cheaper to make than to keep.
+    """
+    bands = Bands(num, den)
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                rows = []
+                for text in b.slice(i, 256).column(2).to_pylist():
                     g = ngrams(text or b"", n)
-                    rows.append((len(g), int(_mix(g, 5).sum(dtype=np.uint64).astype(np.int64)),
-                                 int(np.bitwise_xor.reduce(_mix(g, 6), initial=_U(0)).astype(np.int64)), block_keys(g, bands).view(np.int64)))
-                cols = list(zip(*rows))
+                    rows += [(_digest(g), band, need, k.view(np.int64)) for band, (need, k) in enumerate(block_keys(g, bands))]
+                cols = list(zip(*rows)) or [()] * 4
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), some.column(1), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.list_(pa.int64()))],
-                    ["doc_id", "text_key", "n", "d1", "d2", "keys"])
+                    [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())))],
+                    ["node", "band", "need", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, n long, d1 long, d2 long, keys array<long>")
+    return docs.mapInArrow(run, "node long, band int, need int, keys array<long>")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """Digests and the sorted n-gram hashes (bytes) of documents."""
+    """Node, size and sorted n-gram hashes (bytes) of documents."""
 
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 grams = [ngrams(t or b"", n) for t in b.slice(i, 512).column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([int(_mix(g, 5).sum(dtype=np.uint64).astype(np.int64)) for g in grams], pa.int64()),
-                    pa.array([int(np.bitwise_xor.reduce(_mix(g, 6), initial=_U(0)).astype(np.int64)) for g in grams], pa.int64()),
-                    pa.array([g.tobytes() for g in grams], pa.binary())], ["d1", "d2", "grams"])
+                    pa.array(map(_digest, grams), pa.int64()), pa.array(map(len, grams), pa.int64()),
+                    pa.array([g.tobytes() for g in grams], pa.binary())], ["node", "n", "grams"])
 
-    return docs.mapInArrow(run, "d1 long, d2 long, grams binary")
+    return docs.mapInArrow(run, "node long, n long, grams binary")
 
 
 def _multiplied(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -188,28 +213,36 @@ def jaccard_join(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN, ke
     ship(docs.sparkSession)
     source = docs.select(
         F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).cast("binary").alias("t"))
-    rows = settle(_signatures(source, n, num, den), "signatures")
-    nodes = rows.filter("n > 0").groupBy("d1", "d2").agg(
-        F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("doc_id").alias("least"),
-        F.min(F.struct(F.col("doc_id"), F.col("text_key"))).alias("from"))
-    nodes = settle(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    # blocks that several rows share, and the hub of each
-    cells = nodes.select(F.explode("keys").alias("key"), "node")
-    shared = settle(cells.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "shared")
-    met = settle(cells.join(sent(shared), "key"), "met")
+    rows = settle(_digests(source, n), "digests")
+    nodes = settle(rows.filter("n > 0").groupBy("node").agg(
+        F.first("n").alias("n"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_key")).alias("from")), "nodes")
+    same = lambda t: F.col("doc_id").eqNullSafe(t["w_id"]) & (F.col("text_key") == t["w_key"])
+    # one document speaks for a node
+    copies = rows.join(nodes.select("node", "from"), "node").filter(F.struct("doc_id", "text_key") != F.col("from"))
+    copies = sent(settle(copies.select(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key")).distinct(), "copies"))
+    blocks = _blocks(source.join(copies, same(copies), "left_anti"), n, num, den)
+    cells = blocks.select(F.explode("keys").alias("key"), "node", "band")
+    # the keys that several rows have, and the rows that share as many as a link asks for
+    shared = settle(cells.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "shared")
+    met = settle(blocks.select(F.explode("keys").alias("key"), "node", "band", "need").join(sent(shared), "key").distinct(), "met")
+    enough = met.groupBy("node", "band").agg(F.count(F.lit(1)).alias("s"), F.max("need").alias("need")).filter("s >= need")
+    met = settle(met.join(sent(settle(enough.select("node", "band"), "enough")), ["node", "band"]).select("key", "node"), "kept")
+    shared = settle(met.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "shared")
+    met = settle(met.join(sent(shared), "key"), "met")
+    # each key's hub
     score = met.groupBy("node").agg(F.sum("c").alias("score"))
     scored = met.join(score, "node")
     hub = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("node")).alias("rest"))).alias("top"))
     pairs = met.join(hub.select("key", (-F.col("top.rest")).alias("b")), "key").filter("node <> b")
     # a block of two rows is done with its one pair; differences serve blocks of three and more
-    pairs = settle(pairs.groupBy(F.col("node").alias("a"), "b").agg((F.max("c") > 2).alias("wide")), "pairs")
+    pairs = pairs.groupBy(F.col("node").alias("a"), "b").agg((F.max("c") > 2).alias("wide"))
+    pairs = _sized(pairs, nodes).filter(F.col("wide") | (
+        (F.col("na") * num <= F.col("nb") * den) & (F.col("nb") * num <= F.col("na") * den)))
+    pairs = settle(pairs.select("a", "b", "wide"), "pairs")
     # full sets of the nodes that met another
     wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node")
-    wanted = settle(wanted.select("node", "n", "d1", "d2", "from.doc_id", "from.text_key"), "wanted")
-    table = sent(wanted.select(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key")))
-    texts = source.join(table, (F.col("text_key") == F.col("w_key")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
-    sets = settle(_sets(texts, n).join(sent(wanted.select("node", "n", "d1", "d2")), ["d1", "d2"]).dropDuplicates(["node"]).select(
-        "node", "n", "grams"), "sets")
+    wanted = sent(settle(wanted.select(F.col("from.doc_id").alias("w_id"), F.col("from.text_key").alias("w_key")), "wanted"))
+    sets = settle(_sets(source.join(wanted, same(wanted), "left_semi"), n).dropDuplicates(["node"]), "sets")
     size = sets.select("node", "n")
     done = settle(_sized(_multiplied(pairs, sets), size), "products")
     close = (F.col("common") * den >= (F.col("na") + F.col("nb") - F.col("common")) * num)
@@ -220,10 +253,10 @@ def jaccard_join(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN, ke
     found = settle(_sized(_multiplied(more.withColumn("wide", F.lit(False)), sets), size).filter(close).select("a", "b"), "links")
     root = settle(components(links.unionAll(found)), "roots")
     # the smallest document id of each component
-    labelled = nodes.select("node", "d1", "d2", "least").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled = nodes.select("node", "least").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = labelled.join(smallest, "root").select("d1", "d2", "component_id", F.col("root").alias("group"))
-    out = rows.select("doc_id", "text_key", "n", "d1", "d2").join(labelled, ["d1", "d2"], "left")
+    labelled = labelled.join(smallest, "root").select("node", "component_id", F.col("root").alias("group"))
+    out = rows.join(labelled, "node", "left")
     return out.select(
         F.col("doc_id").alias(key), "text_key", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "group")
@@ -259,10 +292,11 @@ def _by_differences(done: DataFrame, root: DataFrame, num: int, den: int) -> Dat
         root.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
     open_hubs = named.groupBy("hub").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("hub")
     named = settle(named.join(open_hubs, "hub", "left_semi"), "open")
-    cells = named.select("hub", "x", F.explode("differ").alias("col"))
-    often = cells.groupBy("hub", "col").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    cells = named.select("hub", "x", F.explode("differ").alias("col")).withColumn("cell", F.xxhash64("hub", "col"))
+    # counted by hash: where two cells share one, both have the larger count, which keeps the order sound
+    often = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     # columns that one row alone has come first and match nothing; then the rarest of the others
-    rare = cells.join(often, ["hub", "col"]).groupBy("hub", "x").agg(F.array_sort(F.collect_list(F.struct("often", "col"))).alias("cols"))
+    rare = cells.join(often, "cell").groupBy("hub", "x").agg(F.array_sort(F.collect_list(F.struct("often", "col"))).alias("cols"))
     front = named.select("hub", "x", "n", "root", F.size("differ").alias("d")).join(rare, ["hub", "x"]).select(
         "hub", "x", "n", "root", "d", F.posexplode("cols").alias("i", "c"), (F.col("d") - F.size("cols")).alias("alone"))
     most = lambda m: F.floor((F.col("n") + m) * (den - num) / F.lit(den + num))  # noqa: E731  most differences of a link
