@@ -66,6 +66,28 @@ def test_positions_totals_maxima_following(frame, rows, blocks):
             best = r[3] if best is None else max(best, r[3])
 
 
+@pytest.mark.parametrize("kind", ["long", "decimal(30,2)"])
+def test_hot_times_that_are_equal_as_doubles(spark, kind):
+    """Nanoseconds: 256 of them are one double. The tie runs against the time, and one time is very frequent."""
+    rng = random.Random(5)
+    start = 1_704_067_200_000_000_000 if kind == "long" else 10**26
+    span = 700 if kind == "long" else 10**11
+    times = [start + (span // 2 if i % 4 == 0 else rng.randrange(span)) for i in range(900)] + [(1 << 63) - 1, -(1 << 63), (1 << 63) - 2]
+    rows = [("hot", t, -(t % 100_003) * 1000 + i, float(i % 7)) for i, t in enumerate(times)]
+    df = spark.createDataFrame([(k, str(t), i, v) for k, t, i, v in rows], "key string, t string, id long, v double")
+    df = df.withColumn("t", F.col("t").cast(kind)).repartition(5)
+    want = sorted(rows, key=lambda r: (r[1], r[2]))
+    for keys in (["key"], []):
+        made = positioned(df, keys, "t", "id", following="v", totals={"sum_v": "v"}, blocks=16)
+        got = {r.id: (r.position, r.next_v, r.sum_v) for r in made.collect()}
+        total = 0.0
+        for i, r in enumerate(want):
+            total += r[3]
+            assert got[r[2]] == (i, want[i + 1][3] if i + 1 < len(want) else None, total)
+    sizes = order_blocks(df, "t", "id", 64).groupBy("_block").count().agg(F.max("count")).first()[0]
+    assert sizes < 90  # 225 rows share one time
+
+
 def test_hot_null_key_keeps_its_rows(frame, rows):
     df = frame.withColumn("key", F.when(F.col("key") != "hot", F.col("key")))
     got = positioned(df, ["key"], "t", "id", following="v", blocks=16).filter("key is null").collect()

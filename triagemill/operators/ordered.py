@@ -31,6 +31,27 @@ def _numeric(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
+def _parts(df: DataFrame, name: str) -> list[Column]:
+    """Doubles whose order, one after the other, is the exact order of the column.
+
+    A whole number above 2^53 or a decimal of more than 15 digits (up to 37)
+    is its double and what that leaves of it; other types are exact as doubles.
+    """
+    kind, x = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, T.DecimalType) and kind.precision > 15:
+        sql, most, parts = kind.simpleString(), F.lit(0), 1 + (kind.precision - 1) // 15
+    elif isinstance(kind, (T.LongType, T.TimestampType, T.TimestampNTZType)):
+        x = x if isinstance(kind, T.LongType) else F.unix_micros(x.cast("timestamp"))
+        sql, most, parts = "bigint", F.lit((1 << 63) - 1), 2
+    else:
+        return [_numeric(df, name)]
+    out = [x.cast("double")]
+    while len(out) < parts:  # a double beyond the type's range stands for the value that is subtracted instead
+        x = x - F.coalesce(out[-1].try_cast(sql), most.cast(sql))
+        out.append(x.cast("double"))
+    return out
+
+
 def block_count(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4)
 
@@ -57,29 +78,28 @@ def order_blocks(df: DataFrame, time: str, tie: str | None = None, blocks: int |
     """Add ``_block``: larger times never get a smaller block; nulls come last.
 
     ``tie`` (numeric) cuts further where very many rows share one time: such a
-    time is itself a quantile, and its rows are sub-divided by ``tie``.
+    time is itself a quantile, and its rows are sub-divided by ``tie``. Times
+    are told apart exactly, also where they are equal as doubles.
     """
     blocks = blocks or block_count(df)
-    columns = [c for c in (time, tie) if c]
-    names = [f"_o{i}" for i in range(len(columns))]
-    keys = df.select(*[_numeric(df, c).alias(n) for c, n in zip(columns, names)])
+    levels = _parts(df, time) + ([_numeric(df, tie)] if tie else [])
+    names = [f"_o{i}" for i in range(len(levels))]
+    keys = df.select(*[c.alias(n) for c, n in zip(levels, names)])
     found = keys.approxQuantile(names, [j / blocks for j in range(1, blocks)], 0.1 / blocks)
     cuts = [sorted(set(q)) for q in found]
-    # order-preserving rank of a time: 2 * (cuts below it) + (1 when it is a cut)
-    out = df.withColumn("_o0", _numeric(df, time))
-    out = _below(out, "_o0", "_b0", cuts[0])
-    on_cut = F.lit(False)
-    if cuts[0]:
-        lower = F.get(F.array(*[F.lit(c) for c in cuts[0]]), (F.col("_b0") - 1).cast("int"))
-        on_cut = F.coalesce(lower == F.col("_o0"), F.lit(False))
-    if tie:
-        out = _below(out.withColumn("_o1", _numeric(df, tie)), "_o1", "_b1", cuts[1])
-        sub = F.when(on_cut, F.coalesce(F.col("_b1"), F.lit(len(cuts[1])))).otherwise(F.lit(len(cuts[1]) + 1))
-    else:
-        sub = F.lit(0)
-    width = len(cuts[1]) + 2 if tie else 1
-    block = F.coalesce(F.col("_b0") * width + sub, F.lit((len(cuts[0]) + 1) * width))
-    return out.withColumn(BLOCK, block.cast("long")).drop("_o0", "_o1", "_b0", "_b1")
+    out = df.withColumns(dict(zip(names, levels)))
+    # order-preserving rank: cuts at or below the value; rows on a cut come first, sub-divided by the next level
+    block, width = F.lit(0), 1
+    for i in reversed(range(len(levels))):
+        value, below, here = F.col(f"_o{i}"), F.col(f"_b{i}"), cuts[i]
+        out = _below(out, f"_o{i}", f"_b{i}", here)
+        if i + 1 < len(levels):
+            lower = F.get(F.array(*[F.lit(c) for c in here]), (below - 1).cast("int")) if here else F.lit(None)
+            on_cut = F.coalesce(lower == value, F.lit(False))
+            block, width = F.when(on_cut, block).otherwise(F.lit(width)), width + 1
+        last = (len(here) + 2) * width - 1
+        block, width = F.coalesce(below * width + block, F.lit(last)), last + 1
+    return out.withColumn(BLOCK, block.cast("long")).drop(*names, *[f"_b{i}" for i in range(len(levels))])
 
 
 def _below(df: DataFrame, source: str, target: str, cuts: Sequence[float]) -> DataFrame:
