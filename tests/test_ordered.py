@@ -153,6 +153,14 @@ def test_transitions_edges(spark):
     assert got == {1: (0, 7.0, True), 2: (0, 1.0, False), 3: (1, 1.0, True), 6: (0, 3.0, False), 5: (1, 3.0, True)}
 
 
+def test_alerts_without_incident_keep_their_order(spark):
+    data = [("a", 2, 1), ("a", 1, 2), (None, 5, 3), (None, 4, 5), (None, 4, 4), (None, None, 6)]
+    df = spark.createDataFrame(data, "incident_id string, ts long, event_id long")
+    want = {2: (0, 2), 1: (1, 2), 4: (0, 4), 5: (1, 4), 3: (2, 4), 6: (3, 4)}
+    got = {r.event_id: (r.position, r.group_size) for r in S.order_incidents(df).collect()}
+    assert got == want
+
+
 def stop_rule(scores, delta, patience, least):
     best, best_epoch, waited = None, None, 0
     for epoch, s in enumerate(scores, 1):

@@ -14,14 +14,20 @@ from triagemill.operators.ordered import positioned
 
 
 def order_incidents(df: DataFrame, incident: str = "incident_id", time: str = "ts", tie: str = "event_id") -> DataFrame:
-    """Number the alerts of each incident by time; unreadable times come last."""
-    return positioned(df.filter(F.col(incident).isNotNull()), [incident], time, tie)
+    """Number the alerts of each incident by time; unreadable times come last.
+
+    Alerts without an incident are kept as a group of their own.
+    """
+    return positioned(df, [incident], time, tie)
 
 
 def transitions(
     df: DataFrame, state: str = "state", incident: str = "incident_id", time: str = "ts", tie: str = "event_id",
 ) -> DataFrame:
-    """Next state, step and end flag; the last alert of an incident keeps its own state."""
+    """Next state, step and end flag; the last alert of an incident keeps its own state.
+
+    Alerts without an incident are left out, as by the reference's groupby.
+    """
     rows = positioned(df.filter(F.col(incident).isNotNull()), [incident], time, tie, following=state)
     done = F.col("position") == F.col("group_size") - 1
     return rows.withColumns({
