@@ -186,6 +186,52 @@ def test_early_stopping(spark):
         assert got == {run: stop_rule(xs, delta, patience, least) for run, xs in runs.items()}
 
 
+def whole_stop_rule(rows, delta, patience, least, tolerance, window):
+    """The reference's loop: decline, then convergence, then patience."""
+    best, best_epoch, waited = None, None, 0
+    for epoch, (s, _) in enumerate(rows, 1):
+        if best is None or s > best + delta:
+            best, best_epoch, waited = s, epoch, 0
+        else:
+            waited += 1
+        recent = rows[max(0, epoch - window):epoch]
+        scores, rewards = [x for x, _ in recent], [y for _, y in recent if y is not None]
+        if epoch < least:
+            continue
+        if len(scores) == len(rewards) == window:
+            flat = max(scores) - min(scores) <= tolerance
+            flat = flat and max(rewards) - min(rewards) <= max(tolerance, max(abs(sum(rewards) / window), 1.0) * 0.0025)
+            if scores[-1] < best - delta and all(b <= a + delta * 0.25 for a, b in zip(scores, scores[1:])):
+                return best_epoch, best, epoch, "persistent_validation_decline"
+            if flat and all(x <= best + delta for x in scores):
+                return best_epoch, best, epoch, "validation_and_policy_converged"
+        if waited >= patience:
+            return best_epoch, best, epoch, "validation_patience_exhausted"
+    return best_epoch, best, len(rows), "max_epochs_reached"
+
+
+def test_early_stopping_by_decline_and_convergence(spark):
+    rng = random.Random(12)
+    runs = {
+        "converges": [(0.5, 1.0)] * 30, "declines": [(0.9 - i / 50, float(i)) for i in range(30)],
+        "no reward": [(0.5, None if i % 3 == 0 else 1.0) for i in range(30)],
+        "again": [(0.3, 1.0)] * 4 + [(0.5, 1.0)] * 26}
+    for i in range(60):
+        score, out = 0.5, []
+        for _ in range(rng.randrange(1, 40)):
+            score += rng.choice(((-0.03, -0.01, 0.002), (-0.004, 0.0, 0.004), (-0.05, 0.02, 0.05))[i % 3])
+            out.append((score, rng.choice((1.0, 1.0, 1.004, None if i % 5 == 0 else 1.0))))
+        runs[f"r{i}"] = out
+    data = [(run, e, s, w) for run, xs in runs.items() for e, (s, w) in enumerate(xs, 1)]
+    df = spark.createDataFrame(data, "run_id string, epoch long, score double, reward double").repartition(6)
+    seen = set()
+    for delta, patience, least in ((0.01, 8, 5), (0.01, 5, 9)):
+        got = {r.run_id: tuple(r)[1:] for r in RS.replay_early_stopping(df, delta, patience, least, tolerance=0.02, window=4).collect()}
+        assert got == {run: whole_stop_rule(xs, delta, patience, least, 0.02, 4) for run, xs in runs.items()}
+        seen |= {x[3] for x in got.values()}
+    assert len(seen) == 4
+
+
 def test_early_stopping_in_pieces(spark, monkeypatch):
     rng = random.Random(8)
     runs = {f"r{i}": sorted(rng.random() for _ in range(50)) if i % 2 else [rng.random() for _ in range(9)] for i in range(6)}

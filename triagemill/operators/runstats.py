@@ -78,43 +78,66 @@ def accepted_points(numbered: DataFrame, min_delta: float, score: str, run: str,
     return out
 
 
+REASONS = ("persistent_validation_decline", "validation_and_policy_converged", "validation_patience_exhausted")
+
+
 def replay_early_stopping(
     history: DataFrame, min_delta: float, patience: int, min_epochs: int,
     score: str = "score", run: str = "run_id", epoch: str = "epoch",
+    tolerance: float | None = None, window: int = 6, reward: str = "reward",
 ) -> DataFrame:
-    """Best epoch with hysteresis, and where patience would have stopped the run."""
+    """Best epoch with hysteresis, and where the run would have stopped.
+
+    The first of three exits counts: persistent decline, convergence (both as in
+    :func:`stability_flags`) and patience; in one epoch they go in this order.
+    Without ``tolerance`` there is no reward to judge and patience is the only exit.
+    """
     numbered = _first_records(history, score, run, epoch)
     ends = numbered.groupBy(run).agg(
         F.max("_at").alias("_last"), F.min(F.when(F.col(epoch) >= min_epochs, F.col("_at"))).alias("_from"))
     # a span lasts from one accepted epoch to the next; patience ends in the first long one
-    points = accepted_points(numbered, min_delta, score, run, epoch).select(run, "at", F.col("epoch").alias("_e"), F.col("score").alias("_s"))
+    accepted = accepted_points(numbered, min_delta, score, run, epoch)
+    points = accepted.select(run, "at", F.col("epoch").alias("_e"), F.col("score").alias("_s"))
     spans = points.withColumn("_next", F.lead("at").over(Window.partitionBy(run).orderBy("at"))).join(
         ends.withColumnRenamed(run, "_run"), F.col(run).eqNullSafe(F.col("_run"))).drop("_run")
     stop = F.greatest(F.col("at") + patience, F.col("_from"))
     ends_here = F.col("_from").isNotNull() & (stop <= F.col("_last")) & (F.col("_next").isNull() | (stop < F.col("_next")))
+    exit_ = F.when(ends_here, F.struct(stop.alias("at"), F.lit(2).alias("why")))
+    if tolerance is not None:
+        flags = _stability(numbered, accepted, min_delta, tolerance, min_epochs, window, score, reward, run, epoch)
+        why = F.when(F.col("declining"), 0).when(F.col("converged"), 1)
+        first = flags.groupBy(run).agg(F.min(F.when(why.isNotNull(), F.struct(F.col("_at").alias("at"), why.alias("why")))).alias("_flag"))
+        spans = spans.join(first.withColumnRenamed(run, "_run"), F.col(run).eqNullSafe(F.col("_run")), "left").drop("_run")
+        flagged = (F.col("_flag.at") >= F.col("at")) & (F.col("_next").isNull() | (F.col("_flag.at") < F.col("_next")))
+        exit_ = F.least(exit_, F.when(flagged, F.col("_flag")))
     best = [F.col("_e").alias("epoch"), F.col("_s").alias("score")]
-    t = spans.groupBy(run).agg(
-        F.min(F.when(ends_here, F.struct(stop.alias("at"), *best))).alias("_stop"),
+    t = spans.withColumn("_exit", exit_).groupBy(run).agg(
+        F.min(F.when(F.col("_exit").isNotNull(), F.struct("_exit.at", "_exit.why", *best))).alias("_stop"),
         F.max(F.struct("at", *best)).alias("_final"), F.max("_last").alias("_last"))
-    shown = F.coalesce(F.col("_stop"), F.col("_final"))
     stopped = F.col("_stop").isNotNull()
+    shown = lambda name: F.when(stopped, F.col(f"_stop.{name}")).otherwise(F.col(f"_final.{name}"))
     return t.select(
-        run, shown["epoch"].alias("best_epoch"), shown["score"].alias("best_score"),
+        run, shown("epoch").alias("best_epoch"), shown("score").alias("best_score"),
         F.when(stopped, F.col("_stop.at")).otherwise(F.col("_last")).alias("validations_used"),
-        F.when(stopped, "validation_patience_exhausted").otherwise("max_epochs_reached").alias("stopping_reason"))
+        F.when(stopped, F.get(F.array(*map(F.lit, REASONS)), F.col("_stop.why"))).otherwise("max_epochs_reached").alias("stopping_reason"))
 
 
 def stability_flags(
     history: DataFrame, min_delta: float, tolerance: float, min_epochs: int, window: int = 6,
     score: str = "score", reward: str = "reward", run: str = "run_id", epoch: str = "epoch", piece: int = 50_000,
 ) -> DataFrame:
-    """Convergence and persistent decline over the last ``window`` validations.
+    """Convergence and persistent decline over the last ``window`` validations, each with a score and a reward.
 
     The frame is short, so a run is cut into pieces by position and the rows
     just before a piece are repeated in it.
     """
     numbered = _first_records(history, score, run, epoch)
     points = accepted_points(numbered, min_delta, score, run, epoch)
+    return _stability(numbered, points, min_delta, tolerance, min_epochs, window, score, reward, run, epoch, piece).drop("_at")
+
+
+def _stability(numbered, points, min_delta, tolerance, min_epochs, window, score, reward, run, epoch, piece=50_000) -> DataFrame:
+    """The flags with ``_at``, from the numbered epochs and the accepted points among them."""
     marked = numbered.drop("position", "group_size", "_best_before").join(
         points.select(F.col(run).alias("_run"), "at", F.col("score").alias("_accepted")),
         F.col(run).eqNullSafe(F.col("_run")) & (F.col("_at") == F.col("at")), "left").drop("_run", "at")
@@ -127,7 +150,7 @@ def stability_flags(
     ordered = Window.partitionBy(run, "_piece").orderBy("position")
     frame = ordered.rowsBetween(-(window - 1), 0)
     cut = cut.withColumn("_prev", F.lag(score).over(ordered)).withColumns({
-        "_n": F.count(score).over(frame), "_hi": F.max(score).over(frame), "_lo": F.min(score).over(frame),
+        "_n": F.count(F.when(F.col(reward).isNotNull(), F.col(score))).over(frame), "_hi": F.max(score).over(frame), "_lo": F.min(score).over(frame),
         "_rhi": F.max(reward).over(frame), "_rlo": F.min(reward).over(frame), "_ravg": F.avg(reward).over(frame)})
     falls = (F.col(score) <= F.col("_prev") + min_delta * 0.25).cast("int")
     cut = cut.withColumn("_falls", F.sum(falls).over(ordered.rowsBetween(-(window - 2), 0)))
@@ -138,7 +161,7 @@ def stability_flags(
     converged = full & flat & (F.col("_hi") <= F.col("best_so_far") + min_delta)
     declines = full & (F.col(score) < F.col("best_so_far") - min_delta) & (F.col("_falls") == window - 1)
     return cut.filter(F.col("_own") == F.col("_piece")).select(
-        run, epoch, "best_so_far", F.coalesce(converged, F.lit(False)).alias("converged"),
+        run, epoch, "_at", "best_so_far", F.coalesce(converged, F.lit(False)).alias("converged"),
         F.coalesce(declines, F.lit(False)).alias("declining"))
 
 
