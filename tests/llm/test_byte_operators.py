@@ -155,6 +155,19 @@ def test_top_k(spark):
     assert topk.top_k(frame.limit(0), F.lit(True), 5).count() == 0
 
 
+def test_top_k_of_repeated_queries(spark):
+    rng = random.Random(14)
+    vectors = [[float(rng.randrange(-9, 10)) for _ in range(4)] for _ in range(120)]
+    rows = list(enumerate(vectors)) + [(50, vectors[50])] * 2 + [(100, vectors[3]), (100, vectors[3]), (7, vectors[7])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = topk.top_k(frame, F.col("vec_id") % 50 == 0, 5, scale=1, rows_per_block=32, queries_per_block=2).collect()
+    want = []
+    for q, a in {(i, tuple(v)) for i, v in rows if i % 50 == 0}:  # 0, 50 and two vectors of 100
+        best = sorted((-int(sum(x * y for x, y in zip(a, b))), i) for i, b in rows if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 20
+
+
 def test_top_k_stops_early():
     rows = np.zeros((4096, 3))
     rows[:20, 0] = np.arange(100, 120)

@@ -11,7 +11,8 @@ Components become ``floor(scale * x)``, whole numbers, so scores are exact.
 
 Cases: vectors that are null or hold a null or non-finite component take no part; shorter vectors count as continued
 with zeros; rows without id are no queries and come last among ties; repeated rows are candidates each, and every row
-but the query's own id is one; an empty table gives no rows; other columns are ignored.
+but the query's own id is one; equal rows are one query, and several vectors of one id are a query each, so that such an
+id has every rank as often as it has vectors; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,21 +89,22 @@ def whole(vector: Column, scale: int) -> Column:
 
 def top_k(table: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, key: str = "vec_id", vector: str = "embedding",
           rows_per_block: int = ROWS, queries_per_block: int = QUERIES) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best rows by inner product for every row that is a query."""
+    """query_id, rank, vec_id, score: the k best rows by inner product for every id and vector that is a query."""
     spark = table.sparkSession
     ship(spark)
     x = F.col(vector)
     sound = x.isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf")))
     rows = settle(table.filter(sound).select(
         F.col(key).cast("bigint").alias("id"), whole(x, scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")), "vectors")
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("q and id is not null")).alias("m"), F.max(F.size("v")).alias("w")).first()
-    blocks, askers = max(1, -(-size["n"] // rows_per_block)), max(1, -(-size["m"] // queries_per_block))
+    asking = settle(rows.filter("q and id is not null").select("id", "v").distinct().withColumn("n", F.monotonically_increasing_id()), "queries")
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("w")).first()
+    blocks, askers = max(1, -(-size["n"] // rows_per_block)), max(1, -(-asking.count() // queries_per_block))
     width = size["w"] or 0
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # blocks by hash, so that no value of any column decides how full one is; every pair of blocks is one group
     block = lambda n, salt: F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.lit(n)).cast("int")
     left = rows.select("id", "v", block(blocks, 1).alias("rb"), each(askers).alias("qb"))
-    right = rows.filter("q and id is not null").select("id", "v", each(blocks).alias("rb"), block(askers, 2).alias("qb"))
+    right = asking.select("id", "v", "n", each(blocks).alias("rb"), block(askers, 2).alias("qb"))
 
     def meet(mine: pa.Table, asked: pa.Table) -> pa.Table:
         out = []
@@ -110,12 +112,12 @@ def top_k(table: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, ke
             vectors = mine.column("v").to_pylist() + asked.column("v").to_pylist()
             both = _matrix(vectors, width)
             lists = SortedLists(np.array(mine.column("id").to_pylist(), object), both[:mine.num_rows])
-            for q, row in zip(asked.column("id").to_pylist(), both[mine.num_rows:]):
-                out += [(q, i, s) for s, i in lists.search(row, q, k)]
-        cols = list(zip(*out)) or [(), (), ()]
-        return pa.table([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
+            for n, q, row in zip(asked.column("n").to_pylist(), asked.column("id").to_pylist(), both[mine.num_rows:]):
+                out += [(n, q, i, s) for s, i in lists.search(row, q, k)]
+        cols = list(zip(*out)) or [(), (), (), ()]
+        return pa.table([pa.array(c, pa.int64()) for c in cols], ["n", "query_id", "vec_id", "score"])
 
-    found = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(meet, "query_id long, vec_id long, score long")
-    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
+    found = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(meet, "n long, query_id long, vec_id long, score long")
+    order = W.partitionBy("n").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("vec_id").alias(key), "score")
