@@ -256,3 +256,24 @@ def test_link_graph(spark):
         gap = distrust.get(h, 0) - trust.get(h, 0)
         assert r["verdict"] == ("block" if gap > 0.2 else "allow")
     assert [rows[h]["verdict"] for h in ("farm.net", "far.net", "both.net", "lone.net")] == ["block", "block", "allow", "allow"]
+
+
+def test_link_graph_with_a_long_chain_and_a_loop(spark):
+    """Against the exact solution of score = seed + damping * (share of the scores that link here)."""
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(16)]
+    loop = [(f"l{i}", f"l{(i + 1) % 13}") for i in range(13)] + [("l3", "l0"), ("l3", "c2")]
+    links = chain + loop
+    hosts = sorted({h for x in links for h in x})
+    at = {h: i for i, h in enumerate(hosts)}
+    seeds = {"c0": (1.0, 0.0), "l0": (1.0, 0.25), "c16": (0.0, 1.0)}
+    want = []
+    for side in (0, 1):
+        pairs = [x[::-1] if side else x for x in links]
+        matrix = np.zeros((len(hosts), len(hosts)))
+        for x, y in pairs:
+            matrix[at[y], at[x]] = 0.6 / sum(u == x for u, _ in pairs)
+        want.append(np.linalg.solve(np.eye(len(hosts)) - matrix, [seeds.get(h, (0.0, 0.0))[side] for h in hosts]))
+    frame = spark.createDataFrame([(h, *w) for h, w in seeds.items()], "host string, trust double, distrust double")
+    rows = {r["host"]: r for r in urlgraph.spread(spark.createDataFrame(links, "src string, dst string"), frame, damping=0.6).collect()}
+    assert [rows[h]["trust"] for h in hosts] == pytest.approx(want[0], abs=2e-6)
+    assert [rows[h]["distrust"] for h in hosts] == pytest.approx(want[1], abs=2e-6)

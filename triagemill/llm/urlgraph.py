@@ -4,7 +4,9 @@ A page is judged by the longest rule that fits its host (or a parent domain) and
 are judged by their host: trust flows along links from hosts whose pages rules allow, distrust flows against the links
 from hosts whose pages rules block (who links to a bad host is suspect).  Both are personalised PageRanks over distinct
 host edges; a seed's weight is the share of its pages that the rules allow or block.  A host is blocked when its
-distrust exceeds its trust by more than ``threshold``, on the scale where a wholly listed host has 1.
+distrust exceeds its trust by more than ``threshold``, on the scale where a wholly listed host has 1.  Rounds go on until
+the scores of all hosts together change by no more than ``epsilon``; no score then lacks more than
+``epsilon * damping / (1 - damping)``.
 
 Cases: a null url or one without ``://`` has an empty host and path, which no rule and no link concerns; null html has
 no links; links of a host to itself are dropped; repeated rows are judged each; an empty table gives no rows; other
@@ -13,6 +15,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +24,8 @@ from triagemill.llm.common import UPPER, sent
 from triagemill.session import settle
 
 LINK = r"(?i)\bhref\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s<>\\]+)"
-DAMPING, ROUNDS, THRESHOLD = 0.85, 10, 0.5
+DAMPING, EPSILON, THRESHOLD = 0.85, 1e-6, 0.5
+ROUNDS = 10  # of the SQL text, which cannot go on until nothing changes
 
 
 def _rest(url: Column) -> Column:
@@ -69,7 +74,7 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.filter((F.col("src") != "") & (F.col("src") != F.col("dst"))).distinct()
 
 
-def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, epsilon: float = EPSILON) -> DataFrame:
     """``trust`` and ``distrust`` of every host that a seed reaches; seeds have host, trust, distrust."""
     sides = links.select(F.lit("trust").alias("side"), F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(
         links.select(F.lit("distrust").alias("side"), F.col("dst").alias("a"), F.col("src").alias("b")))
@@ -79,23 +84,28 @@ def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     start = settle(seeds.select("host", F.expr("stack(2, 'trust', trust, 'distrust', distrust) AS (side, weight)")).filter(
         "weight > 0"), "seeds")
     score = start.select("side", "host", F.col("weight").alias("score"))
-    for _ in range(rounds if edges.take(1) else 0):  # without links every round gives the seeds again
+    total = (start.agg(F.sum("weight")).first()[0] or 0.0) if edges.take(1) else 0.0  # without links the seeds are all
+    # round n moves at most total * damping^n, so that the last of these is below epsilon whatever the links are
+    for _ in range(math.ceil(math.log(epsilon / total, damping)) if total > epsilon else 0):
         moved = edges.join(score.withColumnRenamed("host", "a"), ["side", "a"]).select(
             "side", F.col("b").alias("host"), (F.lit(damping) * F.col("score") / F.col("out")).alias("score"))
         score = settle(
             start.select("side", "host", F.col("weight").alias("score")).unionByName(moved)
             .groupBy("side", "host").agg(F.sum("score").alias("score")), "score")
+        before, total = total, score.agg(F.sum("score")).first()[0]
+        if total - before <= epsilon:  # scores only grow
+            break
     return score.groupBy("host").agg(*[
         F.coalesce(F.sum(F.when(F.col("side") == s, F.col("score"))), F.lit(0.0)).alias(s) for s in ("trust", "distrust")])
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS,
+def judge_urls(pages: DataFrame, rules: DataFrame, damping: float = DAMPING, epsilon: float = EPSILON,
                threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule (or null) and verdict of every page, with the host's trust and distrust."""
     matched = settle(match_rules(pages, rules), "matched")
     share = lambda v: F.avg(F.when(F.col("ruled") == v, 1.0).otherwise(0.0))
     seeds = matched.filter("host != ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    scores = settle(spread(host_links(pages), seeds, damping, rounds), "hosts")
+    scores = settle(spread(host_links(pages), seeds, damping, epsilon), "hosts")
     judged = matched.join(sent(scores), "host", "left")
     gap = F.coalesce(F.col("distrust") - F.col("trust"), F.lit(0.0))
     return judged.select(
