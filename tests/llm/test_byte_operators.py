@@ -258,6 +258,14 @@ def test_link_graph(spark):
     assert [rows[h]["verdict"] for h in ("farm.net", "far.net", "both.net", "lone.net")] == ["block", "block", "allow", "allow"]
 
 
+def test_toxicity_sample_has_one_text_of_an_id(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(ids[0], f"copy {i}") for i in range(500)] + [(i, f"text {i}") for i in ids[1:]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    sample = toxicity.training_sample(docs.repartition(4), labels)
+    assert len(sample) == len(ids) and sum(t.startswith("copy") for t, _ in sample) == 1
+
+
 def test_link_graph_with_a_long_chain_and_a_loop(spark):
     """Against the exact solution of score = seed + damping * (share of the scores that link here)."""
     chain = [(f"c{i}", f"c{i + 1}") for i in range(16)]

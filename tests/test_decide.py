@@ -82,6 +82,15 @@ def test_routing_without_staff(spark):
     assert {r.assigned_analyst for r in D.route_to_analysts(reviews, work).collect()} == {None}
 
 
+def test_routing_lists_no_more_places_than_reviews(spark):
+    work = spark.createDataFrame(
+        [("a", 5_000_000_000, 1), ("b", 5_000_000_000, 0), ("c", 2, 2), ("d", 4_999_999_999, 0)], "analyst_id string, capacity long, load long")
+    reviews = spark.range(5).select(F.col("id").alias("event_id"), F.col("id").alias("ts"))
+    got = [r.assigned_analyst for r in D.route_to_analysts(reviews, work).orderBy("ts").collect()]
+    assert got == one_by_one([tuple(r) for r in work.collect()], 5)
+    assert D.route_to_analysts(reviews.limit(0), work).count() == 0
+
+
 def test_historical_reward(spark):
     df = spark.createDataFrame([(0, 0, 8.0), (1, 0, 8.0), (2, 1, 20.0), (3, 2, 3.0), (2, 0, -40.0), (1, 1, -15.0), (3, 0, -8.0), (2, 2, -12.0)], "g long, a long, want double")
     for r in df.select("want", R.historical_reward(F.col("g"), F.col("a")).alias("got")).collect():

@@ -83,14 +83,16 @@ def held_out(key: Column, folds: int = 5) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[tuple[str, int]]:
-    """At most ``per_class`` texts of either label, those with the smallest hashes of their id."""
+    """At most ``per_class`` texts of either label, those with the smallest hashes of their id; one text of an id."""
     marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
     known = docs.select("doc_id").distinct()
     pick = [marked.filter(F.col("toxic") == y).join(known, "doc_id", "left_semi").orderBy("h", "doc_id").limit(per_class) for y in (0, 1)]
     rows = pick[0].unionAll(pick[1]).collect()  # at most 2 * per_class narrow rows
     chosen = docs.sparkSession.createDataFrame([(r["doc_id"], int(r["toxic"])) for r in rows], "doc_id long, toxic int")
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
+    # an id in many rows gives the text with the smallest hash, chosen per task before anything is sent
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"]
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(least.alias("text")).collect()
     return sorted(((r["text"] or "", r["toxic"]) for r in texts), key=lambda x: zlib.crc32(x[0].encode()))
 
 

@@ -66,19 +66,22 @@ def route_to_analysts(reviews: DataFrame, workload: DataFrame, time: str = "ts",
     staff = settle(workload.select(
         "analyst_id", F.coalesce("capacity", F.lit(0)).cast("long").alias("cap"),
         F.coalesce("load", F.lit(0)).cast("long").alias("load")), "staff")
+    # nobody takes more places than there are reviews, and those an analyst takes are the lowest free ones
+    wanted = F.least(F.greatest(F.col("cap") - F.col("load"), F.lit(0)), F.lit(reviews.count()))
     # one row about the staff: how many places are free, and how long the two tables get
     start = F.greatest("load", "cap")
     facts = staff.agg(
         F.coalesce(F.sum(F.greatest(F.col("cap") - F.col("load"), F.lit(0))), F.lit(0)).alias("places"),
+        F.coalesce(F.sum(wanted), F.lit(0)).alias("listed"),
         F.count(F.lit(1)).alias("people"), F.count_distinct(start).alias("levels")).first()
 
     def small(table: DataFrame, rows: int) -> DataFrame:
         return F.broadcast(table) if rows <= BROADCAST_ROWS else table
 
-    free = staff.filter("load < cap").select(
-        "analyst_id", "cap", F.explode(F.sequence(F.col("load"), F.col("cap") - 1)).alias("at"))
-    order = Window.partitionBy().orderBy("at", F.col("at") - F.col("cap"), "analyst_id")  # free places only
-    free = free.select((F.row_number().over(order) - 1).cast("long").alias("_i"), F.col("analyst_id").alias("_free"))
+    free = staff.filter(wanted > 0).select(
+        "analyst_id", "cap", F.explode(F.sequence(F.col("load"), F.col("load") + wanted - 1)).alias("at"))
+    free = positioned(free.withColumn("_left", F.col("at") - F.col("cap")), [], "at", "_left", then="analyst_id")
+    free = free.select(F.col("position").alias("_i"), F.col("analyst_id").alias("_free"))
 
     full = staff.select("analyst_id", start.alias("start"))
     by_start = Window.partitionBy().orderBy("start")  # one row per distinct start
@@ -102,7 +105,7 @@ def route_to_analysts(reviews: DataFrame, workload: DataFrame, time: str = "ts",
     lined = lined.withColumn("_step", F.try_element_at(passed, F.lit(-1)))
     lined = lined.withColumn("_level", F.col("_step.level")).withColumn(
         "_rank", F.when(F.col("_step").isNotNull(), (F.col("_rest") - F.col("_step.first")) % F.col("_step.m")))
-    out = lined.join(small(free, facts["places"]), "_i", "left").join(
+    out = lined.join(small(free, facts["listed"]), "_i", "left").join(
         small(ranks, facts["levels"] * facts["people"]), ["_level", "_rank"], "left")
     return out.withColumn("assigned_analyst", F.coalesce("_free", "_full")).drop(
         "_i", "_rest", "_steps", "_step", "_level", "_rank", "_free", "_full", "group_size")
