@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagemill.llm import chat, decontam, mixing, ngram_join, tokenbin, tokencount, topk, toxicity, urlgraph, warc
+from triagemill.llm import chat, decontam, mixing, ngram_join, ranked, secrets, spelling, tokenbin, tokencount, topk, toxicity, urlgraph, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -210,3 +210,83 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page by rules and by the trust of its host."""
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return urlgraph.judge_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _secrets_sql() -> str:
+    """Places of all matches of a kind: the text between matches and the matches, summed up to each."""
+    keyword = "|".join("".join(c if c == "?" or c == "_" else f"[{c.upper()}{c}]" for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    assign = f"""({keyword})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    kinds = [assign, "AKIA[A-Z0-9]+", "[0-9a-f]+", "[A-Za-z0-9+/_=-]+"]
+    return " UNION ALL ".join(f"""
+SELECT doc_id, source, {rank} AS rank, m, {f"regexp_extract(m, '{p}', 2)" if rank == 0 else "m"} AS v,
+  sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (
+  SELECT doc_id, source, generate_subscripts(ms, 1) AS i, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g FROM (
+    SELECT doc_id, source, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS gs FROM d))""" for rank, p in enumerate(kinds))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), a AS ({_secrets_sql()}),
+c AS (SELECT *, e - length(m) AS s, length(v) >= 16 AND regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '[0-9]')
+    AND len(list_distinct(string_split(v, ''))) >= 8 AS live
+  FROM a WHERE length(v) >= CASE rank WHEN 0 THEN 12 WHEN 1 THEN 18 WHEN 2 THEN 16 ELSE 20 END),
+o AS (SELECT v, count(DISTINCT coalesce(source, '-')) AS owners, count(DISTINCT concat_ws(':', doc_id, source)) AS repos FROM c GROUP BY v),
+x AS (SELECT c.*, owners >= 3 OR repos >= 20 AS copied, owners = 1 AND repos < 20 AND live AS owned FROM c JOIN o USING (v)),
+y AS (SELECT doc_id, rank, s, e, copied FROM x WHERE rank < 3 UNION SELECT doc_id, 3, e - length(v), e, false FROM x WHERE owned),
+z AS (SELECT *, concat_ws(':', ['assign', 'access', 'hex', 'owned'][rank + 1], CAST(s AS BIGINT), CAST(e AS BIGINT)) AS l FROM y),
+g AS (SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
+    count(*) FILTER (WHERE rank = 3) AS n_owned, count(*) FILTER (WHERE copied) AS n_copied,
+    string_agg(l, ',' ORDER BY s, rank, e) FILTER (WHERE rank < 3) AS base, string_agg(l, ',' ORDER BY s, rank, e) AS spans FROM z GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_owned, 0) AS n_owned,
+  coalesce(n_copied, 0) AS n_copied, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)""")
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; a document is a repository of the owner its source names."""
+    rows = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    number = lambda test: F.size(F.filter("spans", test)).cast("bigint")
+    base = F.filter("spans", lambda x: x["rank"] < 3)
+    return rows.select(
+        "doc_id", *[number(secrets.of_kind(k)).alias(f"n_{k}") for k in secrets.KINDS],
+        number(lambda x: (x["rank"] < 3) & (x["verdict"] == "copied")).alias("n_copied"),
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+c AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(len(w)) AS BIGINT) AS ll FROM d WHERE len(w) > 0),
+q AS (SELECT item_id, t, count(*) AS times FROM b GROUP BY ALL),
+p AS (SELECT doc_id, t, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY doc_id, t),
+f AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, c GROUP BY t, nn),
+s AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll)))) AS BIGINT) AS score
+  FROM q JOIN f USING (t) JOIN p USING (t), c GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10""")
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents of the highest score for every benchmark item."""
+    return ranked.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+@query(r"""
+WITH RECURSIVE k AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+u AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 5 GROUP BY ALL),
+x AS (SELECT u.*, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(concat(doc_id, ':', run), ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(192 + (unicode(c) >> 6) AS BIGINT), CAST(128 + (unicode(c) & 63) AS BIGINT)] END))),
+    lambda a, c: xor(a >> 8, tab[xor(a & 255, c) + 1])), 4294967295) AS h FROM u, k),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 97 = 0
+    THEN concat(substr(run, 1, CAST(h % length(run) AS BIGINT)), substr(run, CAST(h % length(run) AS BIGINT) + 2)) ELSE run END AS word FROM x)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+e AS (SELECT word, n, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS g FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM v)),
+r AS (SELECT a.word AS a, b.word AS b, b.n FROM e a JOIN e b ON a.g = b.g AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM e a JOIN v b ON a.g = b.word UNION SELECT b.word, a.word, a.n FROM e a JOIN v b ON a.g = b.word),
+m AS (SELECT a, count(*) AS n_near, min(b) FILTER (WHERE n = top) AS b, any_value(top) AS top FROM (SELECT *, max(n) OVER (PARTITION BY a) AS top FROM r) GROUP BY a),
+f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * n THEN b END AS form, CASE WHEN top >= 2 * n THEN top END AS form_n
+  FROM v LEFT JOIN m ON a = word),
+w(word, root) AS (SELECT word, word FROM f WHERE form IS NULL UNION ALL SELECT f.word, w.root FROM f JOIN w ON f.form = w.word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN w USING (word)""")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the more frequent word one edit apart, and the end of that chain."""
+    return spelling.group_variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
