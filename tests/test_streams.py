@@ -81,3 +81,56 @@ def test_latency_stream_over_files(spark, folder):
     got = ST.drain(ST.latency_stream(one, two, "3 days", "1 hour"))
     assert got.count() == 980
     assert got.filter("latency < 0 or latency >= 1").count() == 0
+
+
+def requests_in(spark, path, rows):
+    data = spark.createDataFrame([(p, t) for p, t in rows], "path string, ts string")
+    data.withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_silent_component_goes_down_by_itself(spark, tmp_path):
+    from triagemill.streaming import liveness as LV
+
+    path, log = str(tmp_path / "in"), []
+    requests_in(spark, path, [("/a/1", "2024-01-01 00:00:00"), ("/a/2", "2024-01-01 00:00:09"), ("/other", "2024-01-01 00:00:00"), ("/b", None)])
+    source = spark.readStream.schema("path string, ts timestamp").parquet(path)
+
+    def put(batch, number):
+        log.extend((r.component, r.status, r.request_count, str(r.last_seen)) for r in batch.collect())
+
+    def wait(row, seconds=90):
+        end = time.time() + seconds
+        while row not in log and time.time() < end:
+            time.sleep(0.3)
+        assert row in log, log
+
+    query = LV.watch_components(source, [("a", "/a"), ("b", "/b"), ("ghost", "/g")], put, 6.0, "1 second")
+    try:
+        wait(("a", "up", 2, "2024-01-01 00:00:09"))
+        wait(("a", "down", 2, "2024-01-01 00:00:09"))  # no request has come since
+        wait(("ghost", "down", 0, "None"))  # never seen
+        requests_in(spark, path, [("/a/3", "2024-01-01 00:01:00")])
+        wait(("a", "up", 3, "2024-01-01 00:01:00"))
+        wait(("a", "down", 3, "2024-01-01 00:01:00"))
+    finally:
+        query.stop()
+    assert [x[1] for x in log if x[0] == "a"] == ["up", "down", "up", "down"]
+    assert [x[1:3] for x in log if x[0] == "b"] == [("down", 0)]
+
+
+def test_state_is_compacted(spark, folder, tmp_path):
+    from triagemill.sources.commits import Versions
+
+    path = str(tmp_path / "state")
+    log = activity_from(alerts_from(source(spark, folder)))
+    live = ST.current_state_stream(log, path, compact_every=1)
+    names = ["alert_id", "status", "assigned_analyst", "last_human_decision", "updated_at"]
+    batch = sorted(map(tuple, current_alert_state(Views(spark, SF).activity()).select(names).collect()), key=repr)
+    assert sorted(map(tuple, live.select(names).collect()), key=repr) == batch
+    versions = Versions(spark, f"{path}/base")
+    assert [versions.number(x) for x in versions.committed()] == [2, 3]
+    assert Versions(spark, path).names("rows") == ["batch=3"]  # older deltas lie in the bases
+    assert spark.read.parquet(versions.folder(versions.newest())).count() == len(batch)
+    # a base that was written but not committed is not read
+    spark.range(1).write.parquet(versions.folder(versions.fresh(9)))
+    assert ST.read_state(spark, path).count() == len(batch)

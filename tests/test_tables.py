@@ -163,3 +163,37 @@ def test_scan_reads_only_what_it_needs(spark):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int,l_quantity:double>" in text
     assert "l_shipdate" not in text
+
+
+def test_snapshot_is_whole_at_any_time(spark, tmp_path):
+    from triagemill.sources import sinks
+    from triagemill.sources.commits import Versions
+
+    path, schema = str(tmp_path / "metrics"), "epoch long, score double"
+    with pytest.raises(FileNotFoundError):
+        sinks.read_metrics_snapshot(spark, path, schema)
+    rows = lambda n, v: spark.range(n).select(F.col("id").alias("epoch"), F.lit(v).alias("score"))
+    sinks.write_metrics_snapshot(rows(3, 0.5), path)
+    begun = sinks.read_metrics_snapshot(spark, path, schema)
+    seen = []
+
+    def look(batches):  # runs while the next snapshot is being written, and fails half-way
+        for i, b in enumerate(batches):
+            yield b
+            raise RuntimeError("half-way")
+
+    broken = rows(4, 9.0).repartition(4).mapInArrow(look, schema)
+    with pytest.raises(Exception, match="half-way"):
+        sinks.write_metrics_snapshot(broken, path)
+    seen.append(sorted(map(tuple, sinks.read_metrics_snapshot(spark, path, schema).collect())))
+    # written in whole but not committed
+    rows(5, 1.0).write.json(Versions(spark, path).folder(Versions(spark, path).fresh()))
+    seen.append(sorted(map(tuple, sinks.read_metrics_snapshot(spark, path, schema).collect())))
+    assert seen == [[(0, 0.5), (1, 0.5), (2, 0.5)]] * 2
+    sinks.write_metrics_snapshot(rows(2, float("inf")), path)
+    assert sorted(map(tuple, sinks.read_metrics_snapshot(spark, path, schema).collect())) == [(0, None), (1, None)]
+    assert begun.count() == 3  # a reader that began before is not disturbed
+    for v in (1.0, 2.0, 3.0):
+        sinks.write_metrics_snapshot(rows(1, v), path)
+    assert len(Versions(spark, path).committed()) == 2
+    assert [r.score for r in sinks.read_metrics_snapshot(spark, path, schema).collect()] == [3.0]

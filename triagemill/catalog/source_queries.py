@@ -78,8 +78,9 @@ SELECT category, count(*) AS n, round(avg(value), 6) AS mean_value, NULL::DOUBLE
 def s7(v):
     path = scratch_path(v.spark, "metrics")
     m = v.alerts().groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value"), F.max(F.lit(float("nan"))).alias("broken"))
+    SK.write_metrics_snapshot(m.limit(1), path)  # an older snapshot, replaced by the next
     SK.write_metrics_snapshot(m, path)
-    return rounded(v.spark.read.schema("category string, n bigint, mean_value double, broken double").json(path))
+    return rounded(SK.read_metrics_snapshot(v.spark, path, "category string, n bigint, mean_value double, broken double"))
 
 
 @query("S8_write_id_sets", """

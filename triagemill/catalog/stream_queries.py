@@ -6,7 +6,9 @@ from triagemill.catalog.base import query
 from triagemill.catalog.decide_queries import STAFF, slots, staff
 from triagemill.catalog.soc_queries import rounded
 from triagemill.plans.views import REQUEST_COMPONENTS, activity_from, alerts_from, requests_from
+from triagemill.session import scratch_path
 from triagemill.streaming import flows as ST
+from triagemill.streaming import liveness as LV
 
 
 def stream(v, name="events"):
@@ -106,3 +108,18 @@ def k7s(v):
     seen = ST.drain(ST.component_activity(requests_from(stream(v)), REQUEST_COMPONENTS), mode="update", keys=["component"])
     now = v.requests().agg(F.max("ts")).scalar()
     return rounded(ST.component_liveness(seen, REQUEST_COMPONENTS, now))
+
+
+@query("K7_liveness_timers", """
+SELECT component, count(*) AS request_count, epoch_us(max(ts)) AS last_seen, 'up' AS status FROM routed_requests WHERE component IS NOT NULL GROUP BY 1""")
+def k7t(v):
+    """The state machine over what is there; no timer runs out meanwhile."""
+    path = scratch_path(v.spark, "watched")
+
+    def put(batch, number):
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    LV.read_through(LV.watch_components(requests_from(stream(v)), REQUEST_COMPONENTS, put, 86_400.0, path=path))
+    rows = v.spark.read.schema(f"{LV.CHANGES}, batch int").option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    newest = rows.groupBy("component").agg(F.max_by(F.struct("request_count", "last_seen", "status"), "batch").alias("r"))
+    return newest.select("component", "r.request_count", F.unix_micros("r.last_seen").alias("last_seen"), "r.status")

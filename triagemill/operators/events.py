@@ -82,9 +82,14 @@ def state_delta(changes: DataFrame) -> DataFrame:
     return changes.groupBy("alert_id").agg(*latest, F.max("ts").alias("updated_at"))
 
 
+def merge_deltas(deltas: DataFrame) -> DataFrame:
+    """One delta per alert from any number of deltas, in any order and grouping."""
+    return deltas.groupBy("alert_id").agg(*[F.max(c).alias(c) for c in (*STATE_FIELDS.values(), "updated_at")])
+
+
 def fold_deltas(deltas: DataFrame) -> DataFrame:
     """One row per alert from any number of deltas."""
-    t = deltas.groupBy("alert_id").agg(*[F.max(c).alias(c) for c in (*STATE_FIELDS.values(), "updated_at")])
+    t = merge_deltas(deltas)
     return t.select("alert_id", *[F.col(f"{c}.v").alias(c) for c in STATE_FIELDS.values()], "updated_at")
 
 

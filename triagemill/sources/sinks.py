@@ -1,4 +1,4 @@
-"""Writing tables; every write is replaced as a whole by the job commit."""
+"""Writing tables; every write is replaced as a whole by the job commit, metrics by a commit of their own."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 
 from triagemill.functions.missing import finite_or_null
 from triagemill.operators.policy import score_actions
+from triagemill.sources.commits import Versions
 
 
 def write_processed(df: DataFrame, path: str) -> int:
@@ -32,10 +33,32 @@ def read_codebook(spark: SparkSession, path: str) -> DataFrame:
         raise FileNotFoundError(f"no codebook at {path}") from error
 
 
-def write_metrics_snapshot(df: DataFrame, path: str) -> None:
-    """Latest metrics as JSON; NaN and infinities become null."""
+def write_metrics_snapshot(df: DataFrame, path: str, keep: int = 2) -> str:
+    """Latest metrics as JSON; NaN and infinities become null. Gives the name of the snapshot.
+
+    The rows go to a folder of their own; the commit that follows the whole write makes them the latest at one stroke.
+    A write that fails changes nothing for readers. The ``keep`` newest snapshots stay, for readers that have begun.
+    """
     doubles = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    finite_or_null(df, doubles).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    versions = Versions(df.sparkSession, path)
+    name = versions.fresh()
+    try:
+        finite_or_null(df, doubles).write.option("ignoreNullFields", False).json(versions.folder(name))
+    except Exception:
+        versions.drop(name)
+        raise
+    versions.commit(name)
+    versions.keep_newest(keep)
+    return name
+
+
+def read_metrics_snapshot(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """The latest whole snapshot."""
+    versions = Versions(spark, path)
+    name = versions.newest()
+    if name is None:
+        raise FileNotFoundError(f"no metrics at {path}")
+    return spark.read.schema(schema).json(versions.folder(name))
 
 
 def write_id_sets(split_ids: DataFrame, path: str) -> None:

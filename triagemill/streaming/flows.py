@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagemill.operators.clean import alert_headline
 from triagemill.operators.decide import decision_record, gate_decision, route_to_analysts
-from triagemill.operators.events import fold_deltas, state_changes, state_delta
+from triagemill.operators.events import fold_deltas, merge_deltas, state_changes, state_delta
 from triagemill.operators.joins import route_by_prefix
 from triagemill.operators.soc import seconds_between
 from triagemill.session import scratch_path
+from triagemill.sources.commits import Versions
 
 
 def drain(
@@ -26,14 +27,7 @@ def drain(
     """
     spark = stream.sparkSession
     path = path or scratch_path(spark, "stream")
-
-    def put(batch: DataFrame, number: int) -> None:
-        (write or _put)(batch, number, path)
-
-    query = (
-        stream.writeStream.outputMode(mode).foreachBatch(put)
-        .option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).start())
-    query.awaitTermination()
+    _run(stream, mode, write or _put, path)
     names = stream.columns
     rows = spark.read.option("recursiveFileLookup", False).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
     if mode == "append" or not keys:
@@ -43,6 +37,16 @@ def drain(
     return rows.groupBy(*keys).agg(newest).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others])
 
 
+def _run(stream: DataFrame, mode: str, write: Callable[[DataFrame, int, str], None], path: str) -> None:
+    def put(batch: DataFrame, number: int) -> None:
+        write(batch, number, path)
+
+    query = (
+        stream.writeStream.outputMode(mode).foreachBatch(put)
+        .option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
 def _put(batch: DataFrame, number: int, path: str) -> None:
     batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
@@ -101,16 +105,49 @@ def decide_stream(stream: DataFrame, workload: DataFrame, path: str | None = Non
     return drain(stream, write=write, path=path)
 
 
-def current_state_stream(events: DataFrame, path: str | None = None) -> DataFrame:
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    """Latest status, analyst and human decision per alert: the newest base folded with the deltas behind it."""
+    return fold_deltas(_state_parts(spark, path, Versions(spark, f"{path}/base").newest()))
+
+
+def _state_parts(spark: SparkSession, path: str, base: str | None, till: int | None = None) -> DataFrame:
+    """Base and deltas of later batches, each a delta per alert."""
+    deltas = spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    later = F.col("batch") > Versions.number(base)
+    deltas = deltas.filter(later if till is None else later & (F.col("batch") <= till)).drop("batch")
+    return deltas.unionByName(spark.read.parquet(f"{path}/base/{base}")) if base else deltas
+
+
+def current_state_stream(events: DataFrame, path: str | None = None, compact_every: int = 16) -> DataFrame:
     """Latest status, analyst and human decision per alert.
 
-    Each micro-batch writes the deltas of its alerts; the table folds them when
-    read. The state is the table, so it does not grow in executor memory.
+    Each micro-batch writes the deltas of its alerts. Every ``compact_every`` batches they are merged with the base
+    into a new base with one row per alert, so a read costs the live rows and at most so many deltas. A base counts
+    from its commit on and a repeated batch makes an equal one; deltas and bases go when they lie behind the two
+    newest bases, so that readers that have begun are not disturbed. The state is the table; executors keep none.
     """
+    spark = events.sparkSession
+    path = path or scratch_path(spark, "state")
+
     def write(batch: DataFrame, number: int, folder: str) -> None:
         _put(state_delta(batch), number, folder)
-
-    return fold_deltas(drain(state_changes(events), write=write, path=path))
+        if (number + 1) % compact_every:
+            return
+        session = batch.sparkSession
+        bases, files = Versions(session, f"{folder}/base"), Versions(session, folder)
+        # a repeated batch starts from the base before its own
+        older = [b for b in bases.committed() if bases.number(b) < number]
+        name = bases.fresh(number)
+        merge_deltas(_state_parts(session, folder, (older or [None])[-1], number)).write.parquet(bases.folder(name))
+        bases.commit(name)
+        bases.keep_newest(2)
+        done = bases.number((older or [None])[-1])
+        for old in files.names("rows"):
+            if old.startswith("batch=") and int(old.removeprefix("batch=")) <= done:
+                files.remove(f"rows/{old}")
+
+    _run(state_changes(events), "append", write, path)
+    return read_state(spark, path)
 
 
 def latency_stream(imports: DataFrame, inferences: DataFrame, delay: str = "1 hour", within: str = "1 hour") -> DataFrame:
