@@ -91,6 +91,30 @@ def test_routing_lists_no_more_places_than_reviews(spark):
     assert D.route_to_analysts(reviews.limit(0), work).count() == 0
 
 
+def test_routing_at_any_size_of_capacity_and_load(spark):
+    """Tables stay as long as reviews and staff together, and the rule holds across levels, gaps and full staff."""
+    rng = random.Random(77)
+    for _ in range(4):
+        base = rng.choice((0, 10**9))
+        staff = [(f"a{i:02d}", base + rng.choice((0, 5, 9, 10**12)), base + rng.randrange(0, 8)) for i in range(12)]
+        n = rng.choice((40, 300))
+        reviews = spark.range(n).select(F.col("id").alias("event_id"), (F.col("id") % 11).alias("ts"))
+        work = spark.createDataFrame(staff, "analyst_id string, capacity long, load long")
+        got = [r.assigned_analyst for r in D.route_to_analysts(reviews, work).orderBy("ts", "event_id").collect()]
+        assert got == one_by_one(staff, n)
+
+
+def test_gate_is_computed_once(spark):
+    """A filter on what follows from the gate keeps its plan small and in generated code."""
+    df = spark.range(50).selectExpr("id", "get_json_object(concat('{\"k\":', id, '}'), '$.k') + 0.5 AS k")
+    df = df.selectExpr("id", "k % 7 AS q0", "k % 5 AS q1", "k % 3 AS q2")
+    status = F.when(F.col("action_code") == 2, "pending").when(F.col("id") % 3 == 0, "other").otherwise(F.col("uncertainty_reason"))
+    out = D.gate_decision(df).withColumn("status", status).filter(F.col("status").isin("pending", "other"))
+    out = out.filter(F.col("status") != "x").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("get_json_object") <= 3 and plan.count("EXP") <= 8
+
+
 def test_historical_reward(spark):
     df = spark.createDataFrame([(0, 0, 8.0), (1, 0, 8.0), (2, 1, 20.0), (3, 2, 3.0), (2, 0, -40.0), (1, 1, -15.0), (3, 0, -8.0), (2, 2, -12.0)], "g long, a long, want double")
     for r in df.select("want", R.historical_reward(F.col("g"), F.col("a")).alias("got")).collect():

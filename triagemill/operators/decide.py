@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from triagemill.functions.rewards import action_name
 from triagemill.functions.scoring import (
     first_of_three, gate_parts, hash_uniform, last_of_three)
 from triagemill.operators.ordered import positioned
-from triagemill.session import BROADCAST_ROWS, settle
+from triagemill.session import settle, sized_join
 
 
 def gate_decision(
@@ -31,9 +33,11 @@ def gate_decision(
     reason = F.when(
         F.col("top_action") != 2,
         F.when(F.col("confidence") < confidence, "LOW_CONFIDENCE").when(F.col("action_margin") < margin, "LOW_MARGIN"))
-    out = out.withColumn("uncertainty_reason", reason)
-    gated = F.when(F.col("uncertainty_reason").isNotNull(), 2).otherwise(F.col("top_action"))
-    return out.withColumn("action_code", gated.cast("long"))
+    gated = F.when(reason.isNotNull(), 2).otherwise(F.col("top_action")).cast("long")
+    # as a generator's output the two are computed once: a filter on what follows from them would else repeat the
+    # whole soft-max in every place they are named, beyond what generated code can hold
+    made = F.inline(F.array(F.struct(reason.alias("uncertainty_reason"), gated.alias("action_code"))))
+    return out.select(*[F.col(f"`{c}`") for c in out.columns if c not in ("uncertainty_reason", "action_code")], made)
 
 
 def decision_record(
@@ -54,61 +58,91 @@ def decision_record(
         "agent_status": F.lit("INFERRED")})
 
 
+def _stretches(staff: DataFrame, low: str, high: str | None, reviews: Column) -> DataFrame:
+    """Stretches of levels on which the same people take places, as one row of two arrays, ``at`` and ``first``.
+
+    A person takes one place on each level from ``low`` up to ``high`` (without end if None). Between two
+    neighbouring ends nobody joins or leaves, so the places before a level follow from sums over the ends: at most
+    two rows a person. Only stretches that start before the last review are kept.
+    """
+    ends = staff.select(F.col(low).alias("at"), F.lit(1).alias("d"))
+    if high:
+        ends = ends.unionByName(staff.select(F.col(high).alias("at"), F.lit(-1).alias("d")))
+    ends = ends.groupBy("at").agg(F.sum("d").alias("d"))
+    line = F.array_sort(F.collect_list(F.struct("at", "d")))
+
+    def step(s: Column, x: Column) -> Column:
+        # a stretch without people has no places; the product stays below the reviews where it matters
+        wide = (x["at"] - s["at"]).cast("decimal(20,0)") * s["people"]
+        first = F.least(s["first"] + F.coalesce(wide, F.lit(0)), reviews.cast("decimal(38,0)")).cast("decimal(38,0)")
+        return F.struct(
+            x["at"].alias("at"), (s["people"] + x["d"]).alias("people"), first.alias("first"),
+            F.concat(s["done"], F.array(F.struct(x["at"].alias("at"), first.cast("long").alias("first"), (s["people"] + x["d"]).alias("people")))).alias("done"))
+
+    zero = F.struct(
+        F.lit(None).cast("long").alias("at"), F.lit(0).cast("long").alias("people"), F.lit(0).cast("decimal(38,0)").alias("first"),
+        F.array().cast("array<struct<at:bigint,first:bigint,people:bigint>>").alias("done"))
+    done = F.aggregate(line, zero, step, lambda s: s["done"])
+    return ends.agg(F.filter(done, lambda x: (x["people"] > 0) & (x["first"] < reviews)).alias("steps"), F.try_element_at(done, F.lit(-1))["first"].alias("all"))
+
+
+def _last_at_or_below(values: Column, x: Column, most: int) -> Column:
+    """Place of the last of the sorted values that is at or below ``x``, by halving; -1 if none is."""
+    halves = [1 << i for i in reversed(range(max(most, 1).bit_length()))]
+    return F.aggregate(
+        F.array(*[F.lit(h) for h in halves]), F.lit(-1),
+        lambda at, h: F.when(F.get(values, at + h) <= x, at + h).otherwise(at))
+
+
 def route_to_analysts(reviews: DataFrame, workload: DataFrame, time: str = "ts", tie: str = "event_id") -> DataFrame:
     """Give the reviews, in time order, to the analyst who is least loaded at that moment.
 
-    ``workload`` has analyst_id, capacity and load. The one-by-one rule takes
-    free places in the order (load, -room, id) and, when all are full, levels
-    everyone up in the order (load, id). Both orders are known beforehand: the
-    i-th review takes the i-th place, found by arithmetic and two joins with
-    tables as long as the list of analysts and their free places.
+    ``workload`` has analyst_id, capacity and load. The one-by-one rule takes free places in the order (load, -room,
+    id) and, when all are full, levels everyone up in the order (load, id). Like water, the level rises through
+    stretches on which the same people take a place on each level. The stretch of the i-th review is found by halving,
+    its rank on the level by a division, and the person by a join with the people of the stretch in their order. Each
+    stretch but the last is filled with reviews, so this table has no more rows than reviews and people together,
+    whatever capacities and loads are.
     """
+    n = reviews.count()
     staff = settle(workload.select(
         "analyst_id", F.coalesce("capacity", F.lit(0)).cast("long").alias("cap"),
-        F.coalesce("load", F.lit(0)).cast("long").alias("load")), "staff")
-    # nobody takes more places than there are reviews, and those an analyst takes are the lowest free ones
-    wanted = F.least(F.greatest(F.col("cap") - F.col("load"), F.lit(0)), F.lit(reviews.count()))
-    # one row about the staff: how many places are free, and how long the two tables get
-    start = F.greatest("load", "cap")
-    facts = staff.agg(
-        F.coalesce(F.sum(F.greatest(F.col("cap") - F.col("load"), F.lit(0))), F.lit(0)).alias("places"),
-        F.coalesce(F.sum(wanted), F.lit(0)).alias("listed"),
-        F.count(F.lit(1)).alias("people"), F.count_distinct(start).alias("levels")).first()
-
-    def small(table: DataFrame, rows: int) -> DataFrame:
-        return F.broadcast(table) if rows <= BROADCAST_ROWS else table
-
-    free = staff.filter(wanted > 0).select(
-        "analyst_id", "cap", F.explode(F.sequence(F.col("load"), F.col("load") + wanted - 1)).alias("at"))
-    free = positioned(free.withColumn("_left", F.col("at") - F.col("cap")), [], "at", "_left", then="analyst_id")
-    free = free.select(F.col("position").alias("_i"), F.col("analyst_id").alias("_free"))
-
-    full = staff.select("analyst_id", start.alias("start"))
-    by_start = Window.partitionBy().orderBy("start")  # one row per distinct start
-    levels = full.groupBy("start").agg(F.count(F.lit(1)).alias("n"))
-    levels = levels.select(
-        "start", (F.row_number().over(by_start) - 1).alias("level"), F.sum("n").over(by_start).alias("m"),
-        F.lead("start").over(by_start).alias("_next"))
-    width = (F.col("_next") - F.col("start")) * F.col("m")
-    first = F.coalesce(F.sum(width).over(by_start.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    levels = levels.select("start", "level", "m", first.cast("long").alias("first"))
-    ranks = full.join(levels.select("start", F.col("level").alias("_from")), "start")
-    ranks = ranks.select("analyst_id", F.explode(F.sequence(F.col("_from"), F.lit(max(facts["levels"] - 1, 0)))).alias("_level"))
-    by_id = Window.partitionBy("_level").orderBy("analyst_id")
-    ranks = ranks.select("_level", (F.row_number().over(by_id) - 1).cast("long").alias("_rank"), F.col("analyst_id").alias("_full"))
-
-    places = F.lit(facts["places"])
-    steps = levels.agg(F.array_sort(F.collect_list(F.struct("first", "level", "m")))).scalar()  # one per level
-    lined = positioned(reviews, [], time, tie).withColumn("_i", F.col("position"))
-    lined = lined.withColumns({"_rest": F.col("_i") - places, "_steps": steps})
-    passed = F.filter("_steps", lambda s: s["first"] <= F.col("_rest"))
-    lined = lined.withColumn("_step", F.try_element_at(passed, F.lit(-1)))
-    lined = lined.withColumn("_level", F.col("_step.level")).withColumn(
-        "_rank", F.when(F.col("_step").isNotNull(), (F.col("_rest") - F.col("_step.first")) % F.col("_step.m")))
-    out = lined.join(small(free, facts["listed"]), "_i", "left").join(
-        small(ranks, facts["levels"] * facts["people"]), ["_level", "_rank"], "left")
-    return out.withColumn("assigned_analyst", F.coalesce("_free", "_full")).drop(
-        "_i", "_rest", "_steps", "_step", "_level", "_rank", "_free", "_full", "group_size")
+        F.coalesce("load", F.lit(0)).cast("long").alias("load")).withColumn("start", F.greatest("load", "cap")), "staff")
+    free = _stretches(staff.filter("load < cap"), "load", "cap", F.lit(n)).first()
+    places = free["all"] or 0
+    full = _stretches(staff, "start", None, F.lit(max(n - places, 0))).first()
+    kinds = [("f", free["steps"] or [], 0), ("l", full["steps"] or [], places)]  # at most two rows a person
+
+    steps = [(kind, at, first + base, people) for kind, some, base in kinds for at, first, people in some]
+    spark = reviews.sparkSession
+    one = spark.createDataFrame([([s[1] for s in steps], [s[2] for s in steps], [s[3] for s in steps])], "at array<bigint>, first array<bigint>, people array<bigint>")
+    one = settle(one, "stretches")
+    people = []
+    for kind, low, high in (("f", "load", "cap"), ("l", "start", None)):
+        own = [i for i, s in enumerate(steps) if s[0] == kind]
+        if not own:
+            continue
+        levels = F.col("_levels")
+        # the stretches from the first that starts at or above ``low`` to the last that starts below ``high``
+        start = _last_at_or_below(levels, F.col(low) - 1, len(own)) + 1
+        end = _last_at_or_below(levels, F.col(high) - 1, len(own)) if high else F.lit(len(own) - 1)
+        some = staff.filter("load < cap") if high else staff
+        some = some.withColumn("_levels", F.slice(one.select("at").scalar(), own[0] + 1, len(own)))
+        some = some.select("analyst_id", "cap", start.alias("_from"), end.alias("_to")).filter("_from <= _to")
+        some = some.select("analyst_id", "cap", F.explode(F.sequence(F.col("_from"), F.col("_to"))).alias("_s"))
+        order = Window.partitionBy("_s").orderBy(*([F.desc("cap")] if high else []), "analyst_id")
+        people.append(some.select(
+            (F.col("_s") + own[0]).alias("_stretch"), (F.row_number().over(order) - 1).cast("long").alias("_rank"),
+            F.col("analyst_id").alias("assigned_analyst")))
+    lined = positioned(reviews, [], time, tie)
+    if not people:
+        return lined.withColumn("assigned_analyst", F.lit(None).cast(staff.schema["analyst_id"].dataType)).drop("group_size")
+    people = settle(reduce(DataFrame.unionByName, people), "people")
+    lined = lined.withColumns({"_first": one.select("first").scalar(), "_width": one.select("people").scalar()})
+    lined = lined.withColumn("_stretch", _last_at_or_below(F.col("_first"), F.col("position"), len(steps)))
+    rank = (F.col("position") - F.get("_first", F.col("_stretch"))) % F.get("_width", F.col("_stretch"))
+    lined = lined.withColumn("_rank", rank).drop("_first", "_width", "group_size")
+    return sized_join(lined, people, ["_stretch", "_rank"]).drop("_stretch", "_rank")
 
 
 def undecided(alerts: DataFrame, cycle_id: str | None = None) -> DataFrame:
