@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +55,27 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/triagemill/{label}-{uuid.uuid4().hex}"
 
 
+_collected: list[list[str]] = []  # open collections of scratch paths, the innermost last
+
+
+@contextmanager
+def collecting(paths: list[str]) -> Iterator[list[str]]:
+    """Note the paths of all tables that are settled meanwhile, so that they can be dropped when they are used up."""
+    _collected.append(paths)
+    try:
+        yield paths
+    finally:
+        _collected.pop()
+
+
+def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Delete settled tables; the list is empty afterwards."""
+    new, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsparkSession.sessionState().newHadoopConf()
+    while paths:
+        path = new(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def settle(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -62,6 +85,8 @@ def settle(df: DataFrame, label: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    if _collected:
+        _collected[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
