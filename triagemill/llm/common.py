@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import tempfile
 import zipfile
@@ -30,6 +31,14 @@ def words_of(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
 
 
+def free_prefix(columns: list[str]) -> str:
+    """A beginning that none of the names has."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def can_send(table: DataFrame) -> bool:
     """Whether a settled table is small enough, in counted rows and bytes, to go to every executor."""
     width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(4)) for c in table.columns), F.lit(0))
@@ -42,6 +51,12 @@ def sent(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if can_send(table) else table
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files that no plan needs any more: its cleaner waits for garbage of the driver."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 _shipped: set[str] = set()
 
 

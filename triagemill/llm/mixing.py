@@ -104,12 +104,17 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return settle(out.select("source", "source_size", "target", "base", F.coalesce("limit", F.lit(0)).alias("limit")), "plan")
 
 
-def apply_mix(docs: DataFrame, plan: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """All columns of the documents with size, source_size, target, and copies (how often the mix takes the document)."""
-    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    sized = docs.withColumn("_size", size_of(F.col(text))).withColumn("_h", hash_of(F.col(key), F.col(text))).withColumn("_src", F.col(source))
-    table = sent(plan.select(F.col("source").alias("_s"), *[F.col(c).alias(f"_{c}") for c in ("source_size", "target", "base", "limit")]))
-    met = sized.join(table, F.col("_src").eqNullSafe(F.col("_s")), "left")
-    copies = F.col("_base") + F.when(F.col("_h") < F.col("_limit"), F.lit(1)).otherwise(F.lit(0))
-    return met.select(*[F.col(f"`{c}`") for c in names], F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
-                      F.col("_target").alias("target"), copies.alias("copies"))
+def apply_mix(docs: DataFrame, plan: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
+              prefix: str = "") -> DataFrame:
+    """All columns of the documents with size, source_size, target, and copies (how often the mix takes the document).
+
+    Columns of the documents with these names give way; another ``prefix`` of the four keeps them.
+    """
+    made = [f"{prefix}{c}" for c in ("size", "source_size", "target", "copies")]
+    # the documents travel in one column, so that no name of theirs meets one used here
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in made]).alias("doc")
+    sized = docs.select(whole, size_of(F.col(text)).alias("size"), hash_of(F.col(key), F.col(text)).alias("h"), F.col(source).alias("s"))
+    table = sent(plan.select(F.col("source").alias("of"), "source_size", "target", "base", "limit"))
+    met = sized.join(table, F.col("s").eqNullSafe(F.col("of")), "left")
+    copies = F.col("base") + F.when(F.col("h") < F.col("limit"), F.lit(1)).otherwise(F.lit(0))
+    return met.select("doc.*", *[c.alias(name) for c, name in zip((F.col("size"), F.col("source_size"), F.col("target"), copies), made)])

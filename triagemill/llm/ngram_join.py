@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triagemill.llm.common import sent, ship
+from triagemill.llm.common import release, sent, ship
 from triagemill.session import settle
 
 N, NUM, DEN = 3, 90, 100
@@ -122,8 +123,8 @@ def _digests(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, text_key long, n long, node long")
 
 
-def _blocks(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """node, band (place among the node's bands), need and the block keys of documents.
+def _blocks(docs: DataFrame, n: int, num: int, den: int, slices: int = 1, slice_: int = 0) -> DataFrame:
+    """node, band (place among the node's bands), need and the block keys of documents, those of one slice.
 
     Made anew where it is used: the keys are many, and cheaper to make than to keep.
     """
@@ -135,7 +136,8 @@ def _blocks(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 rows = []
                 for text in b.slice(i, 256).column(2).to_pylist():
                     g = ngrams(text or b"", n)
-                    rows += [(_digest(g), band, need, k.view(np.int64)) for band, (need, k) in enumerate(block_keys(g, bands))]
+                    rows += [(_digest(g), band, need, (k[k % _U(slices) == slice_] if slices > 1 else k).view(np.int64))
+                             for band, (need, k) in enumerate(block_keys(g, bands))]
                 cols = list(zip(*rows)) or [()] * 4
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())))],
@@ -205,12 +207,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionAll(roots)
 
 
-def jaccard_join(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN, key: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_join(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN, key: str = "doc_id", text: str = "text",
+                 slices: int = 1) -> DataFrame:
     """key, text_key (hash of the text), n_shingles, component_id and group of every row.
 
-    Rows are linked from a similarity of ``num / den`` on; ``group`` numbers the components (null for empty sets).
+    Rows are linked from a similarity of ``num / den`` on; ``group`` numbers the components (null for empty sets).  With
+    several ``slices`` the block keys meet in as many goes, and shuffle files go as soon as they are used up: the result
+    is the same, it takes less disk and more time.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
+
+    def kept(table: DataFrame, label: str) -> DataFrame:
+        out = settle(table, label)
+        if slices > 1:
+            release(spark)
+        return out
+
     source = docs.select(
         F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).cast("binary").alias("t"))
     rows = settle(_digests(source, n), "digests")
@@ -220,15 +233,19 @@ def jaccard_join(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN, ke
     # one document speaks for a node
     copies = rows.join(nodes.select("node", "from"), "node").filter(F.struct("doc_id", "text_key") != F.col("from"))
     copies = sent(settle(copies.select(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key")).distinct(), "copies"))
-    blocks = _blocks(source.join(copies, same(copies), "left_anti"), n, num, den)
-    cells = blocks.select(F.explode("keys").alias("key"), "node", "band")
-    # the keys that several rows have, and the rows that share as many as a link asks for
-    shared = settle(cells.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "shared")
-    met = settle(blocks.select(F.explode("keys").alias("key"), "node", "band", "need").join(sent(shared), "key").distinct(), "met")
+    single = source.join(copies, same(copies), "left_anti")
+    goes = []
+    for i in range(slices):
+        blocks = _blocks(single, n, num, den, slices, i)
+        cells = blocks.select(F.explode("keys").alias("key"), "node", "band")
+        # the keys that several rows have, and the rows that share as many as a link asks for
+        shared = kept(cells.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "shared")
+        goes.append(kept(blocks.select(F.explode("keys").alias("key"), "node", "band", "need").join(sent(shared), "key").distinct(), "met"))
+    met = reduce(DataFrame.unionAll, goes)
     enough = met.groupBy("node", "band").agg(F.count(F.lit(1)).alias("s"), F.max("need").alias("need")).filter("s >= need")
-    met = settle(met.join(sent(settle(enough.select("node", "band"), "enough")), ["node", "band"]).select("key", "node"), "kept")
-    shared = settle(met.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "shared")
-    met = settle(met.join(sent(shared), "key"), "met")
+    met = kept(met.join(sent(settle(enough.select("node", "band"), "enough")), ["node", "band"]).select("key", "node"), "kept")
+    shared = kept(met.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "shared")
+    met = kept(met.join(sent(shared), "key"), "met")
     # each key's hub
     score = met.groupBy("node").agg(F.sum("c").alias("score"))
     scored = met.join(score, "node")
@@ -238,19 +255,19 @@ def jaccard_join(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN, ke
     pairs = pairs.groupBy(F.col("node").alias("a"), "b").agg((F.max("c") > 2).alias("wide"))
     pairs = _sized(pairs, nodes).filter(F.col("wide") | (
         (F.col("na") * num <= F.col("nb") * den) & (F.col("nb") * num <= F.col("na") * den)))
-    pairs = settle(pairs.select("a", "b", "wide"), "pairs")
+    pairs = kept(pairs.select("a", "b", "wide"), "pairs")
     # full sets of the nodes that met another
     wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node")
     wanted = sent(settle(wanted.select(F.col("from.doc_id").alias("w_id"), F.col("from.text_key").alias("w_key")), "wanted"))
-    sets = settle(_sets(source.join(wanted, same(wanted), "left_semi"), n).dropDuplicates(["node"]), "sets")
+    sets = kept(_sets(source.join(wanted, same(wanted), "left_semi"), n).dropDuplicates(["node"]), "sets")
     size = sets.select("node", "n")
-    done = settle(_sized(_multiplied(pairs, sets), size), "products")
+    done = kept(_sized(_multiplied(pairs, sets), size), "products")
     close = (F.col("common") * den >= (F.col("na") + F.col("nb") - F.col("common")) * num)
     links = done.filter(close).select("a", "b")
     root = settle(components(links), "roots")
     more = _by_differences(done, root, num, den)
-    more = settle(more, "candidates")
-    found = settle(_sized(_multiplied(more.withColumn("wide", F.lit(False)), sets), size).filter(close).select("a", "b"), "links")
+    more = kept(more, "candidates")
+    found = kept(_sized(_multiplied(more.withColumn("wide", F.lit(False)), sets), size).filter(close).select("a", "b"), "links")
     root = settle(components(links.unionAll(found)), "roots")
     # the smallest document id of each component
     labelled = nodes.select("node", "least").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -269,16 +286,18 @@ def keep_one(docs: DataFrame, groups: DataFrame, key: str = "doc_id", text: str
     rows = settle(groups.filter(F.col("group").isNotNull()).groupBy("group", pair.alias("p")).agg(F.count(F.lit(1)).alias("times")), "groups")
     best = rows.groupBy("group").agg(F.min("p").alias("best"), F.sum("times").alias("all")).filter("all > 1")
     met = settle(rows.join(best, "group").select("p.id", "p.h", (F.col("p") == F.col("best")).alias("stays"), "times"), "copies")
-    marked = docs.withColumn("_h", F.xxhash64(F.col(text)))
-    same = lambda t: F.col(key).eqNullSafe(t["id"]) & (F.col("_h") == t["h"])
+    # the documents travel in one column, so that no name of theirs meets one used here
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    marked = docs.select(whole, F.col(key).alias("own"), F.xxhash64(F.col(text)).alias("own_h"))
+    same = F.col("own").eqNullSafe(F.col("id")) & (F.col("own_h") == F.col("h"))
     gone = sent(settle(met.filter("not stays").select("id", "h").distinct(), "gone"))
-    left = marked.join(gone, same(gone), "left_anti")
+    left = marked.join(gone, same, "left_anti")
     again = settle(met.filter("stays and times > 1").select("id", "h"), "again")
     if again.take(1):  # the document that stays is there in several rows
         again = sent(again)
-        one = left.join(again, same(again), "left_semi").dropDuplicates([key, "_h"])
-        left = left.join(again, same(again), "left_anti").unionByName(one)
-    return left.drop("_h")
+        one = left.join(again, same, "left_semi").dropDuplicates(["own", "own_h"])
+        left = left.join(again, same, "left_anti").unionByName(one)
+    return left.select("doc.*")
 
 
 def _sized(products: DataFrame, size: DataFrame) -> DataFrame:
