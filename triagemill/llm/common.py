@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import io
 import tempfile
 import zipfile
@@ -51,12 +50,6 @@ def sent(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if can_send(table) else table
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files that no plan needs any more: its cleaner waits for garbage of the driver."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 _shipped: set[str] = set()
 
 
