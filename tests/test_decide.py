@@ -201,3 +201,26 @@ def test_apply_reviews_words(spark):
     got = {r.alert_id: r.status for r in out["alerts"].collect()}
     assert [got[f"A{i}"] for i in range(len(words))] == [REVIEW_WORDS.get(w.lower(), "OPEN") for w in words]
     assert [r.reason for r in out["refused"].collect()] == ["unsupported decision"]
+
+
+def test_baselines_are_compared(spark):
+    """Scores equal those of the written predictions, counted by hand."""
+    rng = random.Random(10)
+    rows = [(i, i % 4, float(i % 4 + rng.random() * 3), rng.random()) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, grade_code long, a double, b double")
+    got = P.compare_baselines(df.filter("id < 300"), df.filter("id >= 300"), ["b"], ["a", "b"], trees=5, depth=4, leaf=1)
+    scores = {(r.feature_set, r.metric): r.value for r in got["scores"].collect()}
+    for name in ("current", "expanded"):
+        pairs = [(r.grade_code, r.prediction) for r in got[name].collect()]
+        assert len(pairs) == 100
+        f1, recall = {}, {}
+        for c in range(4):
+            tp, n, p = (sum(x) for x in zip(*((y == c == z, y == c, z == c) for y, z in pairs)))
+            f1[c], recall[c] = 2 * tp / (n + p) if n + p else 0.0, tp / n if n else 0.0
+        assert scores[name, "accuracy"] == pytest.approx(sum(y == z for y, z in pairs) / 100)
+        assert scores[name, "macro_f1"] == pytest.approx(sum(f1.values()) / 4)
+        assert scores[name, "true_positive_recall"] == pytest.approx(recall[2])
+        assert scores[name, "unknown_f1"] == pytest.approx(f1[3])
+    gate = got["gate"].first()
+    assert gate.macro_f1_change == pytest.approx(scores["expanded", "macro_f1"] - scores["current", "macro_f1"])
+    assert gate.macro_f1_change > 0.1

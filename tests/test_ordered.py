@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from triagemill.operators import encode as N
+from triagemill.operators import ordered as O
 from triagemill.operators import runstats as RS
 from triagemill.operators import sequences as S
 from triagemill.operators.ordered import exact_percentiles, order_blocks, positioned, ranked_values
+from triagemill.session import settle
 
 
 @pytest.fixture(scope="module")
@@ -258,3 +260,24 @@ def test_wide_codebook_equals_plain_one(spark, monkeypatch):
     assert usual == {w: i for i, w in enumerate(sorted(w or "Unknown" for w in words))}
     monkeypatch.setattr(N, "WIDE_COLUMN", 5)
     assert {r.value: r.code for r in N.fit_codebook(df, ["c"]).collect()} == usual
+
+
+def test_wide_column_with_one_beginning_is_spread(spark, monkeypatch):
+    """All values begin with the same twenty bytes; ranges come from what follows."""
+    monkeypatch.setattr(N, "WIDE_COLUMN", 1000)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    seen = []
+    monkeypatch.setattr(O, "settle", lambda df, label="table": seen.append((label, settle(df, label))) or seen[-1][1])
+    try:
+        df = spark.range(200_000).select(
+            F.concat(F.lit("the-same-20-bytes-xx"), F.lpad((F.col("id") * 7919 % 200_000).cast("string"), 8, "0")).alias("c"),
+            F.concat(F.lit("é"), (F.col("id") % 1500).cast("string")).alias("d"))
+        book = N.fit_codebook(df, ["c", "d"])
+        assert book.filter("column = 'c' and code <> cast(substr(value, 21) as long)").isEmpty()
+        got = {r.value: r.code for r in book.filter("column = 'd'").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert got == {w: i for i, w in enumerate(sorted(f"é{i}" for i in range(1500)))}
+    sizes = [r["count"] for r in next(t for label, t in seen if label == "ranges").groupBy("_range").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 1.5 * sum(sizes) / 4

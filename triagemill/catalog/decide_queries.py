@@ -161,6 +161,15 @@ def j10(v):
     return P.grade_baseline(train, test, names).select("alert_id", "grade_code", "prediction")
 
 
+@query("J10_compare_baselines")
+def j10c(v):
+    """Class-report metrics of the features without and with the calendar ones."""
+    train, names = coded(v, v.train())
+    test, _ = coded(v, v.test())
+    plain = [n for n in names if n not in CALENDAR]
+    return P.compare_baselines(train, test, plain, names, trees=10, depth=8)["scores"]
+
+
 MD5 = "('0x' || substr(md5(concat('{s}:', alert_id)), 1, 8))::BIGINT / 4294967296e0"
 
 

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from triagemill.functions.missing import finite
-from triagemill.operators.ordered import positioned
+from triagemill.operators.ordered import ranked_by_range
 from triagemill.session import BROADCAST_BYTES, BROADCAST_ROWS, settle, sized_join
 
-WIDE_COLUMN = 100_000  # distinct values from which a column is ranked in blocks
+WIDE_COLUMN = 100_000  # distinct values from which a column is ranked by ranges
 
 
 def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -22,16 +22,11 @@ def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide.unpivot([], list(columns), "column", "value").distinct()
 
 
-def _prefix_number(value: Column) -> Column:
-    """The first six bytes as a number: never falls while the text rises."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
-
-
 def fit_codebook(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value, code): codes follow the code-point order of the values.
 
     The distinct values are settled once. Columns of ordinary width are ranked
-    by a window per column; very wide ones in blocks of the value prefix.
+    by a window per column; very wide ones by ranges of the whole value.
     """
     values = settle(distinct_values(train, columns), "values")
     sizes = {r["column"]: r["n"] for r in values.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -40,9 +35,8 @@ def fit_codebook(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     ranked = usual.withColumn(
         "code", (F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1).cast("long"))
     if wide:
-        keyed = values.filter(F.col("column").isin(wide)).withColumn("_p", _prefix_number(F.col("value")))
-        blocked = positioned(keyed, ["column"], "_p", then="value")
-        ranked = ranked.unionByName(blocked.select("column", "value", F.col("position").alias("code")))
+        dealt = ranked_by_range(values.filter(F.col("column").isin(wide)), ["column"], "value")
+        ranked = ranked.unionByName(dealt.select("column", "value", F.col("position").alias("code")))
     return settle(ranked, "codebook")
 
 

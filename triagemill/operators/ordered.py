@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from triagemill.session import settle
+from triagemill.session import settle, sized_join
 
 BLOCK = "_block"
 
@@ -149,6 +149,24 @@ def positioned(
     return usual.unionByName(_by_blocks(df.filter(is_hot), keys, time, tie, then, following, totals, maxima, blocks))
 
 
+def ranked_by_range(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Number the distinct values ``order`` (of any type, not null) of each key, as ``position`` from 0.
+
+    The rows are dealt by ranges of key and value. Spark samples the bounds from whole values, so the ranges are even
+    also where all values begin alike. Values are numbered inside a range, and a count per key and range (one row
+    each) says how many come before it. ``keys`` are not null.
+    """
+    keys = list(keys)
+    dealt = df.repartitionByRange(*keys, order)
+    parts = settle(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        *keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order)) - 1
+    out = sized_join(parts.withColumn("position", place), settle(base, "bases"), [*keys, "_range"])
+    return out.withColumn("position", (F.col("position") + F.col("_base")).cast("long")).drop("_range", "_base")
+
+
 def _by_blocks(df, keys, time, tie, then, following, totals, maxima, blocks) -> DataFrame:
     """Windows inside (key, block), and a per-block summary that links the blocks."""
     cut = order_blocks(df, time, tie, blocks)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from triagemill.constants import ACTIONS
 from triagemill.functions.rewards import action_name, rewards_of
 from triagemill.functions.scoring import first_of_three
+from triagemill.operators.quality import classification_report, quality_gate
 from triagemill.session import settle, sized_join
 
 
@@ -136,6 +137,27 @@ def grade_baseline(
         "_x", "rawPrediction", "probability")
 
 
+def compare_baselines(
+    train: DataFrame, test: DataFrame, current: Sequence[str], expanded: Sequence[str], label: str = "grade_code",
+    overlap: Column | int = 0, **forest,
+) -> dict[str, DataFrame]:
+    """Two feature sets under one experiment: same rows, same classes and weights, same forest, same seed.
+
+    Gives the written ``current`` and ``expanded`` predictions, ``scores`` with a row per feature set and metric of the
+    class report, and the ``gate`` that says whether the expanded set may replace the current one.
+    """
+    made = {}
+    for name, features in (("current", current), ("expanded", expanded)):
+        made[name] = settle(grade_baseline(train, test, features, label, **forest).select(F.col(label), "prediction"), name)
+    reports = {name: settle(classification_report(p, label, "prediction"), "report") for name, p in made.items()}
+    scores = None
+    for name, report in reports.items():
+        doubles = report.select(*[F.col(c).cast("double").alias(c) for c in report.columns])
+        rows = doubles.unpivot([], report.columns, "metric", "value").select(F.lit(name).alias("feature_set"), "metric", "value")
+        scores = rows if scores is None else scores.unionByName(rows)
+    return made | {"scores": scores, "gate": quality_gate(reports["current"], reports["expanded"], overlap)}
+
+
 def fingerprint(table: DataFrame) -> DataFrame:
     """Order-free content hash of a table in one map-side aggregate."""
     # every value is preceded by its length, null by nothing, so that different rows give different texts
