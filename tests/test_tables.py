@@ -197,3 +197,19 @@ def test_snapshot_is_whole_at_any_time(spark, tmp_path):
         sinks.write_metrics_snapshot(rows(1, v), path)
     assert len(Versions(spark, path).committed()) == 2
     assert [r.score for r in sinks.read_metrics_snapshot(spark, path, schema).collect()] == [3.0]
+
+
+def test_one_hot_pools_rare_and_leaves_unseen_empty(spark, monkeypatch):
+    monkeypatch.setattr(N, "WIDE_COLUMN", 2)  # the ranks of wide columns come from ranges
+    rows = [("b", 1.0), ("b", 2.0), ("a", 3.0), ("a", 0.0), (None, 1.0), (None, 1.0), ("once", 5.0), ("lone", 6.0)]
+    train = spark.createDataFrame([(i, c, f"v{i % 2}", x + i * 1000) for i, (c, x) in enumerate(rows * 1)], "i long, c string, d string, x double")
+    train = train.withColumn("x", F.col("x") + 0.25)
+    test = spark.createDataFrame([(0, "a", "v1", 7.0), (1, "never", "v0", 0.0), (2, "lone", "never", 1.0), (3, None, "v1", 2.0)], "i long, c string, d string, x double")
+    from pyspark.ml.functions import vector_to_array
+
+    monkeypatch.setattr(N, "categorical_features", lambda df, names, limit=100: ["c", "d"])
+    got_train, got = N.one_hot(train, test, ["c", "d", "x"])
+    cells = {r.i: r.v for r in got.select("i", vector_to_array("features").alias("v")).collect()}
+    # Unknown, a, b, the pool of once and lone; v0, v1; x
+    assert cells == {0: [0, 1, 0, 0, 0, 1, 7.0], 1: [0, 0, 0, 0, 1, 0, 0.0], 2: [0, 0, 0, 1, 0, 0, 1.0], 3: [1, 0, 0, 0, 0, 1, 2.0]}
+    assert got_train.count() == 8 and set(got_train.columns) == {"i", "c", "d", "x", "features"}

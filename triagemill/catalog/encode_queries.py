@@ -78,11 +78,22 @@ def c9(v):
     return rounded(coded.select("alert_id", F.size("state").cast("long").alias("size"), dot.alias("weighted_sum")))
 
 
-@query("C10_one_hot")
+HOT = ("category", "mitre", "suspicion", "os_family")
+HOT_COUNTS = " UNION ALL ".join(
+    f"""SELECT '{c}' AS c, {o} AS o, coalesce({c}, 'Unknown') AS v, count(*) AS n FROM train GROUP BY ALL""" for o, c in enumerate(HOT))
+HOT_ROWS = " UNION ALL ".join(f"SELECT alert_id, '{c}' AS c, coalesce({c}, 'Unknown') AS v FROM test" for c in HOT)
+
+
+@query("C10_one_hot", f"""
+WITH n AS ({HOT_COUNTS}),
+b AS (SELECT c, o, v, CASE WHEN n > 1 THEN row_number() OVER (PARTITION BY c, n > 1 ORDER BY v) - 1
+  ELSE count(*) FILTER (WHERE n > 1) OVER (PARTITION BY c) END AS i FROM n),
+s AS (SELECT c, coalesce(sum(max(i) + 1) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first, max(i) + 1 AS size FROM b GROUP BY c, o)
+SELECT alert_id, (first + i)::BIGINT AS "index", 1e0 AS value FROM ({HOT_ROWS}) JOIN b USING (c, v) JOIN s USING (c)
+UNION ALL SELECT alert_id, (SELECT sum(size) FROM s)::BIGINT, round(value, 6) FROM test WHERE value <> 0""")
 def c10(v):
+    """The cells of every vector that are not zero."""
     from pyspark.ml.functions import vector_to_array
-    names = ["category", "mitre", "suspicion", "os_family", "value"]
-    _, test = N.one_hot(v.train(), v.test(), names)
-    cells = vector_to_array(F.col("features"))
-    ones = F.aggregate(F.slice(cells, 1, F.size(cells) - 1), F.lit(0.0), lambda s, x: s + x)
-    return test.select("alert_id", F.size(cells).cast("long").alias("size"), ones.alias("ones"), F.element_at(cells, -1).alias("value"))
+    _, test = N.one_hot(v.train(), v.test(), [*HOT, "value"])
+    cells = test.select("alert_id", F.posexplode(vector_to_array(F.col("features"))).alias("index", "value")).filter("value <> 0")
+    return rounded(cells.select("alert_id", F.col("index").cast("long").alias("index"), "value"))

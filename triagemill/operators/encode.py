@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,22 +22,25 @@ def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide.unpivot([], list(columns), "column", "value").distinct()
 
 
-def fit_codebook(train: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, code): codes follow the code-point order of the values.
+def _ranked(values: DataFrame) -> DataFrame:
+    """(column, value) with ``rank`` from 0 in the code-point order of a column's values; the input is settled.
 
-    The distinct values are settled once. Columns of ordinary width are ranked
-    by a window per column; very wide ones by ranges of the whole value.
+    Columns of ordinary width are ranked by a window per column; very wide ones by ranges of the whole value.
     """
-    values = settle(distinct_values(train, columns), "values")
     sizes = {r["column"]: r["n"] for r in values.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     wide = [c for c, n in sizes.items() if n > WIDE_COLUMN]
     usual = values.filter(~F.col("column").isin(wide)) if wide else values
-    ranked = usual.withColumn(
-        "code", (F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1).cast("long"))
+    ranked = usual.withColumn("rank", (F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1).cast("long"))
     if wide:
         dealt = ranked_by_range(values.filter(F.col("column").isin(wide)), ["column"], "value")
-        ranked = ranked.unionByName(dealt.select("column", "value", F.col("position").alias("code")))
-    return settle(ranked, "codebook")
+        ranked = ranked.unionByName(dealt.withColumnRenamed("position", "rank"))
+    return ranked
+
+
+def fit_codebook(train: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, code): codes follow the code-point order of the values, which are settled once."""
+    values = settle(distinct_values(train, columns), "values")
+    return settle(_ranked(values).withColumnRenamed("rank", "code"), "codebook")
 
 
 def _coded(df: DataFrame, codebook: DataFrame, columns: Sequence[str], code) -> DataFrame:
@@ -155,37 +158,46 @@ def categorical_features(train: DataFrame, features: Sequence[str], limit: int =
     return [f for f in features if f in texts or sizes[f] < limit]
 
 
+def fit_one_hot(train: DataFrame, categorical: Sequence[str]) -> DataFrame:
+    """(column, value, index): categories in code-point order; those seen once in training share the index behind."""
+    counts = settle(
+        train.select(*[F.coalesce(F.col(c).cast("string"), F.lit("Unknown")).alias(c) for c in categorical])
+        .unpivot([], list(categorical), "column", "value").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")), "categories")
+    own = settle(_ranked(counts.filter("n > 1").select("column", "value")), "own")
+    sizes = own.groupBy("column").agg(F.count(F.lit(1)).alias("_size"))  # a row per column
+    rare = counts.filter("n = 1").join(sizes, "column", "left").select(
+        "column", "value", F.coalesce("_size", F.lit(0)).cast("long").alias("index"))
+    return settle(own.withColumnRenamed("rank", "index").unionByName(rare), "one-hot")
+
+
 def one_hot(train: DataFrame, test: DataFrame, features: Sequence[str], out: str = "features"):
     """One-hot vectors of categorical columns, other columns passed through.
 
     Categories seen once in training are pooled with each other; categories of
-    the test rows that training never saw get an all-zero block.
+    the test rows that training never saw get an all-zero block. Indices come
+    from a join with the settled table of categories, so no label passes
+    through the driver, and the vectors are sparse.
     """
     categorical = categorical_features(train, features)
     plain = [f for f in features if f not in categorical]
-    counts = settle(
-        train.select(*[F.coalesce(F.col(c).cast("string"), F.lit("Unknown")).alias(c) for c in categorical])
-        .unpivot([], categorical, "column", "value").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")),
-        "categories")
+    book = fit_one_hot(train, categorical)
+    sizes = {r["column"]: r["n"] for r in book.groupBy("column").agg((F.max("index") + 1).alias("n")).collect()}  # per column
 
-    def texts(df: DataFrame) -> DataFrame:
+    def indexed(df: DataFrame) -> DataFrame:
         for c in categorical:
-            part = counts.filter(F.col("column") == c).select(F.col("value").alias("_x"), F.col("n").alias("_n"))
-            df = df.withColumn("_x", F.coalesce(F.col(c).cast("string"), F.lit("Unknown")))
-            kind = F.when(F.col("_n") >= 2, F.concat(F.lit("="), "_x")).when(F.col("_n") == 1, "rare").otherwise("unseen")
-            df = sized_join(df, part, ["_x"]).withColumn(f"_c_{c}", kind).drop("_x", "_n")
+            part = settle(book.filter(F.col("column") == c).select(F.col("value").alias("_x"), F.col("index").alias("_n")), "part")
+            df = sized_join(df.withColumn("_x", F.coalesce(F.col(c).cast("string"), F.lit("Unknown"))), part, ["_x"])
+            df = df.withColumn(f"_i_{c}", F.coalesce("_n", F.lit(sizes.get(c, 0))).cast("double")).drop("_x", "_n")
         return df
 
-    train_t, test_t = texts(train), texts(test)
-    index = [f"_i_{c}" for c in categorical]
-    indexer = StringIndexer(inputCols=[f"_c_{c}" for c in categorical], outputCols=index, handleInvalid="keep").fit(train_t)
-    # the extra index of unseen categories is the last one, which the encoder drops
-    encoder = OneHotEncoder(inputCols=index, outputCols=[f"_h_{c}" for c in categorical], dropLast=False, handleInvalid="keep")
-    encoder = encoder.fit(indexer.transform(train_t))
+    train_i = indexed(train)
+    # an index beyond those of training is invalid for the encoder: the extra category is the last one, which it drops
+    encoder = OneHotEncoder(
+        inputCols=[f"_i_{c}" for c in categorical], outputCols=[f"_h_{c}" for c in categorical], handleInvalid="keep")
+    encoder = encoder.fit(train_i)
     parts = VectorAssembler(inputCols=[f"_h_{c}" for c in categorical] + plain, outputCol=out, handleInvalid="keep")
 
     def encode(df: DataFrame) -> DataFrame:
-        made = parts.transform(encoder.transform(indexer.transform(df)))
-        return made.drop(*[f"{p}{c}" for p in ("_c_", "_i_", "_h_") for c in categorical])
+        return parts.transform(encoder.transform(df)).drop(*[f"{p}{c}" for p in ("_i_", "_h_") for c in categorical])
 
-    return encode(train_t), encode(test_t)
+    return encode(train_i), encode(indexed(test))
