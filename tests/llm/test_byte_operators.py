@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -207,6 +209,34 @@ def test_toxicity(spark):
     assert toxicity.score_texts(docs.limit(0), model).count() == 0
 
 
+def plain_score(model, text, window=8):
+    """Windows, repetitions and averages by plain loops, over the fitted vectors."""
+    words = re.findall(r"\w*[^\W\d_]\w*", (text or "").lower())
+    value = {}
+    for w in set(words):
+        parts = [f"<{w}>"] + [f"<{w}>"[i:i + n] for n in (3, 4, 5) for i in range(len(w) + 3 - n)]
+        value[w] = sum(float(model.values[zlib.crc32(p.encode()) % len(model.values)]) for p in parts) / len(parts)
+    counted = [model.usual if w in words[max(0, i - window + 1):i] else value[w] for i, w in enumerate(words)]
+    if not counted:
+        worst = model.blank
+    elif len(counted) <= window:
+        worst = sum(counted) / len(counted)
+    else:
+        worst = max(sum(counted[i:i + window]) / window for i in range(len(counted) - window + 1))
+    return 1 / (1 + math.exp(-max(-40, min(40, model.slope * (worst + model.bias) + model.shift))))
+
+
+def test_toxicity_equals_plain_loops(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = toxicity.fit(toxicity.training_sample(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet")))
+    more = [(9001, None), (9002, ""), (9003, "1 2 3"), (9004, "word"), (9005, "a b a b a b c a b a b"), (None, "ID less"), (9006, "é ß " * 30_000)]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_texts(docs, model).collect()}
+    assert got == {r["doc_id"]: pytest.approx(plain_score(model, r["text"]), abs=1e-4) for r in docs.collect()}
+    held = {r["doc_id"]: r["h"] for r in docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).collect()}
+    assert held == {i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i in held}
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     for rows in ([], [(1, 0), (2, 0)]):

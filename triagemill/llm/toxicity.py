@@ -79,7 +79,8 @@ def window_means(values: np.ndarray, window: int = WINDOW) -> np.ndarray:
 
 
 def held_out(key: Column, folds: int = 5) -> Column:
-    return F.crc32(key.cast("string").cast("binary")) % folds == 0
+    """Whether a row is kept from learning; rows without id are not held out, and never learnt from either."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[tuple[str, int]]:
