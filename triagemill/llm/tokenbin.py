@@ -38,7 +38,8 @@ from triagemill.llm.tokencount import tokenizer
 from triagemill.session import scratch_path, settle
 
 MAGIC, SAMPLE = b"EFTOK001", 256
-LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+LATIN = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{re.escape(SIGNS)}]*)")
 SHARD_BYTES = 16 * 1024 * 1024
 REMEMBERED = 1_000_000  # distinct words whose ids a worker keeps; beyond, they are encoded again when met again
 
@@ -103,47 +104,42 @@ class EliasFano:
 class Words:
     """Ids of texts for tokenizers that drop white space: each stretch between ASCII white space is encoded once.
 
-    A final comma or full stop after an ASCII letter or digit is a token of its own, so such words share their stem.
+    A run of Latin letters and the ASCII signs after it are pre-tokens of their own, so such words share their stem; a
+    stem goes to the merges at once.  All other words go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        self.tok, self.known = tokenizer(path), {}
+        self.tok = tokenizer(path)
+        self.known, self.stems, self.signs = {}, {}, {"": b""}
         width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
-        self.kind, self.width = f"<u{width}", width
+        self.kind, self.width, self.code = f"<u{width}", width, "H" if width == 2 else "I"
         # byte-level vocabularies write a byte as a printable character: itself, or the next free one from 256 up
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         self.shown = {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*shown}))}
         self.letters = self._lowers_letters()
 
     def _lowers_letters(self) -> bool:
-        """Whether the tokenizer lower-cases and makes one pre-token of a run of Latin letters (tried on all of them)."""
+        """Whether the tokenizer lower-cases, makes one pre-token of a run of Latin letters and another of the signs
+        after it (tried on all letters and pairs of signs)."""
         run = "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7) + "abcdefghijklmnopqrstuvwxyz"
         ids = lambda t: self.tok.encode(t, add_special_tokens=False).ids
         pairs = [a + b for a, b in zip(run, run[1:])] + [run, run[::-1]]
-        return all(ids(p.upper() if "ß" not in p and "ÿ" not in p else p) == self._merged(p) for p in pairs)
+        signs = [a + b for a in SIGNS for b in SIGNS] + [a for a in SIGNS]
+        return all(ids(p.upper() if "ß" not in p and "ÿ" not in p else p) == self._merged(p) for p in pairs) and all(
+            ids("ab" + s) == ids("ab") + ids(s) for s in signs)
 
     def _merged(self, word: str) -> list[int]:
         """Merges alone, for a word that is one pre-token."""
-        return [t.id for t in self.tok.model.tokenize(word.encode().decode("latin-1").translate(self.shown))]
-
-    def _ids(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Latin words go to the merges at once, the rest through the whole tokenizer."""
-        out, rest, whole = {}, [], LATIN.fullmatch
-        for w in words:
-            text = w.decode()
-            if self.letters and whole(text):
-                ids = self._merged(text.lower())
-                out[w] = struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
-            else:
-                rest.append(w)
-        return out | self._encoded(rest)
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.shown)
+        return [t.id for t in self.tok.model.tokenize(word)]
 
-    def _encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
+    def _encoded(self, words: list[str]) -> dict[str, bytes]:
         """Many words in one call; offsets tell whose the tokens are."""
         out, width = {}, self.width
         for i in range(0, len(words), 4000):
             some = words[i:i + 4000]
-            joined = b" ".join(some).decode()
+            joined = " ".join(some)
             got = self.tok.encode(joined, add_special_tokens=False)
             gaps = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le"), "<u4") == 32)
             starts = np.fromiter((o[0] for o in got.offsets), np.int64, len(got.ids))
@@ -154,25 +150,38 @@ class Words:
                 at = cut
         return out
 
+    def _learn(self, new: list[bytes]) -> None:
+        """Keep the ids of words that were not met yet."""
+        plain, rest = [], []
+        match, stems, signs, known = LATIN.fullmatch, self.stems, self.signs, self.known
+        for w, text in zip(new, b"\n".join(new).decode().split("\n")):
+            m = match(text) if self.letters else None
+            if m:
+                plain.append((w, m[1].lower(), m[2]))
+            else:
+                rest.append((w, text))
+        merged, pack, code = self._merged, struct.pack, self.code
+        for stem in {x[1] for x in plain}.difference(stems):
+            ids = merged(stem)
+            stems[stem] = pack(f"<{len(ids)}{code}", *ids)
+        signs.update(self._encoded(list({x[2] for x in plain}.difference(signs))))
+        known.update([(w, stems[stem] + signs[sign]) for w, stem, sign in plain])
+        others = self._encoded([text for _, text in rest])
+        known.update([(w, others[text]) for w, text in rest])
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        known = self.known
         split = [x.split() for x in texts]
-        new = [w for w in set().union(*split) if w not in known]
-        # a word is looked up by its plain form: lower case, and without the final sign that is a token of its own
-        plain, signs = [], []
-        for w in new:
-            sign = w[-1:] if w[-1:] in (b",", b".") and w[-2:-1].isalnum() else b""
-            signs.append(sign)
-            if sign:
-                w = w[:-1]
-            plain.append(w.lower() if w.isascii() and b"<|" not in w else w)
-        ids = self._ids(sorted({x for x in plain if x not in known} | {b",", b"."}))
-        known.update((w, (ids[x] if x in ids else known[x]) + (ids[sign] if sign else b"")) for w, x, sign in zip(new, plain, signs))
-        known.update(ids)
-        out = [b"".join(map(known.__getitem__, ws)) for ws in split]
-        if len(known) > REMEMBERED:
-            for w in {*new, *plain}:
-                known.pop(w, None)
+        new = list(set().union(*split).difference(self.known))
+        if new:
+            self._learn(new)
+        out = [b"".join(map(self.known.__getitem__, ws)) for ws in split]
+        if len(self.known) > REMEMBERED:
+            for w in new:
+                del self.known[w]
+        for learnt in (self.stems, self.signs):
+            if len(learnt) > REMEMBERED:
+                learnt.clear()
+        self.signs[""] = b""
         return out
 
 
