@@ -5,6 +5,8 @@ from __future__ import annotations
 import io
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +52,18 @@ def sent(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if can_send(table) else table
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of each query run meanwhile when that query ends, not at some later collection."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 _shipped: set[str] = set()
 
 

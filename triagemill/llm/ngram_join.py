@@ -31,11 +31,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from triagemill.llm.common import sent, ship
-from triagemill.session import settle
+from triagemill.llm.common import sent, ship, shuffles_freed
+from triagemill.session import collecting, drop_scratch, settle
 
 N, NUM, DEN = 3, 90, 100
 _U = np.uint64
@@ -205,30 +206,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionAll(roots)
 
 
-def jaccard_join(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, text_key (hash of the text), n_shingles, component_id and group of every row.
-
-    Rows are linked from a similarity of ``num / den`` on; ``group`` numbers the components (null for empty sets).
-    """
-    ship(docs.sparkSession)
-    source = docs.select(
-        F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).cast("binary").alias("t"))
-    rows = settle(_digests(source, n), "digests")
-    nodes = settle(rows.filter("n > 0").groupBy("node").agg(
-        F.first("n").alias("n"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_key")).alias("from")), "nodes")
-    same = lambda t: F.col("doc_id").eqNullSafe(t["w_id"]) & (F.col("text_key") == t["w_key"])
-    # one document speaks for a node
-    copies = rows.join(nodes.select("node", "from"), "node").filter(F.struct("doc_id", "text_key") != F.col("from"))
-    copies = sent(settle(copies.select(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key")).distinct(), "copies"))
-    blocks = _blocks(source.join(copies, same(copies), "left_anti"), n, num, den)
-    cells = blocks.select(F.explode("keys").alias("key"), "node", "band")
-    # the keys that several rows have, and the rows that share as many as a link asks for
-    shared = settle(cells.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "shared")
-    met = settle(blocks.select(F.explode("keys").alias("key"), "node", "band", "need").join(sent(shared), "key").distinct(), "met")
+def _pairs(blocks: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of a node and a hub (a, b) that are equal in some block; ``wide`` where a block has three rows and more."""
+    others = F.count(F.lit(1)).over(W.partitionBy("key"))
+    # the keys go through one shuffle: a row stays if another row has its key, and shares as many as a link asks for
+    cells = blocks.select(F.explode("keys").alias("key"), "node", "band", "need").withColumn("c", others)
+    met = settle(cells.filter("c > 1").drop("c").distinct(), "met")
     enough = met.groupBy("node", "band").agg(F.count(F.lit(1)).alias("s"), F.max("need").alias("need")).filter("s >= need")
-    met = settle(met.join(sent(settle(enough.select("node", "band"), "enough")), ["node", "band"]).select("key", "node"), "kept")
-    shared = settle(met.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "shared")
-    met = settle(met.join(sent(shared), "key"), "met")
+    met = met.join(sent(settle(enough.select("node", "band"), "enough")), ["node", "band"]).select("key", "node")
+    met = settle(met.withColumn("c", others).filter("c > 1"), "kept")
     # each key's hub
     score = met.groupBy("node").agg(F.sum("c").alias("score"))
     scored = met.join(score, "node")
@@ -238,20 +224,56 @@ def jaccard_join(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN, ke
     pairs = pairs.groupBy(F.col("node").alias("a"), "b").agg((F.max("c") > 2).alias("wide"))
     pairs = _sized(pairs, nodes).filter(F.col("wide") | (
         (F.col("na") * num <= F.col("nb") * den) & (F.col("nb") * num <= F.col("na") * den)))
-    pairs = settle(pairs.select("a", "b", "wide"), "pairs")
+    return pairs.select("a", "b", "wide")
+
+
+def _links(alone: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that join the nodes' components; ``alone`` has one document of each node."""
+    used: list[str] = []
+    with collecting(used):
+        pairs = _pairs(_blocks(alone, n, num, den), nodes, num, den)
+    pairs = settle(pairs, "pairs")
+    drop_scratch(alone.sparkSession, used)
     # full sets of the nodes that met another
     wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node")
     wanted = sent(settle(wanted.select(F.col("from.doc_id").alias("w_id"), F.col("from.text_key").alias("w_key")), "wanted"))
-    sets = settle(_sets(source.join(wanted, same(wanted), "left_semi"), n).dropDuplicates(["node"]), "sets")
+    sets = settle(_sets(alone.join(wanted, _same(wanted), "left_semi"), n).dropDuplicates(["node"]), "sets")
     size = sets.select("node", "n")
     done = settle(_sized(_multiplied(pairs, sets), size), "products")
     close = (F.col("common") * den >= (F.col("na") + F.col("nb") - F.col("common")) * num)
     links = done.filter(close).select("a", "b")
     root = settle(components(links), "roots")
-    more = _by_differences(done, root, num, den)
-    more = settle(more, "candidates")
+    more = settle(_by_differences(done, root, num, den), "candidates")
     found = settle(_sized(_multiplied(more.withColumn("wide", F.lit(False)), sets), size).filter(close).select("a", "b"), "links")
-    root = settle(components(links.unionAll(found)), "roots")
+    return links.unionAll(found)
+
+
+def _same(t: DataFrame) -> Column:
+    return F.col("doc_id").eqNullSafe(t["w_id"]) & (F.col("text_key") == t["w_key"])
+
+
+def jaccard_join(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, text_key (hash of the text), n_shingles, component_id and group of every row.
+
+    Rows are linked from a similarity of ``num / den`` on; ``group`` numbers the components (null for empty sets).
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    source = docs.select(
+        F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).cast("binary").alias("t"))
+    rows = settle(_digests(source, n), "digests")
+    nodes = settle(rows.filter("n > 0").groupBy("node").agg(
+        F.first("n").alias("n"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_key")).alias("from")), "nodes")
+    # one document speaks for a node
+    copies = rows.join(nodes.select("node", "from"), "node").filter(F.struct("doc_id", "text_key") != F.col("from"))
+    copies = sent(settle(copies.select(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key")).distinct(), "copies"))
+    alone = source.join(copies, _same(copies), "left_anti")
+    used: list[str] = []
+    with shuffles_freed(spark):
+        with collecting(used):
+            links = _links(alone, nodes, n, num, den)
+        root = settle(components(links), "roots")
+    drop_scratch(spark, used)
     # the smallest document id of each component
     labelled = nodes.select("node", "least").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -306,14 +328,15 @@ def _by_differences(done: DataFrame, root: DataFrame, num: int, den: int) -> Dat
     front = front.select("hub", "x", "n", "root", "d", F.col("c.col").alias("col"), (F.col("alone") + F.col("i")).alias("i")).filter(
         F.col("i") <= widest)
     front = settle(front, "fronts")
-    left = front.select("hub", "col", *[F.col(c).alias(f"{c}_1") for c in ("x", "n", "root", "d", "i")])
+    names = ("hub", "col", "x", "n", "root", "d", "i")
+    left = front.select(*[F.col(c).alias(f"{c}_1") for c in names])
     right = front.withColumn("half", F.floor(widest / 2)).filter("i <= half").select(
-        "hub", "col", *[F.col(c).alias(f"{c}_2") for c in ("x", "n", "root", "d", "i")])
+        *[F.col(c).alias(f"{c}_2") for c in names])
     h = F.expr(f"((n_1 + n_2) * {den - num}) div {den + num}")
     fits = (
         ((F.col("d_1") > F.col("d_2")) | ((F.col("d_1") == F.col("d_2")) & (F.col("x_1") > F.col("x_2"))))
         & (F.col("root_1") != F.col("root_2"))
         & (F.col("n_1") * num <= F.col("n_2") * den) & (F.col("n_2") * num <= F.col("n_1") * den)
         & (F.col("i_1") * 2 <= F.col("d_1") - F.col("d_2") + h) & (F.col("i_2") * 2 <= F.col("d_2") - F.col("d_1") + h))
-    met = left.join(right, (left["hub"] == right["hub"]) & (left["col"] == right["col"]) & fits)
+    met = left.join(right, (F.col("hub_1") == F.col("hub_2")) & (F.col("col_1") == F.col("col_2")) & fits)
     return met.select(F.col("x_1").alias("a"), F.col("x_2").alias("b")).distinct()
