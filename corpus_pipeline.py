@@ -5,7 +5,7 @@ shared folder and rereads them for the next.  All stages but the last return the
 names are, unchanged.
 
 A stage's result is to be written before the next stage is called: the tables a stage has settled on its way are dropped
-when the next one starts, so the scratch of one stage alone takes up space.
+when the next one starts, so the scratch of one stage alone takes up space.  Shuffle files go with the query that made them.
 
 Cases: an empty table gives an empty one at every stage.  A null or empty text is scored as
 a text without words, is near to nothing, has no benchmark words, counts no words in the mix (and is taken as its hash
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagemill.llm import decontam, mixing, ngram_join, tokenbin, toxicity
-from triagemill.llm.common import free_prefix, sent
+from triagemill.llm.common import free_prefix, sent, shuffles_freed
 from triagemill.session import collecting, drop_scratch, settle
 
 # the toxicity model, the hubs of the join and the byte formats have no SQL form
@@ -38,7 +38,7 @@ def stage(fn):
     @wraps(fn)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         drop_scratch(spark, _used_up)
-        with collecting(_used_up):
+        with collecting(_used_up), shuffles_freed(spark):
             return fn(spark, docs, sf_dir)
 
     return run_stage
