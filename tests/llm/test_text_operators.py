@@ -104,11 +104,28 @@ def test_fold_events(spark):
     assert got == replay(log)
 
 
+def test_streamed_log(spark):
+    """Drafts, abandoned messages and unedited texts are in the log and not in what it folds to."""
+    texts = ["", None, "short", "x" * 24, "y" * 25, "日本語" * 40, "last answer " * 30]
+    rows = [(c, i + 1, ("user", "assistant", None)[(i + c) % 3], t) for c in (1, 2, None) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "conv_id long, msg long, role string, text string").withColumn("seq", F.lit("extra"))
+    log = chat.streamed_log(frame)
+    told = [tuple(r[c] for c in ("conv_id", "seq", "msg", "kind", "role", "text")) for r in log.collect()]
+    assert {e[3] for e in told} == {"message", "edit", "regenerate", "delta"} and max(e[2] for e in told) > len(texts)
+    whole = {(c, m): t or "" for c, m, _, t in rows}
+    assert replay(told) == whole
+    got = {(r["conv_id"], r["msg"]): (r["role"], r["text"]) for r in chat.fold_events(log.repartition(3)).collect()}
+    assert got == {(c, m): (role or "", t or "") for c, m, role, t in rows}
+    assert chat.fold_events(chat.streamed_log(frame.limit(0))).count() == 0
+
+
 def test_render_round_trip(spark):
     hostile = ["\\### Assistant: </turn> ok", "<turn:user>\n", "\\e\\l\\g", "", "a\nb</turn>\n<turn:assistant>\nx", "日本\\", "x" * 200_000]
     rows = [(c, i, ("user", "assistant", "sys>tem\\")[(i + c) % 3], t) for c in range(3) for i, t in enumerate(hostile)]
     frame = spark.createDataFrame(rows, "conv_id long, msg long, role string, text string")
-    out = chat.render(frame).select("conv_id", chat.read_turns(chat.training_text(F.col("segments"))).alias("t"), chat.read_loss(F.col("segments")).alias("l"))
+    out = chat.render(frame).select(
+        "conv_id", chat.read_turns(chat.training_text(F.col("segments"))).alias("t"),
+        chat.read_loss(chat.training_text(F.col("segments")), F.col("spans")).alias("l"))
     for r in out.collect():
         mine = [x for x in rows if x[0] == r["conv_id"]]
         assert [(t["role"], t["text"]) for t in r["t"]] == [(x[2], x[3]) for x in mine]

@@ -64,8 +64,30 @@ def fold_events(log: DataFrame) -> DataFrame:
         F.array_join(F.transform("_p", lambda x: x["text"]), "").alias("text"))
 
 
+def streamed_log(rows: DataFrame, piece: int = 24) -> DataFrame:
+    """The event log by which a chat of finished messages (conv_id, msg, role, text; msg from 1, unique in a chat) came about.
+
+    A text of a role other than the assistant's is first sent without its second half and then edited.  An answer has a first draft and a
+    message that follows it; both go when it is regenerated, and it arrives as deltas of ``piece`` code points.
+    """
+    text = F.coalesce("text", F.lit(""))
+    n = F.char_length(text)
+    half = F.substring(text, F.lit(1), F.floor(n / 2).cast("int"))
+    event = lambda kind, said, later=0, role=F.col("role"): F.struct(
+        (F.col("msg") + later).alias("msg"), F.lit(kind).alias("kind"), role.alias("role"), said.alias("text"))
+    none = F.lit(None).cast("string")
+    places = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(piece))
+    deltas = F.transform(places, lambda at: event("delta", F.substring(text, at + 1, F.lit(piece)), role=none))
+    answer = F.concat(F.array(event("message", half), event("message", half, 1), event("regenerate", none)), deltas)
+    other = F.array(event("message", half), event("edit", text))
+    told = rows.select("conv_id", F.col("msg").alias("_m"), F.posexplode(F.when(F.col("role") == "assistant", answer).otherwise(other)).alias("_i", "_e"))
+    # events of a message lie together: its number in the upper half, theirs in the lower
+    return told.select("conv_id", F.struct(F.col("_m").alias("m"), F.col("_i").alias("i")).alias("seq"), "_e.*")
+
+
 def render(messages: DataFrame, learn: str = "assistant") -> DataFrame:
-    """One row per conversation: ``segments``, the pieces of its training text in order, each with its loss mask.
+    """One row per conversation: ``segments``, the pieces of its training text in order, each with its loss mask, and
+    ``spans``, where the mask holds in the training text (code points, end exclusive).
 
     The mask holds for the texts of role ``learn`` and for nothing else.  The training text is the pieces joined
     (``training_text``).  Pieces are made per message before the shuffle; a conversation must fit a row.
@@ -75,10 +97,16 @@ def render(messages: DataFrame, learn: str = "assistant") -> DataFrame:
         F.struct(head.alias("text"), F.lit(False).alias("loss")),
         F.struct(escape(F.col("text")).alias("text"), (F.col("role") == learn).alias("loss")),
         F.struct(F.lit(CLOSE).alias("text"), F.lit(False).alias("loss")))
-    turns = messages.select("conv_id", "msg", parts.alias("parts"))
-    lists = F.array_sort(F.collect_list(F.struct("msg", "parts")))
+    size = lambda i: F.char_length(F.get("parts", F.lit(i))["text"]).cast("bigint")
+    before = F.coalesce(F.sum(size(0) + size(1) + size(2)).over(
+        W.partitionBy("conv_id").orderBy("msg").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    turns = messages.select("conv_id", "msg", parts.alias("parts")).withColumn("start", before + size(0)).withColumn(
+        "end", F.col("start") + size(1))
+    lists = F.array_sort(F.collect_list(F.struct("msg", "start", "end", "parts")))
+    learnt = F.filter("_t", lambda t: F.get(t["parts"], F.lit(1))["loss"])
     return turns.groupBy("conv_id").agg(lists.alias("_t")).select(
-        "conv_id", F.flatten(F.transform("_t", lambda t: t["parts"])).alias("segments"))
+        "conv_id", F.flatten(F.transform("_t", lambda t: t["parts"])).alias("segments"),
+        F.transform(learnt, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))).alias("spans"))
 
 
 def training_text(segments: Column) -> Column:
@@ -92,6 +120,7 @@ def read_turns(formatted: Column) -> Column:
     return F.zip_with(roles, texts, lambda r, t: F.struct(unescape(r).alias("role"), unescape(t).alias("text")))
 
 
-def read_loss(segments: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return unescape(F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: s["text"]), ""))
+def read_loss(formatted: Column, spans: Column) -> Column:
+    """All text under the loss mask, unescaped, from a training text and its spans."""
+    said = F.transform(spans, lambda s: F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+    return unescape(F.array_join(said, ""))
