@@ -104,20 +104,37 @@ FOLD = """WITH RECURSIVE h AS MATERIALIZED (SELECT * FROM run_history), f AS (
   FROM f JOIN h ON h.run_id = f.run_id AND h.epoch = f.epoch + 1 WHERE NOT f.stop)"""
 
 
-@query("F8_replay_early_stopping", FOLD.format(patience=8) + """
+# of every epoch: the fold without an end, and the two exits that look back on six validations
+LOOK_BACK = FOLD.format(patience=1000000) + """,
+w AS (SELECT f.run_id, f.epoch, f.best, f.best_epoch, f.waited, h.score, count(*) OVER s AS n, max(h.score) OVER s AS hi, min(h.score) OVER s AS lo,
+  max(h.loss) OVER s AS rhi, min(h.loss) OVER s AS rlo,
+  avg(h.loss) OVER s AS ravg, sum((h.score <= p.score + 0.0025e0)::INT) OVER (PARTITION BY f.run_id ORDER BY f.epoch ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS falls
+  FROM f JOIN h USING (run_id, epoch) LEFT JOIN h p ON p.run_id = f.run_id AND p.epoch = f.epoch - 1
+  WINDOW s AS (PARTITION BY f.run_id ORDER BY f.epoch ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)),
+g AS (SELECT run_id, epoch, best, best_epoch, waited, n = 6 AND epoch >= {min_epochs} AND hi - lo <= 0.02e0
+    AND rhi - rlo <= greatest(0.02e0, greatest(abs(ravg), 1e0) * 0.0025e0) AND hi <= best + 0.01e0 AS converged,
+  n = 6 AND epoch >= {min_epochs} AND score < best - 0.01e0 AND falls = 5 AS declining FROM w)"""
+
+
+@query("F8_replay_early_stopping", LOOK_BACK.replace("{min_epochs}", "5") + """,
+x AS (SELECT *, CASE WHEN declining THEN 'persistent_validation_decline' WHEN converged THEN 'validation_and_policy_converged'
+  WHEN epoch >= 5 AND waited >= 8 THEN 'validation_patience_exhausted' END AS why FROM g),
+y AS (SELECT *, coalesce(min(epoch) FILTER (WHERE why IS NOT NULL) OVER r, max(epoch) OVER r) AS ends FROM x WINDOW r AS (PARTITION BY run_id))
+SELECT run_id, best_epoch, best AS best_score, epoch AS validations_used, coalesce(why, 'max_epochs_reached') AS stopping_reason FROM y WHERE epoch = ends""")
+def f8(v):
+    return RS.replay_early_stopping(
+        v.run_history().select("run_id", "epoch", "score", "loss"), 0.01, 8, 5, tolerance=0.02, reward="loss")
+
+
+@query("F8_replay_patience_only", FOLD.format(patience=8) + """
 SELECT run_id, best_epoch, best AS best_score, epoch AS validations_used, CASE WHEN stop THEN 'validation_patience_exhausted' ELSE 'max_epochs_reached' END AS stopping_reason
 FROM f QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY epoch DESC) = 1""")
-def f8(v):
+def f8p(v):
     return RS.replay_early_stopping(v.run_history().select("run_id", "epoch", "score"), 0.01, 8, 5)
 
 
-@query("F8_stability_flags", FOLD.format(patience=1000000) + """,
-w AS (SELECT f.run_id, f.epoch, f.best, h.score, count(*) OVER s AS n, max(h.score) OVER s AS hi, min(h.score) OVER s AS lo, max(h.loss) OVER s AS rhi, min(h.loss) OVER s AS rlo,
-  avg(h.loss) OVER s AS ravg, sum((h.score <= p.score + 0.0025e0)::INT) OVER (PARTITION BY f.run_id ORDER BY f.epoch ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS falls
-  FROM f JOIN h USING (run_id, epoch) LEFT JOIN h p ON p.run_id = f.run_id AND p.epoch = f.epoch - 1
-  WINDOW s AS (PARTITION BY f.run_id ORDER BY f.epoch ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))
-SELECT run_id, epoch, best AS best_so_far, n = 6 AND epoch >= 10 AND hi - lo <= 0.02e0 AND rhi - rlo <= greatest(0.02e0, greatest(abs(ravg), 1e0) * 0.0025e0) AND hi <= best + 0.01e0 AS converged,
-  n = 6 AND epoch >= 10 AND score < best - 0.01e0 AND falls = 5 AS declining FROM w""")
+@query("F8_stability_flags", LOOK_BACK.replace("{min_epochs}", "10") + """
+SELECT run_id, epoch, best AS best_so_far, converged, declining FROM g""")
 def f8s(v):
     return RS.stability_flags(
         v.run_history().select("run_id", "epoch", "score", "loss"), 0.01, 0.02, 10, reward="loss", piece=7)
