@@ -107,7 +107,7 @@ def test_fold_events(spark):
 def test_streamed_log(spark):
     """Drafts, abandoned messages and unedited texts are in the log and not in what it folds to."""
     texts = ["", None, "short", "x" * 24, "y" * 25, "日本語" * 40, "last answer " * 30]
-    rows = [(c, i + 1, ("user", "assistant", None)[(i + c) % 3], t) for c in (1, 2, None) for i, t in enumerate(texts)]
+    rows = [(c, i + 1, ("user", "assistant", None)[(i + (c or 0)) % 3], t) for c in (1, 2, None) for i, t in enumerate(texts)]
     frame = spark.createDataFrame(rows, "conv_id long, msg long, role string, text string").withColumn("seq", F.lit("extra"))
     log = chat.streamed_log(frame)
     told = [tuple(r[c] for c in ("conv_id", "seq", "msg", "kind", "role", "text")) for r in log.collect()]
