@@ -69,6 +69,46 @@ def test_decontaminate_long_items_only(spark):
     assert got == {i: brute_hits(t, items) for i, t in enumerate(texts)}
 
 
+def test_decontaminate_shuffles_no_words(spark, monkeypatch, capsys):
+    monkeypatch.setattr(decontam, "can_send", lambda t: False)
+    monkeypatch.setattr(decontam, "sent", lambda t: t)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        bench = spark.createDataFrame([(1, " ".join(map(str, range(20)))), (2, "a b c")], "item_id long, text string")
+        docs = spark.createDataFrame([(i, f"x a b c {i}", 0) for i in range(4)] + [(None, "a b c", 1)] * 2, "doc_id long, text string, _pair int")
+        out = decontam.decontaminate(docs, bench)
+        assert sorted((r["doc_id"] is None, r["doc_id"], r["n_hit"], r["items"]) for r in out.collect() if r["doc_id"] is not None) == [
+            (False, i, 3, ["2"]) for i in range(4)]
+        assert [r["n_hit"] for r in out.collect() if r["doc_id"] is None] == [3, 3]
+        out.explain("formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", capsys.readouterr().out)
+    assert moved and not any("_words" in m for m in moved)
+
+
+def test_fingerprints_by_window(spark):
+    """A hash is kept for a window of w places if it is the least of some w consecutive ones, whatever other windows are wanted."""
+    rng = random.Random(8)
+    words = [[str(rng.randrange(30)) for _ in range(n)] for n in (60, 13, 5, 4)]
+    table = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "id int, _words array<string>")
+    wide = decontam.fingerprints(table, 5, 1, 9)
+    for w in (1, 4, 9):
+        own = {(r["id"], r["_at"]) for r in decontam.fingerprints(table, 5, w, w).collect()}
+        assert own == {(r["id"], r["_at"]) for r in wide.filter(f"_free >= {w - 1}").collect()}
+        hashes = {}
+        for r in wide.collect():
+            hashes.setdefault(r["id"], {})[r["_at"]] = r["_hash"]
+        least = set()
+        for i, h in hashes.items():
+            for start in range(len(h) - w + 1):
+                low = min(h[start + j] for j in range(w))
+                least |= {(i, start + j) for j in range(w) if h[start + j] == low}
+        assert own == least
+    assert sum(1 for r in wide.filter("_free >= 8").collect() if r["id"] == 0) < 30
+
+
 def test_decontaminate_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     rows = decontam.decontaminate(docs_of(spark, ["a b", None]), none).collect()

@@ -1,7 +1,8 @@
 """Benchmark decontamination by winnowing.
 
 Of every ``w`` consecutive k-word hashes the smallest is kept as a fingerprint.  A span of ``k + w - 1`` words that a
-document shares with an item therefore holds a fingerprint that both sides keep.  The fingerprints are joined, each
+document shares with an item therefore holds a fingerprint that both sides keep; ``w`` is an item's own, so that a short
+item does not widen what longer ones keep.  The fingerprints are joined, each
 meeting is compared word by word and extended to both sides, and runs of at least the wanted span become hits.
 
 Cases: a null or empty text has no words and no hits; an item with fewer words than the span counts as a whole; a null
@@ -16,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triagemill.llm.common import can_send, lower_ascii, words_of
+from triagemill.llm.common import can_send, lower_ascii, sent, words_of
 from triagemill.session import settle
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -42,13 +43,18 @@ def _run(step: int, most: int) -> Column:
     return F.lit(0) if found is None else found.otherwise(F.lit(most))
 
 
-def fingerprints(words: DataFrame, k: int, w: int, marks: bool = False) -> DataFrame:
-    """Rows with ``_at`` and ``_hash`` of every kept hash; with ``marks`` also one row with a null hash per input row."""
+def fingerprints(words: DataFrame, k: int, least: int, most: int, marks: bool = False) -> DataFrame:
+    """Rows with ``_at``, ``_hash`` and ``_free`` of every hash that some window of ``least`` places keeps.
+
+    ``_free`` counts the hashes around it, up to ``most - 1`` to either side, that are not smaller: a window of ``w``
+    places keeps the hash if ``_free >= w - 1``.  With ``marks`` there is also one row with a null hash per input row.
+    """
     rows = words.withColumn("_grams", _grams(k))
     if marks:
         rows = rows.withColumn("_grams", F.concat("_grams", F.array(F.lit(None).cast("bigint"))))
     rows = rows.select("*", F.posexplode("_grams").alias("_at", "_hash"))
-    keep = F.col("_hash").isNotNull() & (_run(-1, w - 1) + _run(1, w - 1) >= w - 1)
+    rows = rows.withColumn("_free", _run(-1, most - 1) + _run(1, most - 1))
+    keep = F.col("_hash").isNotNull() & (F.col("_free") >= least - 1)
     if marks:
         keep = keep | (F.col("_at") == F.size("_words"))
     return rows.filter(keep).drop("_grams")
@@ -85,56 +91,65 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
                   doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """One row per document: its id, ``text_key`` (hash of the text), ``n_words``, merged hit ``spans`` (word places,
     end excluded), ``n_hit`` (words in them) and ``items`` (ids as strings, sorted)."""
-    def words(table, key):
-        return table.select(
-            F.col(key).alias("_id"), F.xxhash64(F.col(text)).alias("_key"),
-            words_of(lower_ascii(F.col(text)), pattern).alias("_words"))
+    def texts(table, key):
+        # the hash may be null by type, as it is in a table read back: joins of both then share one partitioning
+        hashed = F.nullif(F.xxhash64(F.col(text)), F.lit(None).cast("bigint"))
+        return table.select(F.struct(F.col(key).alias("id"), hashed.alias("key")).alias("_pair"), F.col(text).alias("_text"))
+
+    def words(table):
+        return table.select("_pair", words_of(lower_ascii(F.col("_text")), pattern).alias("_words"))
 
     bench = settle(
-        words(items, item_id).filter(F.size("_words") > 0).distinct()
+        words(texts(items, item_id)).filter(F.size("_words") > 0).distinct()
         .withColumn("_need", F.least(F.size("_words"), F.lit(span))), "items")
     needs = [r[0] for r in bench.select("_need").distinct().collect()]  # at most `span` values
-    # one class of fingerprints per hash length; a smaller window keeps all that a larger one keeps
-    windows = {n: 1 for n in needs if n < gram}
-    windows[gram] = min([n - gram + 1 for n in needs if n >= gram], default=span - gram + 1)
+    # a class of fingerprints per hash length, with its narrowest and widest window; each item keeps to its own window
+    classes = {n: (1, 1) for n in needs if n < gram}
+    wide = [n - gram + 1 for n in needs if n >= gram] or [span - gram + 1]
+    classes[gram] = min(wide), max(wide)
     reach = span - 1
-    grams = {k: settle(
-        fingerprints(bench.filter(F.col("_need") >= gram if k == gram else F.col("_need") == k), k, w)
-        .select("_hash", F.col("_id").cast("string").alias("_item"), "_need", *_around("i", k, reach)), "prints")
-        for k, w in windows.items()}
-    source = words(docs, doc_id)
+    grams = {}
+    for k, (least, most) in classes.items():
+        own = bench.filter(F.col("_need") >= gram if k == gram else F.col("_need") == k)
+        kept = fingerprints(own, k, least, most).withColumn("_least", F.col("_need") - k).filter("_free >= _least")
+        grams[k] = settle(kept.select(
+            "_hash", F.col("_pair.id").cast("string").alias("_item"), "_need", "_least", *_around("i", k, reach)), "prints")
+    source = texts(docs, doc_id)
     if all(can_send(g) for g in grams.values()):
         # each document passes once: its kept hashes meet the sent table, a mark carries the word count
-        numbered = source.withColumn("_row", F.monotonically_increasing_id())
+        numbered = words(source).withColumn("_row", F.monotonically_increasing_id())
         parts = []
-        for k, w in windows.items():
-            met = fingerprints(numbered, k, w, marks=True).join(F.broadcast(grams[k]), "_hash", "left")
-            met = met.filter(F.col("_hash").isNull() | F.col("_need").isNotNull())
-            met = met.select("_row", "_id", "_key", F.size("_words").alias("_n"), "_item", "_at", "_need",
+        for k, (least, most) in classes.items():
+            met = fingerprints(numbered, k, least, most, marks=True).join(F.broadcast(grams[k]), "_hash", "left")
+            met = met.filter(F.col("_hash").isNull() | (F.col("_free") >= F.col("_least")))
+            met = met.select("_row", "_pair", F.size("_words").alias("_n"), "_item", "_at", "_need",
                              *_around("d", k, reach), "i_gram", "i_left", "i_right")
-            parts.append(met.select("_row", "_id", "_key", "_n", *_extended(k, reach)))
+            parts.append(met.select("_row", "_pair", "_n", *_extended(k, reach)))
         hits = reduce(DataFrame.union, parts)
         rows = hits.groupBy("_row").agg(
-            F.first("_id").alias("_id"), F.first("_key").alias("_key"), F.first("_n").alias("_n"),
+            F.first("_pair").alias("_pair"), F.first("_n").alias("_n"),
             F.collect_set("_span").alias("_spans"), F.collect_set("_item").alias("_items"))
     else:
         # many items: narrow hashes are shuffled, and only documents with a common hash are read again for their words
+        met = {}
+        for k, (least, most) in classes.items():
+            prints = fingerprints(words(source), k, least, most).select("_pair", "_at", "_hash", "_free")
+            met[k] = settle(prints.join(grams[k], "_hash").filter("_free >= _least").drop("_hash", "_free", "_least"), "met")
+        wanted = sent(settle(reduce(DataFrame.union, [m.select("_pair") for m in met.values()]).distinct(), "wanted"))
+        # texts, not words, go through the shuffle, each once
+        again = words(source.join(wanted, "_pair", "left_semi").dropDuplicates(["_pair"]))
         parts = []
-        for k, w in windows.items():
-            prints = fingerprints(source, k, w).select("_id", "_key", "_at", "_hash")
-            met = prints.join(grams[k], "_hash").withColumnsRenamed({"_id": "_doc", "_key": "_text"})
-            met = met.join(source.distinct(), F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_text").eqNullSafe(F.col("_key")))
-            met = met.select("_doc", "_text", "_item", "_at", "_need", "i_gram", "i_left", "i_right", *_around("d", k, reach))
-            parts.append(met.select("_doc", "_text", *_extended(k, reach)).filter(F.col("_span").isNotNull()))
-        found = reduce(DataFrame.union, parts).groupBy("_doc", "_text").agg(
+        for k, m in met.items():
+            both = m.join(again, "_pair").select("_pair", "_item", "_at", "_need", "i_gram", "i_left", "i_right", *_around("d", k, reach))
+            parts.append(both.select("_pair", *_extended(k, reach)).filter(F.col("_span").isNotNull()))
+        found = reduce(DataFrame.union, parts).groupBy("_pair").agg(
             F.collect_set("_span").alias("_spans"), F.collect_set("_item").alias("_items"))
-        plain = source.select("_id", "_key", F.size("_words").alias("_n"))
-        rows = plain.join(found, F.col("_id").eqNullSafe(F.col("_doc")) & F.col("_key").eqNullSafe(F.col("_text")), "left")
+        rows = words(source).select("_pair", F.size("_words").alias("_n")).join(found, "_pair", "left")
     spans = F.array_sort(F.coalesce("_spans", F.array().cast("array<struct<start:int,end:int>>")))
     rows = rows.withColumn("spans", _merged(spans))
     length = F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + x["end"] - x["start"])
     return rows.select(
-        F.col("_id").alias(doc_id), F.col("_key").alias("text_key"), F.col("_n").cast("bigint").alias("n_words"),
+        F.col("_pair.id").alias(doc_id), F.col("_pair.key").alias("text_key"), F.col("_n").cast("bigint").alias("n_words"),
         length.alias("n_hit"), F.array_sort(F.coalesce("_items", F.array().cast("array<string>"))).alias("items"), "spans")
 
 
