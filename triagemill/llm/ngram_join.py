@@ -212,8 +212,8 @@ def _pairs(blocks: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame
     # the keys go through one shuffle: a row stays if another row has its key, and shares as many as a link asks for
     cells = blocks.select(F.explode("keys").alias("key"), "node", "band", "need").withColumn("c", others)
     met = settle(cells.filter("c > 1").drop("c").distinct(), "met")
-    enough = met.groupBy("node", "band").agg(F.count(F.lit(1)).alias("s"), F.max("need").alias("need")).filter("s >= need")
-    met = met.join(sent(settle(enough.select("node", "band"), "enough")), ["node", "band"]).select("key", "node")
+    shared = F.count(F.lit(1)).over(W.partitionBy("node", "band"))
+    met = met.withColumn("s", shared).filter("s >= need").select("key", "node")
     met = settle(met.withColumn("c", others).filter("c > 1"), "kept")
     # each key's hub
     score = met.groupBy("node").agg(F.sum("c").alias("score"))
