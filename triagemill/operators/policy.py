@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from triagemill.constants import ACTIONS
 from triagemill.functions.rewards import action_name, rewards_of
 from triagemill.functions.scoring import first_of_three
+from triagemill.operators.forest import fit_forest, predict_forest
 from triagemill.operators.quality import classification_report, quality_gate
 from triagemill.session import settle, sized_join
 
@@ -124,17 +125,8 @@ def grade_baseline(
     trees: int = 200, depth: int = 20, leaf: int = 5, seed: int = 42,
 ) -> DataFrame:
     """Balanced random forest on the feature columns; the test rows with ``prediction``."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    make = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep")
-    forest = RandomForestClassifier(
-        featuresCol="_x", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth,
-        minInstancesPerNode=leaf, seed=seed, maxMemoryInMB=1024, cacheNodeIds=True)
-    rows = spread(make.transform(class_weights(train, label)).select("_x", label, "weight"))
-    model = forest.fit(rows)
-    return model.transform(make.transform(test)).withColumn("prediction", F.col("prediction").cast("long")).drop(
-        "_x", "rawPrediction", "probability")
+    rows = settle(class_weights(train, label).select(*features, label, "weight"), "train")
+    return predict_forest(test, fit_forest(rows, features, label, "weight", trees, depth, leaf, seed))
 
 
 def compare_baselines(
