@@ -95,3 +95,13 @@ def test_labels_must_be_known(spark):
             FO.fit_forest(train, ["a"], "grade_code", "weight", 2, 2, 1, 42)
     with pytest.raises(ValueError, match="no training rows"):
         FO.fit_forest(train.limit(0), ["a"], "grade_code", "weight", 2, 2, 1, 42)
+
+
+def test_rows_are_coded_and_written_once_for_all_regressors(spark, monkeypatch):
+    """Without that, each of the three regressors computes its input again."""
+    df = rows_of(spark, 200)
+    labels = []
+    monkeypatch.setattr(P, "settle", lambda t, label="table", real=P.settle: (labels.append(label), real(t, label))[1])
+    model = P.fit_action_values_ml(df, ["a", "b", "c"])
+    assert labels == ["fitted"]
+    assert P.score_ml(df, model).select("q0", "q1", "q2").filter("q0 is null").count() == 0

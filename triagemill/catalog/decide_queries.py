@@ -43,7 +43,7 @@ def j1(v):
 def coded(v, rows):
     """Rows with the 13 state features as numbers: nine train-only codes and four calendar values."""
     texts = [c for c in STATE if c not in CALENDAR]
-    book = N.fit_codebook(v.train(), texts)
+    book = v.kept("codebook", lambda: N.fit_codebook(v.train(), texts))
     return N.apply_codebook(calendar_features(rows), book, texts), [f"{c}_code" for c in texts] + CALENDAR
 
 

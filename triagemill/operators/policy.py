@@ -98,19 +98,14 @@ def fit_action_values_ml(train: DataFrame, features: Sequence[str], grade: str =
     for i in range(len(ACTIONS)):
         names = dict(featuresCol="_x", labelCol=f"_r{i}", predictionCol=f"q{i}")
         stages.append(GBTRegressor(maxIter=trees, seed=42, **names) if trees else LinearRegression(**names))
-    return Pipeline(stages=stages).fit(spread(rows))
+    # every regressor reads the rows again: they are computed and written once
+    return Pipeline(stages=stages).fit(settle(rows, "fitted"))
 
 
 def score_ml(df: DataFrame, model) -> DataFrame:
     return model.transform(df.drop("q0", "q1", "q2")).drop("_x")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """At least one partition per core: an iterative fit keeps the partitioning of its input."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def class_weights(train: DataFrame, label: str) -> DataFrame:
     """Balanced weights: rows / (classes * rows of the class)."""
     counts = settle(train.groupBy(label).agg(F.count(F.lit(1)).alias("_n")), "classes")

@@ -75,8 +75,12 @@ class Views:
 
     def stored(self, name: str, make) -> DataFrame:
         """A derived table written once for this object."""
+        return self.kept(name, lambda: settle(make(), name))
+
+    def kept(self, name: str, make) -> DataFrame:
+        """A table that is settled where it is made, made once for this object."""
         if name not in self._stored:
-            self._stored[name] = settle(make(), name)
+            self._stored[name] = make()
         return self._stored[name]
 
     def table(self, name: str) -> DataFrame:
