@@ -85,6 +85,35 @@ def test_subtrees_keep_their_leaves_and_depth():
     assert len(feature) == 7 and all(a < b for a, b in pairwise(child[child > 0]))
 
 
+def test_trees_equal_plain_recursion():
+    """With two features no subset is drawn, so the whole tree is known."""
+    rng = np.random.default_rng(8)
+    x, y, times = rng.integers(0, 9, (600, 2)).astype(np.uint8), rng.integers(0, 3, 600), rng.integers(1, 4, 600).astype(np.uint8)
+    weights = np.array([1.0, 0.7, 1.9])
+    feature, cut, child, counts = FO.grow(x, y, times, weights, 6, 5, rng)
+
+    def pure(at):
+        w = np.bincount(y[at], times[at], 3) * weights
+        return (w ** 2).sum() / w.sum()
+
+    def check(node, at, depth):
+        assert (counts[node] == np.bincount(y[at], times[at], 3)).all()
+        gains = {}
+        for f in range(2):
+            for c in range(8):
+                one, two = at[x[at, f] <= c], at[x[at, f] > c]
+                if depth < 6 and times[one].sum() >= 5 and times[two].sum() >= 5:
+                    gains[f, c] = pure(one) + pure(two) - pure(at)
+        if not gains or max(gains.values()) < 1e-9:
+            assert feature[node] == -1
+            return 1
+        f, c = feature[node], cut[node]
+        assert gains[f, c] == pytest.approx(max(gains.values()))
+        return 1 + check(child[node], at[x[at, f] <= c], depth + 1) + check(child[node] + 1, at[x[at, f] > c], depth + 1)
+
+    assert check(0, np.arange(600), 0) == len(feature) > 40
+
+
 def test_labels_must_be_known(spark):
     train = spark.createDataFrame([(None, 1.0, 1.0), (1, 2.0, 1.0)], "grade_code long, a double, weight double")
     with pytest.raises(Exception, match="whole numbers"):
