@@ -261,6 +261,39 @@ def test_ngram_join(spark, n, num, den):
     assert len(rows) == len(texts)
 
 
+def test_common_passages_have_no_hub(spark):
+    """Rows that share a passage with many others, and more only with their own copies, are compared with these alone."""
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(30)]
+    texts = []
+    for i in range(40):
+        words = [f"w{rng.randrange(10 ** 6)}" for _ in range(170)]
+        near = [*words]
+        near[90] = "other"
+        texts += [" ".join(words[:60] + passage + words[60:]), " ".join(near[:60] + passage + near[60:])]
+    docs = docs_of(spark, texts)
+    source = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("t"))
+    nodes = ngram_join.settle(ngram_join._digests(source, 5).select("node", "n"))
+    pairs = ngram_join._pairs(ngram_join._blocks(source, 5, 80, 100), nodes, 80, 100).collect()
+    assert len(pairs) == 40 and not any(p["wide"] for p in pairs)
+    found = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_join(docs, 5, 80, 100).collect()}
+    assert found == {i: i - i % 2 for i in range(80)}
+
+
+@pytest.mark.parametrize("small", [1, 2, 100])
+def test_blocks_of_any_size(spark, monkeypatch, small):
+    """The components do not depend on which blocks have a hub."""
+    monkeypatch.setattr(ngram_join, "SMALL", small)
+    rng = random.Random(small)
+    texts = []
+    for size in (12, 60, 150):
+        words = [f"w{rng.randrange(900)}" for _ in range(size)]
+        for _ in range(25):
+            texts.append(" ".join(w if rng.random() > 0.03 else f"x{rng.randrange(50)}" for w in words))
+    rows = ngram_join.jaccard_join(docs_of(spark, texts), 3, 80, 100).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute_components(texts, 3, 80, 100)
+
+
 def test_keep_one(spark):
     long = " ".join(str(i) for i in range(60))
     rows = [(1, "a b c d e f"), (2, "A b c d e f"), (3, ""), (4, None), (5, long), (5, long), (6, long + " x"), (None, long), (None, "q r s t u v w")]

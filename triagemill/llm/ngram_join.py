@@ -7,9 +7,11 @@ some must be equal in both rows.  The steps:
 1. Equal sets become one row (a node).  Column blocks are made per size band (H follows from the band's largest size);
    a row gives the hash of its content in each block.  There are more than H + 1 blocks: a row may leave out its emptiest
    ones, and a row that shares fewer blocks than a link must leave equal is done, it has no link.
-2. Rows that are equal in some block meet.  Not all pairs of them: each block's rows are multiplied with one hub, the
-   row that shares most.  The product gives the overlap count of every row with its hubs, and exact links.
-3. Two rows of a block that are not yet in one component have both been compared with the block's hub.  Their overlap
+2. Rows that are equal in some block meet.  In a small block all pairs do, less those that share too few blocks.  In a
+   large one they do not: its rows are multiplied with one hub, the row that shares most.  A link whose blocks are all
+   large gives both rows as many large blocks as a link must share, so rows with fewer have no hub.  The product
+   gives the overlap count of every row with its hubs, and exact links.
+3. Two rows of a large block that are not yet in one component have both been compared with the block's hub.  Their overlap
    follows from what each has more or less than the hub: ``|x ^ y| = |x ^ hub| + |y ^ hub| - 2 common``.  So the same
    product is formed of the differences, rarest columns first, and a pair is discarded unless it can reach the number
    of common differences that the sizes ask for.  The pairs left are multiplied exactly.
@@ -39,6 +41,8 @@ from triagemill.llm.common import sent, ship, shuffles_freed
 from triagemill.session import collecting, drop_scratch, settle
 
 N, NUM, DEN = 3, 90, 100
+SMALL = 6  # rows of a block whose pairs are all formed; larger blocks have a hub
+TAG = 8  # bits of a band in a row's tag; what it needs stands above them
 _U = np.uint64
 
 
@@ -124,7 +128,7 @@ def _digests(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _blocks(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """node, band (place among the node's bands), need and the block keys of documents.
+    """node, tag (what it needs, then the place among the node's bands) and the block keys of documents.
 
     Made anew where it is used: the keys are many, and cheaper to make than to keep.
     """
@@ -136,13 +140,12 @@ def _blocks(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 rows = []
                 for text in b.slice(i, 256).column(2).to_pylist():
                     g = ngrams(text or b"", n)
-                    rows += [(_digest(g), band, need, k.view(np.int64)) for band, (need, k) in enumerate(block_keys(g, bands))]
-                cols = list(zip(*rows)) or [()] * 4
+                    rows += [(_digest(g), need << TAG | band, k.view(np.int64)) for band, (need, k) in enumerate(block_keys(g, bands))]
+                cols = list(zip(*rows)) or [()] * 3
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())))],
-                    ["node", "band", "need", "keys"])
+                    [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["node", "tag", "keys"])
 
-    return docs.mapInArrow(run, "node long, band int, need int, keys array<long>")
+    return docs.mapInArrow(run, "node long, tag long, keys array<long>")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -160,13 +163,14 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _multiplied(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Overlap counts of node pairs (a, b), and the columns in which they differ where ``wide`` asks for them."""
+    """Sizes and overlap counts of node pairs (a, b), and the columns in which they differ where ``wide`` asks for them."""
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 a, b, wide, x, y = (c.to_pylist() for c in batch.slice(i, 256).columns)
                 common, differ = [], []
+                na, nb = ([len(v) // 8 for v in side] for side in (x, y))
                 for p, q, w in zip(x, y, wide):
                     p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
                     at = np.searchsorted(q, p)
@@ -177,11 +181,12 @@ def _multiplied(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     gone[at[both]] = False
                     differ.append(np.concatenate([p[~both], q[gone]]).view(np.int64) if w else None)
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(v, pa.int64()) for v in (a, b, common)), pa.array(differ, pa.list_(pa.int64()))], ["a", "b", "common", "differ"])
+                    [*(pa.array(v, pa.int64()) for v in (a, b, na, nb, common)), pa.array(differ, pa.list_(pa.int64()))],
+                    ["a", "b", "na", "nb", "common", "differ"])
 
     rows = pairs.select("a", "b", "wide").join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
     rows = rows.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "wide", "x", "y")
-    return rows.mapInArrow(run, "a long, b long, common long, differ array<long>")
+    return rows.mapInArrow(run, "a long, b long, na long, nb long, common long, differ array<long>")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -207,21 +212,36 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def _pairs(blocks: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of a node and a hub (a, b) that are equal in some block; ``wide`` where a block has three rows and more."""
+    """Pairs of nodes (a, b) that are equal in some block; ``wide`` where b is the hub of a large block of a's.
+
+    A link shares ``need`` blocks.  If one of them is small, its pairs have the link; if none is, both rows have ``need``
+    large blocks, and rows with fewer stay away from the hubs.
+    """
     others = F.count(F.lit(1)).over(W.partitionBy("key"))
     # the keys go through one shuffle: a row stays if another row has its key, and shares as many as a link asks for
-    cells = blocks.select(F.explode("keys").alias("key"), "node", "band", "need").withColumn("c", others)
+    cells = blocks.select(F.explode("keys").alias("key"), "node", "tag").withColumn("c", others)
     met = settle(cells.filter("c > 1").drop("c").distinct(), "met")
-    shared = F.count(F.lit(1)).over(W.partitionBy("node", "band"))
-    met = met.withColumn("s", shared).filter("s >= need").select("key", "node")
+    need = F.shiftright("tag", TAG)
+    row = W.partitionBy("node", "tag")
+    met = met.withColumn("s", F.count(F.lit(1)).over(row)).filter(F.col("s") >= need).select("key", "node", "tag")
     met = settle(met.withColumn("c", others).filter("c > 1"), "kept")
-    # each key's hub
+    met = settle(met.withColumn("large", F.count(F.when(F.col("c") > SMALL, 1)).over(row)), "ranked")
+    # small blocks: all pairs, less those that share too few, whatever large blocks they share
+    rows = met.filter(F.col("c") <= SMALL).groupBy("key").agg(
+        F.array_sort(F.collect_list(F.struct("node", "tag", need.alias("need"), "large"))).alias("rows"))
+    rows = rows.select("rows", F.posexplode("rows").alias("i", "x")).select("x", F.explode(F.slice("rows", F.col("i") + 2, SMALL)).alias("y"))
+    close = rows.groupBy(
+        F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.tag").alias("tag_a"), F.col("y.tag").alias("tag_b")).agg(
+        (F.count(F.lit(1)) + F.first(F.least("x.large", "y.large")) - F.first(F.greatest("x.need", "y.need"))).alias("over"))
+    close = close.filter("over >= 0 and a <> b").select("a", "b", F.lit(False).alias("wide"))
+    # large blocks: each one's hub
+    met = settle(met.filter((F.col("c") > SMALL) & (F.col("large") >= need)).select("key", "node", "c"), "large")
     score = met.groupBy("node").agg(F.sum("c").alias("score"))
     scored = met.join(score, "node")
     hub = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("node")).alias("rest"))).alias("top"))
-    pairs = met.join(hub.select("key", (-F.col("top.rest")).alias("b")), "key").filter("node <> b")
-    # a block of two rows is done with its one pair; differences serve blocks of three and more
-    pairs = pairs.groupBy(F.col("node").alias("a"), "b").agg((F.max("c") > 2).alias("wide"))
+    far = met.join(hub.select("key", (-F.col("top.rest")).alias("b")), "key").filter("node <> b")
+    far = far.select(F.col("node").alias("a"), "b", F.lit(True).alias("wide"))
+    pairs = close.unionAll(far).groupBy("a", "b").agg(F.max("wide").alias("wide"))
     pairs = _sized(pairs, nodes).filter(F.col("wide") | (
         (F.col("na") * num <= F.col("nb") * den) & (F.col("nb") * num <= F.col("na") * den)))
     return pairs.select("a", "b", "wide")
@@ -238,13 +258,12 @@ def _links(alone: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> Da
     wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node")
     wanted = sent(settle(wanted.select(F.col("from.doc_id").alias("w_id"), F.col("from.text_key").alias("w_key")), "wanted"))
     sets = settle(_sets(alone.join(wanted, _same(wanted), "left_semi"), n).dropDuplicates(["node"]), "sets")
-    size = sets.select("node", "n")
-    done = settle(_sized(_multiplied(pairs, sets), size), "products")
+    done = settle(_multiplied(pairs, sets), "products")
     close = (F.col("common") * den >= (F.col("na") + F.col("nb") - F.col("common")) * num)
     links = done.filter(close).select("a", "b")
     root = settle(components(links), "roots")
     more = settle(_by_differences(done, root, num, den), "candidates")
-    found = settle(_sized(_multiplied(more.withColumn("wide", F.lit(False)), sets), size).filter(close).select("a", "b"), "links")
+    found = settle(_multiplied(more.withColumn("wide", F.lit(False)), sets).filter(close).select("a", "b"), "links")
     return links.unionAll(found)
 
 
@@ -318,9 +337,9 @@ def _by_differences(done: DataFrame, root: DataFrame, num: int, den: int) -> Dat
     named = settle(named.join(open_hubs, "hub", "left_semi"), "open")
     cells = named.select("hub", "x", F.explode("differ").alias("col")).withColumn("cell", F.xxhash64("hub", "col"))
     # counted by hash: where two cells share one, both have the larger count, which keeps the order sound
-    often = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    often = cells.withColumn("often", F.count(F.lit(1)).over(W.partitionBy("cell"))).filter("often > 1")
     # columns that one row alone has come first and match nothing; then the rarest of the others
-    rare = cells.join(often, "cell").groupBy("hub", "x").agg(F.array_sort(F.collect_list(F.struct("often", "col"))).alias("cols"))
+    rare = often.groupBy("hub", "x").agg(F.array_sort(F.collect_list(F.struct("often", "col"))).alias("cols"))
     front = named.select("hub", "x", "n", "root", F.size("differ").alias("d")).join(rare, ["hub", "x"]).select(
         "hub", "x", "n", "root", "d", F.posexplode("cols").alias("i", "c"), (F.col("d") - F.size("cols")).alias("alone"))
     most = lambda m: F.floor((F.col("n") + m) * (den - num) / F.lit(den + num))  # noqa: E731  most differences of a link
