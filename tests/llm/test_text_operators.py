@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from triagemill.llm import chat, decontam, mixing, ngram_join
+from triagemill.llm import chat, common, decontam, mixing, ngram_join
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 DOC = "doc_id long, text string, lang string, source string, n_chars long, words string, size long"
@@ -109,6 +109,22 @@ def test_fingerprints_by_window(spark):
     assert sum(1 for r in wide.filter("_free >= 8").collect() if r["id"] == 0) < 30
 
 
+def test_words_are_made_once(spark):
+    """No filter on the hashes makes the words anew, and hashes meet the items without words beside them."""
+    source = spark.createDataFrame([(1, "a b c d e f g h i j k l m n")], "doc_id long, text string")
+    words = source.select("doc_id", decontam.words_of(decontam.lower_ascii(F.col("text")), decontam.WORD).alias("_words"))
+    plan = decontam.fingerprints(words, 5, 9, 9).select("doc_id", "_at", "_hash")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
+def test_listed_ranges():
+    """The spelt out class has the same characters; ranges beyond single bytes stay."""
+    for pattern in (decontam.WORD, mixing.WORD, r"[A-Za-z\u00C0-\u00FF]+"):
+        for c in map(chr, range(0x250)):
+            assert bool(re.fullmatch(pattern, c)) == bool(re.fullmatch(common.listed_ranges(pattern), c))
+    assert common.listed_ranges(decontam.WORD).count("-") == 0
+
+
 def test_decontaminate_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     rows = decontam.decontaminate(docs_of(spark, ["a b", None]), none).collect()

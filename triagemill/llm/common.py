@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -27,9 +28,15 @@ def lower_ascii(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def listed_ranges(pattern: str) -> str:
+    r"""The same pattern with each range ``\xHH-\xHH`` spelt out: Java looks single characters up in a table, but tries ranges in turn."""
+    spelt = lambda m: "".join(f"\\x{c:02X}" for c in range(int(m[1], 16), int(m[2], 16) + 1))
+    return re.sub(r"\\x([0-9A-Fa-f]{2})-\\x([0-9A-Fa-f]{2})", spelt, pattern)
+
+
 def words_of(text: Column, pattern: str) -> Column:
     """All matches of ``pattern``; an empty array for a null text."""
-    return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(text, F.lit(listed_ranges(pattern)), F.lit(0)), F.array().cast("array<string>"))
 
 
 def free_prefix(columns: list[str]) -> str:

@@ -43,20 +43,17 @@ def _run(step: int, most: int) -> Column:
     return F.lit(0) if found is None else found.otherwise(F.lit(most))
 
 
-def fingerprints(words: DataFrame, k: int, least: int, most: int, marks: bool = False) -> DataFrame:
+def fingerprints(words: DataFrame, k: int, least: int, most: int) -> DataFrame:
     """Rows with ``_at``, ``_hash`` and ``_free`` of every hash that some window of ``least`` places keeps.
 
     ``_free`` counts the hashes around it, up to ``most - 1`` to either side, that are not smaller: a window of ``w``
-    places keeps the hash if ``_free >= w - 1``.  With ``marks`` there is also one row with a null hash per input row.
+    places keeps the hash if ``_free >= w - 1``.
     """
     rows = words.withColumn("_grams", _grams(k))
-    if marks:
-        rows = rows.withColumn("_grams", F.concat("_grams", F.array(F.lit(None).cast("bigint"))))
-    rows = rows.select("*", F.posexplode("_grams").alias("_at", "_hash"))
+    # outer: else Spark infers a filter on the array's size, and makes the words anew to evaluate it
+    rows = rows.select("*", F.posexplode_outer("_grams").alias("_at", "_hash"))
     rows = rows.withColumn("_free", _run(-1, most - 1) + _run(1, most - 1))
     keep = F.col("_hash").isNotNull() & (F.col("_free") >= least - 1)
-    if marks:
-        keep = keep | (F.col("_at") == F.size("_words"))
     return rows.filter(keep).drop("_grams")
 
 
@@ -115,36 +112,24 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
         grams[k] = settle(kept.select(
             "_hash", F.col("_pair.id").cast("string").alias("_item"), "_need", "_least", *_around("i", k, reach)), "prints")
     source = texts(docs, doc_id)
-    if all(can_send(g) for g in grams.values()):
-        # each document passes once: its kept hashes meet the sent table, a mark carries the word count
-        numbered = words(source).withColumn("_row", F.monotonically_increasing_id())
-        parts = []
-        for k, (least, most) in classes.items():
-            met = fingerprints(numbered, k, least, most, marks=True).join(F.broadcast(grams[k]), "_hash", "left")
-            met = met.filter(F.col("_hash").isNull() | (F.col("_free") >= F.col("_least")))
-            met = met.select("_row", "_pair", F.size("_words").alias("_n"), "_item", "_at", "_need",
-                             *_around("d", k, reach), "i_gram", "i_left", "i_right")
-            parts.append(met.select("_row", "_pair", "_n", *_extended(k, reach)))
-        hits = reduce(DataFrame.union, parts)
-        rows = hits.groupBy("_row").agg(
-            F.first("_pair").alias("_pair"), F.first("_n").alias("_n"),
-            F.collect_set("_span").alias("_spans"), F.collect_set("_item").alias("_items"))
-    else:
-        # many items: narrow hashes are shuffled, and only documents with a common hash are read again for their words
-        met = {}
-        for k, (least, most) in classes.items():
-            prints = fingerprints(words(source), k, least, most).select("_pair", "_at", "_hash", "_free")
-            met[k] = settle(prints.join(grams[k], "_hash").filter("_free >= _least").drop("_hash", "_free", "_least"), "met")
-        wanted = sent(settle(reduce(DataFrame.union, [m.select("_pair") for m in met.values()]).distinct(), "wanted"))
-        # texts, not words, go through the shuffle, each once
-        again = words(source.join(wanted, "_pair", "left_semi").dropDuplicates(["_pair"]))
-        parts = []
-        for k, m in met.items():
-            both = m.join(again, "_pair").select("_pair", "_item", "_at", "_need", "i_gram", "i_left", "i_right", *_around("d", k, reach))
-            parts.append(both.select("_pair", *_extended(k, reach)).filter(F.col("_span").isNotNull()))
-        found = reduce(DataFrame.union, parts).groupBy("_pair").agg(
-            F.collect_set("_span").alias("_spans"), F.collect_set("_item").alias("_items"))
-        rows = words(source).select("_pair", F.size("_words").alias("_n")).join(found, "_pair", "left")
+    # narrow hashes meet the items' first: with the words beside them, the code that every hash passes is longer than Java
+    # compiles; only documents with a common hash are read again for their words
+    met = {}
+    for k, (least, most) in classes.items():
+        known = grams[k].select("_hash").distinct()
+        prints = fingerprints(words(source), k, least, most).select("_pair", "_at", "_hash", "_free")
+        prints = settle(prints.join(F.broadcast(known) if can_send(known) else known, "_hash", "left_semi"), "common")
+        met[k] = settle(prints.join(grams[k], "_hash").filter("_free >= _least").drop("_hash", "_free", "_least"), "met")
+    wanted = sent(settle(reduce(DataFrame.union, [m.select("_pair") for m in met.values()]).distinct(), "wanted"))
+    # texts, not words, go through the shuffle, each once
+    again = words(source.join(wanted, "_pair", "left_semi").dropDuplicates(["_pair"]))
+    parts = []
+    for k, m in met.items():
+        both = m.join(again, "_pair").select("_pair", "_item", "_at", "_need", "i_gram", "i_left", "i_right", *_around("d", k, reach))
+        parts.append(both.select("_pair", *_extended(k, reach)).filter(F.col("_span").isNotNull()))
+    found = reduce(DataFrame.union, parts).groupBy("_pair").agg(
+        F.collect_set("_span").alias("_spans"), F.collect_set("_item").alias("_items"))
+    rows = words(source).select("_pair", F.size("_words").alias("_n")).join(found, "_pair", "left")
     spans = F.array_sort(F.coalesce("_spans", F.array().cast("array<struct<start:int,end:int>>")))
     rows = rows.withColumn("spans", _merged(spans))
     length = F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + x["end"] - x["start"])
