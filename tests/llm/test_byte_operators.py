@@ -1,6 +1,7 @@
 """Token shards and counts, archives, top-k, toxicity and URL filters on small tables."""
 
 import base64
+import gc
 import hashlib
 import math
 import random
@@ -315,3 +316,19 @@ def test_link_graph_with_a_long_chain_and_a_loop(spark):
     rows = {r["host"]: r for r in urlgraph.spread(spark.createDataFrame(links, "src string, dst string"), frame, damping=0.6).collect()}
     assert [rows[h]["trust"] for h in hosts] == pytest.approx(want[0], abs=2e-6)
     assert [rows[h]["distrust"] for h in hosts] == pytest.approx(want[1], abs=2e-6)
+
+
+def test_words_make_no_collections():
+    """Encoding a batch starts no search for cycles (one may follow it), and leaves the setting as it was."""
+    words, runs = tokenbin.Words(public_tokenizers.path("word_bpe_49k.json")), []
+    texts = [" ".join(f"Stem{chr(97 + i % 26)}{chr(97 + j % 26)}{'x' * (j % 7)}, {i}" for j in range(200)).encode() for i in range(300)]
+    count = lambda phase, info: runs.append(phase)
+    gc.callbacks.append(count)
+    try:
+        got = words.encode(texts)
+        seen = len(runs)
+    finally:
+        gc.callbacks.remove(count)
+    assert seen <= 2 and gc.isenabled()  # a search calls twice
+    want = [np.array(words.tok.encode(t.decode(), add_special_tokens=False).ids, words.kind).tobytes() for t in texts]
+    assert got == want

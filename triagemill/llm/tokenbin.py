@@ -22,10 +22,13 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +104,21 @@ class EliasFano:
         return out
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """No search for reference cycles meanwhile: words and ids make none, and each search walks all lists there are."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
+_id = attrgetter("id")
+
+
 class Words:
     """Ids of texts for tokenizers that drop white space: each stretch between ASCII white space is encoded once.
 
@@ -132,7 +150,7 @@ class Words:
         """Merges alone, for a word that is one pre-token."""
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.shown)
-        return [t.id for t in self.tok.model.tokenize(word)]
+        return list(map(_id, self.tok.model.tokenize(word)))
 
     def _encoded(self, words: list[str]) -> dict[str, bytes]:
         """Many words in one call; offsets tell whose the tokens are."""
@@ -169,6 +187,7 @@ class Words:
         others = self._encoded([text for _, text in rest])
         known.update([(w, others[text]) for w, text in rest])
 
+    @uncollected()
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [x.split() for x in texts]
         new = list(set().union(*split).difference(self.known))
