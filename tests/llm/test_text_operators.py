@@ -296,6 +296,26 @@ def test_common_passages_have_no_hub(spark):
     assert found == {i: i - i % 2 for i in range(80)}
 
 
+@pytest.mark.parametrize("rows", [60, 240])
+def test_near_copies_meet_one_hub(spark, rows):
+    """Edits that several copies of one text share do not give these copies hubs of their own."""
+    rng = random.Random(rows)
+    base = [f"w{rng.randrange(10 ** 6)}" for _ in range(160)]
+    texts = []
+    for _ in range(rows):
+        words = [*base]
+        for at in rng.sample(range(5, 160, 12), rng.randrange(1, 7)):
+            words[at] = f"x{rng.randrange(2)}"
+        texts.append(" ".join(words))
+    docs = docs_of(spark, texts)
+    source = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("t"))
+    nodes = ngram_join.settle(ngram_join._digests(source, 3).select("node", "n").distinct())
+    pairs = ngram_join._pairs(ngram_join._blocks(source, 3, 90, 100), nodes, 90, 100).collect()
+    assert sum(p["wide"] for p in pairs) <= 1.1 * nodes.count()
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_join(docs, 3, 90, 100).collect()}
+    assert found == brute_components(texts, 3, 90, 100)
+
+
 @pytest.mark.parametrize("small", [1, 2, 100])
 def test_blocks_of_any_size(spark, monkeypatch, small):
     """The components do not depend on which blocks have a hub."""

@@ -8,9 +8,10 @@ some must be equal in both rows.  The steps:
    a row gives the hash of its content in each block.  There are more than H + 1 blocks: a row may leave out its emptiest
    ones, and a row that shares fewer blocks than a link must leave equal is done, it has no link.
 2. Rows that are equal in some block meet.  In a small block all pairs do, less those that share too few blocks.  In a
-   large one they do not: its rows are multiplied with one hub, the row that shares most.  A link whose blocks are all
-   large gives both rows as many large blocks as a link must share, so rows with fewer have no hub.  The product
-   gives the overlap count of every row with its hubs, and exact links.
+   large one they do not: its rows are multiplied with one hub, a row that shares much, and the same one for most
+   blocks of rows that are much alike.  A link whose blocks are all large gives both rows as many large blocks as a link
+   must share, so rows with fewer have no hub, and the others need not meet the hub of every block.  The product gives
+   the overlap count of every row with its hubs, and exact links.
 3. Two rows of a large block that are not yet in one component have both been compared with the block's hub.  Their overlap
    follows from what each has more or less than the hub: ``|x ^ y| = |x ^ hub| + |y ^ hub| - 2 common``.  So the same
    product is formed of the differences, rarest columns first, and a pair is discarded unless it can reach the number
@@ -234,13 +235,18 @@ def _pairs(blocks: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame
         F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.tag").alias("tag_a"), F.col("y.tag").alias("tag_b")).agg(
         (F.count(F.lit(1)) + F.first(F.least("x.large", "y.large")) - F.first(F.greatest("x.need", "y.need"))).alias("over"))
     close = close.filter("over >= 0 and a <> b").select("a", "b", F.lit(False).alias("wide"))
-    # large blocks: each one's hub
-    met = settle(met.filter((F.col("c") > SMALL) & (F.col("large") >= need)).select("key", "node", "c"), "large")
+    # large blocks: each one's hub is the best that most of its rows have in some block, so that few rows meet several hubs
+    met = settle(met.filter((F.col("c") > SMALL) & (F.col("large") >= need)).select("key", "node", "tag", "c", "large"), "large")
     score = met.groupBy("node").agg(F.sum("c").alias("score"))
-    scored = met.join(score, "node")
-    hub = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("node")).alias("rest"))).alias("top"))
-    far = met.join(hub.select("key", (-F.col("top.rest")).alias("b")), "key").filter("node <> b")
-    far = far.select(F.col("node").alias("a"), "b", F.lit(True).alias("wide"))
+    top = met.join(score, "node").groupBy("key").agg(F.max(F.struct("score", (-F.col("node")).alias("rest"))).alias("top"))
+    best = met.join(top, "key").groupBy("node").agg(F.max("top").alias("top"))
+    votes = met.join(best, "node").groupBy("key", "top").agg(F.count(F.lit(1)).alias("votes"))
+    hub = votes.groupBy("key").agg(F.max(F.struct("votes", "top")).alias("hub")).select("key", F.col("hub.top").alias("top"))
+    # of a row's large blocks, the need - 1 with the least hubs go: in one order for all rows, the first block that two
+    # linked rows share has need - 1 shared ones behind it in both, so it stays in both
+    place = F.row_number().over(row.orderBy(F.desc("top"), "key"))
+    far = met.join(hub, "key").withColumn("place", place).filter(F.col("place") <= F.col("large") - need + 1)
+    far = far.select(F.col("node").alias("a"), (-F.col("top.rest")).alias("b"), F.lit(True).alias("wide")).filter("a <> b")
     pairs = close.unionAll(far).groupBy("a", "b").agg(F.max("wide").alias("wide"))
     pairs = _sized(pairs, nodes).filter(F.col("wide") | (
         (F.col("na") * num <= F.col("nb") * den) & (F.col("nb") * num <= F.col("na") * den)))
@@ -334,7 +340,7 @@ def _by_differences(done: DataFrame, root: DataFrame, num: int, den: int) -> Dat
     named = done.filter(F.col("differ").isNotNull()).select(F.col("b").alias("hub"), F.col("a").alias("x"), F.col("na").alias("n"), "differ").join(
         root.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
     open_hubs = named.groupBy("hub").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("hub")
-    named = settle(named.join(open_hubs, "hub", "left_semi"), "open")
+    named = settle(named.join(sent(settle(open_hubs, "open_hubs")), "hub", "left_semi"), "open")
     cells = named.select("hub", "x", F.explode("differ").alias("col")).withColumn("cell", F.xxhash64("hub", "col"))
     # counted by hash: where two cells share one, both have the larger count, which keeps the order sound
     often = cells.withColumn("often", F.count(F.lit(1)).over(W.partitionBy("cell"))).filter("often > 1")
