@@ -134,3 +134,101 @@ def test_rows_are_coded_and_written_once_for_all_regressors(spark, monkeypatch):
     model = P.fit_action_values_ml(df, ["a", "b", "c"])
     assert labels == ["fitted"]
     assert P.score_ml(df, model).select("q0", "q1", "q2").filter("q0 is null").count() == 0
+
+
+def test_training_rows_are_computed_once(spark):
+    """Class counts are taken from the written rows, not from the plan that codes them."""
+    df = rows_of(spark, 300)
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    train = df.mapInArrow(look, df.schema)
+    out = P.grade_baseline(train, df, ["a", "b", "c"], trees=2, depth=3)
+    assert seen.value == 300
+    assert sorted(r.id for r in out.select("id").collect()) == list(range(300))
+
+
+@pytest.mark.parametrize("classes, heavy", [(1, 3), (3, 40), (4, 3), (6, 3), (9, 200)])
+def test_trees_equal_those_of_whole_histograms(monkeypatch, classes, heavy):
+    """Several classes in one double, blocks of nodes and rows, rows laid out anew: none of it changes a tree."""
+    rng = np.random.default_rng(classes)
+    n, k, leaf = 3000, 5, 4
+    x, times = rng.integers(0, 32, (n, k)).astype(np.uint8), rng.integers(1, heavy, n).astype(np.uint8)
+    y = (x[:, 0] // 8 + x[:, 3] // 4 + rng.integers(0, 2, n)) % classes
+    weights = rng.random(classes) + 0.5
+    made = FO.grow(x, y, times, weights, 12, leaf, np.random.default_rng(7))
+    monkeypatch.setattr(FO, "ROWS", 50)
+    monkeypatch.setattr(FO, "NODES", 3)
+    for one, two in zip(made, FO.grow(x, y, times, weights, 12, leaf, np.random.default_rng(7))):
+        assert (one == two).all()
+    feature, cut, child, counts = made
+    picks, level, d = np.random.default_rng(7), {0: np.arange(n)}, 0
+    while level:
+        may = {i: at for i, at in level.items() if d < 12 and FO._open(counts[i:i + 1], leaf)[0]}
+        pick, below = FO._subset(picks, len(may), k, 3), {}
+        assert all(feature[i] == -1 for i in level if i not in may)
+        for p, (i, at) in zip(pick, sorted(may.items())):
+            assert (counts[i] == np.bincount(y[at], times[at], classes)).all()
+            hist = np.stack([np.bincount(x[at, f].astype(int) * classes + y[at], times[at], 32 * classes) for f in p]).reshape(1, 3, 32, classes)
+            ok, place, c, _ = FO.best_splits(hist, weights, leaf)
+            assert (feature[i], cut[i]) == ((p[place[0]], c[0]) if ok[0] else (-1, 0))
+            if ok[0]:
+                right = x[at, feature[i]] > cut[i]
+                below |= {int(child[i]): at[~right], int(child[i]) + 1: at[right]}
+        level, d = below, d + 1
+    assert len(feature) == 1 if classes == 1 else len(feature) > 40
+
+
+def test_subtrees_are_short_and_come_back_whole():
+    rng = np.random.default_rng(9)
+    x, y = rng.integers(0, 32, (4000, 6)).astype(np.uint8), rng.integers(0, 4, 4000)
+    weights = np.array([1.0, 0.7, 1.9, 1.1])
+    for times in (np.ones(4000, np.uint8), np.full(4000, 200, np.uint8)):
+        for depth in (0, 1, 20):
+            feature, cut, child, counts = FO.grow(x, y, times, weights, depth, 5, rng)
+            blob = FO._dump(feature, cut, child, counts)
+            assert len(blob) <= 40 + (7 if times[0] == 1 and depth == 20 else 11) * len(feature)
+            f, c, below, shares = FO._load(blob, weights)
+            ends, heavy = feature < 0, counts * weights
+            assert (f == feature).all() and (below == child).all() and (c[~ends] == cut[~ends]).all()
+            assert (shares[ends] == (heavy / heavy.sum(1, keepdims=True)).astype("f4")[ends]).all()
+
+
+def test_rows_walk_as_one_by_one(monkeypatch):
+    rng = np.random.default_rng(10)
+    x, y = rng.integers(0, 32, (2000, 4)).astype(np.uint8), rng.integers(0, 3, 2000)
+    feature, cut, child, _ = FO.grow(x, y, np.ones(2000, np.uint8), np.ones(3), 20, 1, rng)
+    monkeypatch.setattr(FO, "ROWS", 700)
+    found = FO._walk(x, feature, cut, child)
+    for row, end in zip(x, found):
+        node = 0
+        while feature[node] >= 0:
+            node = child[node] + (row[feature[node]] > cut[node])
+        assert node == end
+    parts = FO._by_node(found)
+    assert [node for node, _ in parts] == sorted(set(found.tolist()))
+    assert all((np.flatnonzero(found == node) == part).all() for node, part in parts)
+    assert FO._by_node(found[:0]) == []
+
+
+def test_draws_follow_the_poisson_shares():
+    draws = FO._times(np.arange(400_000), 3, 42)
+    for often, most in enumerate(np.diff(FO._CDF[:5], prepend=0)):
+        assert (draws == often).mean() == pytest.approx(most, abs=0.004)
+    assert (FO._DRAWS == 255).sum() <= 16 and draws.max() < 16
+
+
+def test_chunks_and_deals_do_not_change_predictions(spark, monkeypatch):
+    df = rows_of(spark, 1500)
+    train, test, names = df.filter("id < 1000"), df.filter("id >= 1000"), ["a", "b", "c"]
+    weighted, found = P.class_weights(train, "grade_code"), []
+    for size in (FO.CHUNK, 90):
+        monkeypatch.setattr(FO, "CHUNK", size)
+        monkeypatch.setattr(FO, "SCORED", size)
+        made = FO.fit_forest(weighted, names, "grade_code", "weight", 12, 8, 5, 42, 300)
+        found.append({r.id: r.prediction for r in FO.predict_forest(test, made).collect()})
+    assert found[0] == found[1] and len(found[0]) == 500

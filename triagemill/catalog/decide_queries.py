@@ -158,7 +158,8 @@ def j9(v):
 def j10(v):
     train, names = coded(v, v.train())
     test, _ = coded(v, v.test())
-    return P.grade_baseline(train, test, names).select("alert_id", "grade_code", "prediction")
+    kept = test.select("alert_id", "grade_code", *names)
+    return P.grade_baseline(train, kept, names).select("alert_id", "grade_code", "prediction")
 
 
 @query("J10_compare_baselines")

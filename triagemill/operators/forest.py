@@ -24,13 +24,26 @@ from pyspark.sql import functions as F
 from triagemill.session import settle
 
 BINS = 32
-LOCAL = 500_000  # drawn rows of a node that one task may finish (two bytes and one per feature each)
-CHUNK = 200_000  # rows scored, or dealt to nodes, at a time
+LOCAL = 4_000_000  # drawn rows of a node that one task may finish (about 100 bytes each while it does)
+CHUNK = 200_000  # rows dealt to nodes at a time
+SCORED = 2_000_000  # rows scored at a time: all trees are sent to each such chunk
 BLOCK = 10  # trees that score a chunk in one task
+ROWS = 1 << 16  # rows worked on at a time, so that they stay in a core's cache
+NODES = 1024  # nodes whose histograms are made at a time
 _CDF = np.cumsum([np.exp(-1) / float(np.prod(np.arange(1, i + 1))) for i in range(16)])  # Poisson(1)
 _U = np.uint64
 
 
+def _draws_table() -> np.ndarray:
+    """Draws by the first 16 bits of a hash; 255 where the other bits decide."""
+    cells = np.arange(1 << 16, dtype=_U) << _U(48)
+    low, high = (np.searchsorted(_CDF, ((cells | _U(more)) >> _U(11)) * 2.0 ** -53, side="right") for more in (0, (1 << 48) - 1))
+    return np.where(low == high, low, 255).astype(np.uint8)
+
+
+_DRAWS = _draws_table()
+
+
 def bin_edges(train: DataFrame, features: Sequence[str]) -> list[np.ndarray]:
     """Thresholds of each feature: between all values if there are few, else at quantiles of the rows."""
     shares = [i / 1000 for i in range(1001)]
@@ -53,9 +66,10 @@ def _binned(df: DataFrame, features: Sequence[str], edges: list[np.ndarray], ext
             x = [np.searchsorted(e, b.column(i).to_numpy(zero_copy_only=False)) for i, e in enumerate(edges)]
             bins = np.stack(x, 1).astype(np.uint8) if x else np.empty((b.num_rows, 0), np.uint8)
             at = len(edges)
+            ends = pa.py_buffer(np.arange(b.num_rows + 1, dtype=np.int32) * np.int32(at))
+            packed = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, ends, pa.py_buffer(bins.tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [b.column(at), pa.array([r.tobytes() for r in bins], pa.binary()), *(b.column(at + 1 + i) for i in range(len(more)))],
-                ["_row", "bins", *more])
+                [b.column(at), packed, *(b.column(at + 1 + i) for i in range(len(more)))], ["_row", "bins", *more])
 
     rows = df.select(*[F.col(f"`{f}`").cast("double").alias(f"c{i}") for i, f in enumerate(features)], "_row", *more)
     return rows.mapInArrow(run, ", ".join(["_row long", "bins binary", *(f"{c} {df.schema[c].dataType.simpleString()}" for c in more)]))
@@ -63,10 +77,18 @@ def _binned(df: DataFrame, features: Sequence[str], edges: list[np.ndarray], ext
 
 def _times(rows: np.ndarray, tree: int, seed: int) -> np.ndarray:
     """How often a tree draws each row."""
-    x = (rows.astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15) + _U((seed * 1_000_003 + tree + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1)
+    x = rows.astype(_U)
+    x += _U(1)
+    x *= _U(0x9E3779B97F4A7C15)
+    x += _U((seed * 1_000_003 + tree + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1)
     for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> _U(shift))) * _U(by)
-    return np.searchsorted(_CDF, ((x ^ (x >> _U(31))) >> _U(11)) * 2.0 ** -53, side="right").astype(np.uint8)
+        x ^= x >> _U(shift)
+        x *= _U(by)
+    x ^= x >> _U(31)
+    times = _DRAWS[(x >> _U(48)).view(np.int64)]
+    at = np.flatnonzero(times == 255)
+    times[at] = np.searchsorted(_CDF, (x[at] >> _U(11)) * 2.0 ** -53, side="right")
+    return times
 
 
 def best_splits(hist: np.ndarray, weights: np.ndarray, leaf: int):
@@ -97,34 +119,125 @@ def _subset(rng, nodes: int, k: int, size: int) -> np.ndarray:
     return np.argsort(rng.random((nodes, k)), 1)[:, :size]
 
 
+def _slices(lens: np.ndarray, nodes: int, rows: int):
+    """Places (from, to, first row, last row) of runs of nodes of so many nodes and rows at most, or of one node."""
+    ends, a = np.cumsum(lens), 0
+    while a < len(lens):
+        begin = ends[a] - lens[a]
+        b = max(a + 1, min(a + nodes, int(np.searchsorted(ends, begin + rows, side="right"))))
+        yield a, b, int(begin), int(ends[b - 1])
+        a = b
+
+
+class _Packed:
+    """Rows whose weights count several classes in one double: ``per`` classes of 52 // per bits each, exact below that."""
+
+    def __init__(self, y: np.ndarray, times: np.ndarray, classes: int, per: int):
+        self.classes, self.per, self.bits = classes, per, 52 // per
+        self.words = -(-classes // per)
+        self.w = times * np.exp2(self.bits * (y % per))
+        self.word = (y // per) * BINS if self.words > 1 else None
+
+    def take(self, order: np.ndarray) -> None:
+        self.w, self.word = self.w[order], None if self.word is None else self.word[order]
+
+    def best(self, flat, n, rows, lens, pick, counts, weights, leaf):
+        """``best_splits`` of neighbouring nodes: only bins that hold rows are tried, and only sums that leave two leaves."""
+        m, size, words, per = len(lens), pick.shape[1], self.words, self.per
+        hist = np.zeros((m, size, words, BINS), np.int64)
+        for s in range(0, len(rows), ROWS) if m == 1 else (0,):
+            r = rows[s:s + ROWS] if m == 1 else rows
+            w = self.w[r]
+            base = None if self.word is None else self.word[r]
+            if m > 1:
+                node = np.repeat(np.arange(0, m * words * BINS, words * BINS), lens)
+                base = node if base is None else base + node
+            for j in range(size):
+                code = flat[(r + np.repeat(pick[:, j] * n, lens)) if m > 1 else r + pick[0, j] * n]
+                code = code.astype(np.int64) if base is None else base + code
+                hist[:, j] += np.bincount(code, w, m * words * BINS).reshape(m, words, BINS).astype(np.int64)
+        left = hist.cumsum(3)
+        some = (hist if words == 1 else hist.any(2)) != 0
+        e = np.flatnonzero(some)
+        node = e // (size * BINS)
+        held, whole = [], counts.sum(1)
+        for word in range(words):
+            packed = left[:, :, word].reshape(-1)[e]
+            for q in range(min(per, self.classes - word * per)):
+                held.append((packed >> self.bits * q) & ((1 << self.bits) - 1))
+        total = sum(held[1:], held[0])
+        fit = np.flatnonzero((total >= leaf) & (whole[node] - total >= leaf))
+        e, node = e[fit], node[fit]
+        ok, place, cut, lefts = np.zeros(m, bool), np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros((m, self.classes))
+        if not len(e):
+            return ok, place, cut, lefts
+        held = [h[fit].astype(np.float64) for h in held]
+        one = [np.zeros(len(e)) for _ in range(4)]  # of both sides: the sum of squares, the sum
+        for q, h in enumerate(held):
+            for at, heavy in ((0, h * weights[q]), (2, (counts[node, q] - h) * weights[q])):
+                one[at + 1] += heavy
+                heavy *= heavy
+                one[at] += heavy
+        pure = one[0] / np.maximum(one[1], 1e-300) + one[2] / np.maximum(one[3], 1e-300)
+        first = np.flatnonzero(np.diff(node, prepend=-1))
+        top = np.maximum.reduceat(pure, first)
+        reached = np.flatnonzero(pure == np.repeat(top, np.diff(first, append=len(e))))
+        reached = reached[np.diff(node[reached], prepend=-1) != 0]  # the first place with the maximum
+        at = node[first]
+        heavy = counts[at] * weights
+        base = (heavy ** 2).sum(1) / np.maximum(heavy.sum(1), 1e-300)
+        gains = top > base * (1 + 1e-12)
+        at, reached = at[gains], reached[gains]
+        ok[at], cut[at], place[at] = True, e[reached] % BINS, e[reached] // BINS % size
+        lefts[at] = np.stack([h[reached] for h in held], 1)
+        return ok, place, cut, lefts
+
+
 def grow(x: np.ndarray, y: np.ndarray, times: np.ndarray, weights: np.ndarray, depth: int, leaf: int, rng):
-    """A subtree as (feature, cut, left child, class counts) per node, level by level; -1 is no feature, right is left + 1."""
-    k, classes = x.shape[1], len(weights)
+    """A subtree as (feature, cut, left child, class counts) per node, level by level; -1 is no feature, right is left + 1.
+
+    Rows lie node by node: a level's left children in the order of their parents, then the right ones; ``ids`` are the
+    nodes' numbers within the level.
+    """
+    (n, k), classes = x.shape, len(weights)
     size = int(np.ceil(np.sqrt(k)))
+    flat = np.ascontiguousarray(x.T).reshape(-1)
+    y, times = y.astype(np.int64), times.astype(np.float64)
     levels = [np.bincount(y, times, classes)[None]]
+    small = 1 << 52 // 4  # nodes below it are counted four classes a double, the others two or one
+    made_of = {per: _Packed(y, times, classes, per) for per in ((4,) if times.sum() < small else (4, 2) if times.sum() < 1 << 26 else (4, 1))}
+    del y, times
     feature, cut, child = [], [], []
-    at, node, made = np.arange(len(y)), np.zeros(len(y), np.int64), 1
+    at, lens, ids, made = np.arange(n), np.array([n]), np.zeros(1, np.int64), 1
     for d in range(depth + 1):
         counts = levels[-1]
         may = _open(counts, leaf) if d < depth else np.zeros(len(counts), bool)
-        # places of the open nodes; the rows of the others are done
-        place = np.where(may, np.cumsum(may) - 1, -1)
-        node = place[node]
-        keep = node >= 0
-        at, node = at[keep], node[keep]
-        order = np.argsort(node, kind="stable")
-        at, node, m = at[order], node[order], int(may.sum())
-        pick = _subset(rng, m, k, size)
+        m = int(may.sum())
+        keep = may[ids]
+        if not keep.all():  # the rows of closed nodes are done
+            at, lens, ids = at[np.repeat(keep, lens)], lens[keep], ids[keep]
+        ids = (np.cumsum(may) - 1)[ids]
+        pick = np.empty((m, size), np.int64)
+        for s in range(0, m, 4096):
+            pick[s:s + 4096] = _subset(rng, min(4096, m - s), k, size)
+        opened = counts[may]
+        heaviest = opened.sum(1)
         ok, chosen, cuts, lefts = np.zeros(m, bool), np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros((m, classes))
-        for s in range(0, m, 1024):
-            e = min(s + 1024, m)
-            a, b = np.searchsorted(node, [s, e])
-            rows, here = at[a:b], node[a:b] - s
-            hist = [np.bincount((here * BINS + x[rows, pick[node[a:b], j]]) * classes + y[rows], times[rows], (e - s) * BINS * classes)
-                    for j in range(size)]
-            hist = np.stack([h.reshape(e - s, BINS, classes) for h in hist], 1)
-            ok[s:e], j, cuts[s:e], lefts[s:e] = best_splits(hist, weights, leaf)
-            chosen[s:e] = pick[np.arange(s, e), j]
+        turn, rights = np.full(len(at), 2, np.uint8), np.zeros(len(lens), np.int64)  # 0 goes left, 1 right, 2 nowhere
+        for a, b, begin, end in _slices(lens, NODES, ROWS):
+            here, rows, size_of = ids[a:b], at[begin:end], lens[a:b]
+            packed = made_of[4] if heaviest[here].max() < small else made_of[min(made_of)]
+            good, j, c, left = packed.best(flat, n, rows, size_of, pick[here], opened[here], weights, leaf)
+            f = pick[here, j]
+            ok[here], chosen[here], cuts[here], lefts[here] = good, f, c, left
+            if b - a == 1:
+                if good[0]:
+                    turn[begin:end] = flat[f[0] * n:(f[0] + 1) * n][rows] > c[0]
+                    rights[a] = turn[begin:end].sum(dtype=np.int64)
+            elif good.any():
+                side = (flat[np.repeat(f * n, size_of) + rows] > np.repeat(c, size_of)).view(np.uint8)
+                rights[a:b] = np.add.reduceat(side, np.cumsum(size_of) - size_of, dtype=np.int64)
+                turn[begin:end] = side if good.all() else np.where(np.repeat(good, size_of), side, 2)
         first = np.where(ok, made + 2 * (np.cumsum(ok) - 1), -1)
         for out, values in ((feature, np.where(ok, chosen, -1)), (cut, cuts), (child, first)):
             line = np.full(len(counts), -1 if out is not cut else 0, np.int64)
@@ -132,38 +245,76 @@ def grow(x: np.ndarray, y: np.ndarray, times: np.ndarray, weights: np.ndarray, d
             out.append(line)
         if not ok.any():
             break
-        right = counts[may][ok] - lefts[ok]
-        levels.append(np.stack([lefts[ok], right], 1).reshape(-1, classes))
-        keep = ok[node]
-        at, node = at[keep], node[keep]
-        node = first[node] - made + (x[at, chosen[node]] > cuts[node])
+        levels.append(np.stack([lefts[ok], opened[ok] - lefts[ok]], 1).reshape(-1, classes))
+        good = ok[ids]
+        rights, lens, below = rights[good], lens[good], first[ids[good]] - made
+        at = np.concatenate([at[turn == 0], at[turn == 1]])
+        lens, ids = np.concatenate([lens - rights, rights]), np.concatenate([below, below + 1])
         made += len(levels[-1])
+        if d % 4 == 3 and n > ROWS:  # neighbours in a node become neighbours in memory
+            flat = flat.reshape(k, n)[:, at].reshape(-1)
+            for packed in made_of.values():
+                packed.take(at)
+            n = len(at)
+            at = np.arange(n)
     return np.concatenate(feature), np.concatenate(cut), np.concatenate(child), np.concatenate(levels)
 
 
-def _dump(feature, cut, child, shares) -> bytes:
-    return struct.pack("<q", len(feature)) + feature.astype("<i2").tobytes() + cut.astype(np.uint8).tobytes() + child.astype(
-        "<i4").tobytes() + shares.astype("<f4").tobytes()
+def _dump(feature, cut, child, counts) -> bytes:
+    """A subtree in short: a feature for each node, a cut for each split, class counts for each leaf.
+
+    ``grow`` numbers children in the order of their parents, so that they need no numbers here.
+    """
+    ends = feature < 0
+    low = counts[ends]
+    kind = next(t for t in ("<u1", "<u2", "<u4", "<u8") if low.max() <= np.iinfo(t).max)
+    return struct.pack("<q2s", len(feature), kind[1:].encode()) + feature.astype("<i2").tobytes() + cut[~ends].astype(np.uint8).tobytes() + low.astype(
+        kind).tobytes()
 
 
-def _load(data: bytes, classes: int):
-    n, at = struct.unpack_from("<q", data)[0], 8
-    out = []
-    for kind, size in (("<i2", 2), (np.uint8, 1), ("<i4", 4)):
-        out.append(np.frombuffer(data, kind, n, at))
-        at += n * size
-    return *out, np.frombuffer(data, "<f4", n * classes, at).reshape(n, classes)
+def _load(data: bytes, weights: np.ndarray):
+    """(feature, cut, left child, class shares) per node; a split has no shares."""
+    n, kind = struct.unpack_from("<q2s", data)
+    at = struct.calcsize("<q2s")
+    feature = np.frombuffer(data, "<i2", n, at)
+    ends = feature < 0
+    splits = n - int(ends.sum())
+    cut, child, shares = np.zeros(n, np.uint8), np.full(n, -1, np.int64), np.zeros((n, len(weights)), np.float32)
+    cut[~ends] = np.frombuffer(data, np.uint8, splits, at + 2 * n)
+    child[~ends] = 1 + 2 * np.arange(splits)
+    heavy = np.frombuffer(data, f"<{kind.decode()}", (n - splits) * len(weights), at + 2 * n + splits).reshape(-1, len(weights)) * weights
+    shares[ends] = heavy / np.maximum(heavy.sum(1, keepdims=True), 1e-300)
+    return feature, cut, child, shares
 
 
 def _walk(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, child: np.ndarray) -> np.ndarray:
     """The node in which each row ends."""
-    node, going = np.zeros(len(x), np.int64), np.arange(len(x))
-    while len(going):
-        here = node[going]
-        f = feature[here]
-        going, here, f = going[f >= 0], here[f >= 0], f[f >= 0]
-        node[going] = child[here] + (x[going, f] > cut[here])
-    return node
+    out, (n, k) = np.zeros(len(x), np.int64), x.shape
+    leaf = feature < 0
+    if leaf.all() or not n:
+        return out
+    # a word per node: child, cut and feature; at a leaf no value is above the cut, and the child is the leaf
+    words = np.where(leaf, (np.arange(len(feature)) << 24) | (255 << 16),
+                     (child.astype(np.int64) << 24) | (cut.astype(np.int64) << 16) | feature.astype(np.int64))
+    flat = np.ascontiguousarray(x).reshape(-1)
+    for s in range(0, n, ROWS):
+        e = min(s + ROWS, n)
+        base, node, going, turn = np.arange(s * k, e * k, k), np.zeros(e - s, np.int64), None, 0
+        while len(base):
+            word = words[node]
+            new = word >> 24
+            new += flat[base + (word & 0xFFFF)] > ((word >> 16) & 0xFF)
+            turn += 1
+            if turn % 3 == 0:  # rows at their leaf are done
+                left = np.flatnonzero(new != node)
+                if len(left) < 0.8 * len(new):
+                    if going is None:
+                        out[s:e], going = new, np.arange(s, e)
+                    else:
+                        out[going] = new
+                    base, new, going = base[left], new[left], going[left]
+            node = new
+    return out
 
 
 def _chunks(batches, size: int):
@@ -180,14 +331,31 @@ def _chunks(batches, size: int):
 
 
 def _bytes(table: pa.Table, k: int) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, k)
+    parts = []
+    for c in table.column("bins").chunks if k else ():
+        c = c.cast(pa.binary())
+        if len(c):
+            first = int(np.frombuffer(c.buffers()[1], np.int32, 1, 4 * c.offset)[0])
+            parts.append(np.frombuffer(c.buffers()[2], np.uint8, len(c) * k, first))
+    whole = parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, np.uint8), *parts])
+    return whole.reshape(-1, k) if k else np.empty((table.num_rows, 0), np.uint8)
+
+
+def _by_node(place: np.ndarray):
+    """The nodes that hold rows, each with the places of its rows."""
+    if not place.any():
+        return [(0, np.arange(len(place)))] if len(place) else []
+    order = np.argsort(place.astype(np.uint16) if place.max() < 1 << 16 else place, kind="stable")
+    held = place[order]
+    starts = np.flatnonzero(np.diff(held, prepend=-1))
+    return [(int(held[a]), part) for a, part in zip(starts, np.split(order, starts[1:]))]
 
 
 class Forest:
     """Trees as a table (tree, node, subtree) below the few splits of large nodes, which ``tops`` holds."""
 
-    def __init__(self, features: list[str], edges: list[np.ndarray], classes: int, tops: list, table: DataFrame):
-        self.features, self.edges, self.classes, self.tops, self.table = features, edges, classes, tops, table
+    def __init__(self, features: list[str], edges: list[np.ndarray], weights: np.ndarray, tops: list, table: DataFrame):
+        self.features, self.edges, self.weights, self.tops, self.table = features, edges, weights, tops, table
 
 
 def _top_round(rows: DataFrame, tops: list, big: list[set], weights: np.ndarray, k: int, leaf: int, seed: int):
@@ -197,15 +365,21 @@ def _top_round(rows: DataFrame, tops: list, big: list[set], weights: np.ndarray,
 
     def count(batches):
         sums = {}
-        for t in _chunks(batches, CHUNK):
+        for t in _chunks(batches, ROWS):
             x, y, ids = _bytes(t, k), t.column("label").to_numpy().astype(np.int64), t.column("_row").to_numpy()
+            columns = np.ascontiguousarray(x.T)
             for tree, nodes in enumerate(big):
-                if nodes:
-                    times, place = _times(ids, tree, seed), _walk(x, *tops[tree][:3])
-                    for node in nodes:
-                        at = np.flatnonzero((place == node) & (times > 0))
-                        hist = np.stack([np.bincount(x[at, f].astype(np.int64) * classes + y[at], times[at], BINS * classes) for f in pick(tree, node)])
-                        sums[tree, node] = sums.get((tree, node), 0) + hist
+                if not nodes:
+                    continue
+                times = _times(ids, tree, seed)
+                drawn = np.flatnonzero(times)
+                at_root = len(tops[tree][0]) == 1
+                place = None if at_root else _walk(x[drawn], *tops[tree][:3])
+                for node in nodes:
+                    at = drawn if at_root else drawn[place == node]
+                    label, often = y[at], times[at].astype(np.float64)
+                    hist = np.stack([np.bincount(columns[f][at] * np.int64(classes) + label, often, BINS * classes) for f in pick(tree, node)])
+                    sums[tree, node] = sums.get((tree, node), 0) + hist
         for (tree, node), hist in sums.items():
             yield pa.RecordBatch.from_pydict({"tree": [tree], "node": [node], "hist": [hist.tobytes()]})
 
@@ -242,6 +416,8 @@ def fit_forest(train: DataFrame, features: Sequence[str], label: str, weight: st
     for r in known:
         weights[r["label"]] = r["w"]
     classes, n = len(weights), sum(r["n"] for r in known)
+    # every row is drawn for every tree: work for all cores, however few files the rows lie in
+    rows = rows.repartition(n // CHUNK + train.sparkSession.sparkContext.defaultParallelism, "_row")
     # a top: feature, cut and child per node, and each node's depth; nodes without a feature have a subtree in the table
     tops = [tuple(np.array([v], np.int64) for v in (-1, 0, -1, 0)) for _ in range(trees)]
     big = [{0} if n > local and depth else set() for _ in range(trees)]
@@ -259,41 +435,43 @@ def fit_forest(train: DataFrame, features: Sequence[str], label: str, weight: st
             if below < depth:
                 big[r["tree"]] |= {first + i for i, side in enumerate(("left", "right")) if sum(r[side]) > local}
 
+    kind = np.uint8 if classes <= 256 else np.int32
+
     def deal(batches):
         for t in _chunks(batches, CHUNK):
-            x, y, ids = _bytes(t, k), t.column("label").to_numpy().astype("<i4"), t.column("_row").to_numpy()
+            x, y, ids = _bytes(t, k), t.column("label").to_numpy().astype(kind), t.column("_row").to_numpy()
             for tree, top in enumerate(tops):
-                times, place = _times(ids, tree, seed), _walk(x, *top[:3])
+                times = _times(ids, tree, seed)
                 at = np.flatnonzero(times)
-                at = at[np.argsort(place[at], kind="stable")]
-                nodes, starts = np.unique(place[at], return_index=True)
-                for node, part in zip(nodes.tolist(), np.split(at, starts[1:])):
-                    yield pa.RecordBatch.from_pydict({
-                        "tree": pa.array([tree], pa.int64()), "node": pa.array([node], pa.int64()), "x": pa.array([x[part].tobytes()], pa.binary()),
-                        "y": pa.array([y[part].tobytes()], pa.binary()), "times": pa.array([times[part].tobytes()], pa.binary())})
+                own = x[at]
+                parts = [(node, own if len(part) == len(own) else own[part], at[part]) for node, part in _by_node(_walk(own, *top[:3]))]
+                yield pa.RecordBatch.from_pydict({
+                    "tree": pa.array([tree] * len(parts), pa.int64()), "node": pa.array([p[0] for p in parts], pa.int64()),
+                    "x": pa.array([p[1].tobytes() for p in parts], pa.binary()), "y": pa.array([y[p[2]].tobytes() for p in parts], pa.binary()),
+                    "times": pa.array([times[p[2]].tobytes() for p in parts], pa.binary())})
 
     def finish(key, t):
         tree, node = (v.as_py() for v in key)
-        x, y, times = (np.frombuffer(b"".join(t.column(c).to_pylist()), kind) for c, kind in (("x", np.uint8), ("y", "<i4"), ("times", np.uint8)))
+        x, y, times = (np.frombuffer(b"".join(t.column(c).to_pylist()), of) for c, of in (("x", np.uint8), ("y", kind), ("times", np.uint8)))
         rng = np.random.default_rng([seed, tree, node])
-        *tree_arrays, counts = grow(x.reshape(-1, k), y.astype(np.int64), times, weights, depth - int(tops[tree][3][node]), leaf, rng)
-        heavy = counts * weights
-        blob = _dump(*tree_arrays, heavy / np.maximum(heavy.sum(1, keepdims=True), 1e-300))
+        blob = _dump(*grow(x.reshape(len(y), k), y, times, weights, depth - int(tops[tree][3][node]), leaf, rng))
         return pa.table({"tree": pa.array([tree], pa.int64()), "node": pa.array([node], pa.int64()), "subtree": pa.array([blob], pa.binary())})
 
-    dealt = rows.mapInArrow(deal, "tree long, node long, x binary, y binary, times binary").repartition(trees, "tree", "node")
+    ends = sum(int((top[0] < 0).sum()) for top in tops)
+    dealt = rows.mapInArrow(deal, "tree long, node long, x binary, y binary, times binary").repartition(ends, "tree", "node")
     table = dealt.groupBy("tree", "node").applyInArrow(finish, "tree long, node long, subtree binary")
-    return Forest(features, edges, classes, tops, settle(table, "forest"))
+    return Forest(features, edges, weights, tops, settle(table, "forest"))
 
 
 def predict_forest(test: DataFrame, forest: Forest) -> DataFrame:
     """The rows with ``prediction``: the first class with most votes, each tree voting with its leaf's shares."""
-    k, classes, tops = len(forest.features), forest.classes, forest.tops
+    k, weights, tops = len(forest.features), forest.weights, forest.tops
+    classes = len(weights)
     rows = settle(test.withColumn("_row", F.monotonically_increasing_id()), "scored")
-    parts = rows.count() // CHUNK + 1
+    parts = rows.count() // SCORED + 1
 
     def pack(batches):
-        for t in _chunks(batches, CHUNK):
+        for t in _chunks(batches, SCORED):
             ids = t.column("_row").to_numpy().astype("<i8")
             yield pa.RecordBatch.from_pydict({"chunk": pa.array(ids[:1], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()),
                                               "x": pa.array([_bytes(t, k).tobytes()], pa.binary())})
@@ -314,10 +492,11 @@ def predict_forest(test: DataFrame, forest: Forest) -> DataFrame:
         for i in order:
             tree, node = some.column("tree")[i].as_py(), some.column("node")[i].as_py()
             if tree not in places:
-                places = {tree: _walk(x, *tops[tree][:3])}
-            at = np.flatnonzero(places[tree] == node)
-            *arrays, shares = _load(some.column("subtree")[i].as_py(), classes)
-            votes[at] += shares[_walk(x[at], *arrays)]
+                places = {tree: dict(_by_node(_walk(x, *tops[tree][:3])))}
+            at = places[tree].get(node)
+            if at is not None:
+                *arrays, shares = _load(some.column("subtree")[i].as_py(), weights)
+                votes[at] += shares[_walk(x if len(at) == len(x) else x[at], *arrays)]
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "block": pa.array([key[1].as_py()], pa.int64()),
                          "votes": pa.array([votes.astype("<f4").tobytes()], pa.binary())})
 

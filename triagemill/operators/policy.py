@@ -120,7 +120,7 @@ def grade_baseline(
     trees: int = 200, depth: int = 20, leaf: int = 5, seed: int = 42,
 ) -> DataFrame:
     """Balanced random forest on the feature columns; the test rows with ``prediction``."""
-    rows = settle(class_weights(train, label).select(*features, label, "weight"), "train")
+    rows = class_weights(settle(train.select(*features, label), "train"), label)
     return predict_forest(test, fit_forest(rows, features, label, "weight", trees, depth, leaf, seed))
 
 
