@@ -209,10 +209,14 @@ def test_rows_walk_as_one_by_one(monkeypatch):
         while feature[node] >= 0:
             node = child[node] + (row[feature[node]] > cut[node])
         assert node == end
-    parts = FO._by_node(found)
-    assert [node for node, _ in parts] == sorted(set(found.tolist()))
-    assert all((np.flatnonzero(found == node) == part).all() for node, part in parts)
-    assert FO._by_node(found[:0]) == []
+    columns, tree, some = np.ascontiguousarray(x.T), (feature, cut, child), np.arange(0, 2000, 3)
+    parts = dict(FO._route(columns, some, tree))
+    assert set(parts) == set(found[some].tolist())
+    assert all((some[found[some] == node] == part).all() for node, part in parts.items())
+    nodes = set(sorted(parts)[:5])
+    above = FO._above(tree, nodes)
+    assert {node for node, _ in FO._route(columns, some, tree, above)} == nodes and 0 in above and len(above) < len(feature)
+    assert list(FO._route(columns, some, tree, set())) == [] and list(FO._route(columns, some[:0], tree)) == []
 
 
 def test_draws_follow_the_poisson_shares():

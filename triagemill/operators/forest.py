@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from triagemill.session import settle
 
 BINS = 32
-LOCAL = 4_000_000  # drawn rows of a node that one task may finish (about 100 bytes each while it does)
+LOCAL = 8_000_000  # drawn rows of a node that one task may finish (some 50 bytes each while it does)
 CHUNK = 200_000  # rows dealt to nodes at a time
 SCORED = 2_000_000  # rows scored at a time: all trees are sent to each such chunk
 BLOCK = 10  # trees that score a chunk in one task
@@ -130,32 +130,35 @@ def _slices(lens: np.ndarray, nodes: int, rows: int):
 
 
 class _Packed:
-    """Rows whose weights count several classes in one double: ``per`` classes of 52 // per bits each, exact below that."""
+    """Counts several classes in one double: ``per`` classes of 52 // per bits each, exact below that.
 
-    def __init__(self, y: np.ndarray, times: np.ndarray, classes: int, per: int):
+    A row's ``code`` is its class and how often it was drawn, a byte of it.
+    """
+
+    def __init__(self, classes: int, per: int):
         self.classes, self.per, self.bits = classes, per, 52 // per
         self.words = -(-classes // per)
-        self.w = times * np.exp2(self.bits * (y % per))
+        y = np.repeat(np.arange(classes), 256)
+        self.w = np.tile(np.arange(256.0), classes) * np.exp2(self.bits * (y % per))
         self.word = (y // per) * BINS if self.words > 1 else None
 
-    def take(self, order: np.ndarray) -> None:
-        self.w, self.word = self.w[order], None if self.word is None else self.word[order]
-
-    def best(self, flat, n, rows, lens, pick, counts, weights, leaf):
+    def best(self, flat, n, rows, codes, lens, pick, counts, weights, leaf):
         """``best_splits`` of neighbouring nodes: only bins that hold rows are tried, and only sums that leave two leaves."""
         m, size, words, per = len(lens), pick.shape[1], self.words, self.per
         hist = np.zeros((m, size, words, BINS), np.int64)
         for s in range(0, len(rows), ROWS) if m == 1 else (0,):
-            r = rows[s:s + ROWS] if m == 1 else rows
-            w = self.w[r]
-            base = None if self.word is None else self.word[r]
+            r, code = (v[s:s + ROWS] if m == 1 else v for v in (rows, codes))
+            r, code = r.astype(np.int64), code.astype(np.int64)
+            w = self.w[code]
+            base = None if self.word is None else self.word[code]
             if m > 1:
                 node = np.repeat(np.arange(0, m * words * BINS, words * BINS), lens)
                 base = node if base is None else base + node
             for j in range(size):
-                code = flat[(r + np.repeat(pick[:, j] * n, lens)) if m > 1 else r + pick[0, j] * n]
-                code = code.astype(np.int64) if base is None else base + code
-                hist[:, j] += np.bincount(code, w, m * words * BINS).reshape(m, words, BINS).astype(np.int64)
+                at = np.repeat(pick[:, j] * n, lens) if m > 1 else pick[0, j] * n
+                at = flat[at + r]
+                at = at.astype(np.int64) if base is None else base + at
+                hist[:, j] += np.bincount(at, w, m * words * BINS).reshape(m, words, BINS).astype(np.int64)
         left = hist.cumsum(3)
         some = (hist if words == 1 else hist.any(2)) != 0
         e = np.flatnonzero(some)
@@ -202,20 +205,21 @@ def grow(x: np.ndarray, y: np.ndarray, times: np.ndarray, weights: np.ndarray, d
     (n, k), classes = x.shape, len(weights)
     size = int(np.ceil(np.sqrt(k)))
     flat = np.ascontiguousarray(x.T).reshape(-1)
-    y, times = y.astype(np.int64), times.astype(np.float64)
     levels = [np.bincount(y, times, classes)[None]]
+    drawn = levels[0].sum()
     small = 1 << 52 // 4  # nodes below it are counted four classes a double, the others two or one
-    made_of = {per: _Packed(y, times, classes, per) for per in ((4,) if times.sum() < small else (4, 2) if times.sum() < 1 << 26 else (4, 1))}
-    del y, times
+    packers = {per: _Packed(classes, per) for per in (4, 2 if drawn < 1 << 26 else 1)}
+    codes = y.astype(np.uint16 if classes <= 256 else np.uint32) * 256 + times
     feature, cut, child = [], [], []
-    at, lens, ids, made = np.arange(n), np.array([n]), np.zeros(1, np.int64), 1
+    at, lens, ids, made = np.arange(n, dtype=np.int32), np.array([n]), np.zeros(1, np.int64), 1
     for d in range(depth + 1):
         counts = levels[-1]
         may = _open(counts, leaf) if d < depth else np.zeros(len(counts), bool)
         m = int(may.sum())
         keep = may[ids]
         if not keep.all():  # the rows of closed nodes are done
-            at, lens, ids = at[np.repeat(keep, lens)], lens[keep], ids[keep]
+            held = np.repeat(keep, lens)
+            at, codes, lens, ids = at[held], codes[held], lens[keep], ids[keep]
         ids = (np.cumsum(may) - 1)[ids]
         pick = np.empty((m, size), np.int64)
         for s in range(0, m, 4096):
@@ -226,8 +230,8 @@ def grow(x: np.ndarray, y: np.ndarray, times: np.ndarray, weights: np.ndarray, d
         turn, rights = np.full(len(at), 2, np.uint8), np.zeros(len(lens), np.int64)  # 0 goes left, 1 right, 2 nowhere
         for a, b, begin, end in _slices(lens, NODES, ROWS):
             here, rows, size_of = ids[a:b], at[begin:end], lens[a:b]
-            packed = made_of[4] if heaviest[here].max() < small else made_of[min(made_of)]
-            good, j, c, left = packed.best(flat, n, rows, size_of, pick[here], opened[here], weights, leaf)
+            packer = packers[4 if heaviest[here].max() < small else min(packers)]
+            good, j, c, left = packer.best(flat, n, rows, codes[begin:end], size_of, pick[here], opened[here], weights, leaf)
             f = pick[here, j]
             ok[here], chosen[here], cuts[here], lefts[here] = good, f, c, left
             if b - a == 1:
@@ -248,15 +252,16 @@ def grow(x: np.ndarray, y: np.ndarray, times: np.ndarray, weights: np.ndarray, d
         levels.append(np.stack([lefts[ok], opened[ok] - lefts[ok]], 1).reshape(-1, classes))
         good = ok[ids]
         rights, lens, below = rights[good], lens[good], first[ids[good]] - made
-        at = np.concatenate([at[turn == 0], at[turn == 1]])
+        zero, one = turn == 0, turn == 1
+        at, codes = np.concatenate([at[zero], at[one]]), np.concatenate([codes[zero], codes[one]])
         lens, ids = np.concatenate([lens - rights, rights]), np.concatenate([below, below + 1])
         made += len(levels[-1])
         if d % 4 == 3 and n > ROWS:  # neighbours in a node become neighbours in memory
-            flat = flat.reshape(k, n)[:, at].reshape(-1)
-            for packed in made_of.values():
-                packed.take(at)
-            n = len(at)
-            at = np.arange(n)
+            laid = np.empty(k * len(at), np.uint8)
+            for f in range(k):
+                laid[f * len(at):(f + 1) * len(at)] = flat[f * n:(f + 1) * n][at]
+            flat, n = laid, len(at)
+            at = np.arange(n, dtype=np.int32)
     return np.concatenate(feature), np.concatenate(cut), np.concatenate(child), np.concatenate(levels)
 
 
@@ -341,14 +346,23 @@ def _bytes(table: pa.Table, k: int) -> np.ndarray:
     return whole.reshape(-1, k) if k else np.empty((table.num_rows, 0), np.uint8)
 
 
-def _by_node(place: np.ndarray):
-    """The nodes that hold rows, each with the places of its rows."""
-    if not place.any():
-        return [(0, np.arange(len(place)))] if len(place) else []
-    order = np.argsort(place.astype(np.uint16) if place.max() < 1 << 16 else place, kind="stable")
-    held = place[order]
-    starts = np.flatnonzero(np.diff(held, prepend=-1))
-    return [(int(held[a]), part) for a, part in zip(starts, np.split(order, starts[1:]))]
+def _route(columns: np.ndarray, at: np.ndarray, top, wanted: set | None = None):
+    """The nodes without a split in which the rows ``at`` end, each with its rows in their order.
+
+    With ``wanted`` only those nodes are gone through.
+    """
+    feature, cut, child = top[:3]
+    going = [(0, at)] if wanted is None or 0 in wanted else []
+    while going:
+        node, rows = going.pop()
+        if feature[node] < 0:
+            if len(rows):
+                yield node, rows
+            continue
+        right = columns[feature[node]][rows] > cut[node]
+        for side, below in ((right, int(child[node]) + 1), (None, int(child[node]))):
+            if wanted is None or below in wanted:
+                going.append((below, rows[~right if side is None else side]))
 
 
 class Forest:
@@ -358,6 +372,17 @@ class Forest:
         self.features, self.edges, self.weights, self.tops, self.table = features, edges, weights, tops, table
 
 
+def _above(top, nodes: set) -> set:
+    """The nodes and all that lie above them."""
+    parent = {int(c) + i: node for node, c in enumerate(top[2]) if c >= 0 for i in (0, 1)}
+    found = set()
+    for node in nodes:
+        while node is not None and node not in found:
+            found.add(node)
+            node = parent.get(node)
+    return found
+
+
 def _top_round(rows: DataFrame, tops: list, big: list[set], weights: np.ndarray, k: int, leaf: int, seed: int):
     """The best splits of large nodes, from histograms that each task makes of its rows."""
     size, classes = int(np.ceil(np.sqrt(k))), len(weights)
@@ -372,11 +397,7 @@ def _top_round(rows: DataFrame, tops: list, big: list[set], weights: np.ndarray,
                 if not nodes:
                     continue
                 times = _times(ids, tree, seed)
-                drawn = np.flatnonzero(times)
-                at_root = len(tops[tree][0]) == 1
-                place = None if at_root else _walk(x[drawn], *tops[tree][:3])
-                for node in nodes:
-                    at = drawn if at_root else drawn[place == node]
+                for node, at in _route(columns, np.flatnonzero(times), tops[tree], wanted[tree]):
                     label, often = y[at], times[at].astype(np.float64)
                     hist = np.stack([np.bincount(columns[f][at] * np.int64(classes) + label, often, BINS * classes) for f in pick(tree, node)])
                     sums[tree, node] = sums.get((tree, node), 0) + hist
@@ -391,6 +412,7 @@ def _top_round(rows: DataFrame, tops: list, big: list[set], weights: np.ndarray,
         return pa.table({"tree": [tree], "node": [node], "feature": [int(pick(tree, node)[place[0]]) if ok[0] else -1],
                          "cut": [int(cut[0])], "left": [left[0].tolist()], "right": [(whole - left[0]).tolist()]})
 
+    wanted = [_above(top, nodes) for top, nodes in zip(tops, big)]
     parts = rows.mapInArrow(count, "tree long, node long, hist binary")
     return parts.groupBy("tree", "node").applyInArrow(
         split, "tree long, node long, feature long, cut long, left array<double>, right array<double>").collect()
@@ -440,11 +462,10 @@ def fit_forest(train: DataFrame, features: Sequence[str], label: str, weight: st
     def deal(batches):
         for t in _chunks(batches, CHUNK):
             x, y, ids = _bytes(t, k), t.column("label").to_numpy().astype(kind), t.column("_row").to_numpy()
+            columns = np.ascontiguousarray(x.T)
             for tree, top in enumerate(tops):
                 times = _times(ids, tree, seed)
-                at = np.flatnonzero(times)
-                own = x[at]
-                parts = [(node, own if len(part) == len(own) else own[part], at[part]) for node, part in _by_node(_walk(own, *top[:3]))]
+                parts = [(node, x[at], at) for node, at in _route(columns, np.flatnonzero(times), top)]
                 yield pa.RecordBatch.from_pydict({
                     "tree": pa.array([tree] * len(parts), pa.int64()), "node": pa.array([p[0] for p in parts], pa.int64()),
                     "x": pa.array([p[1].tobytes() for p in parts], pa.binary()), "y": pa.array([y[p[2]].tobytes() for p in parts], pa.binary()),
@@ -452,9 +473,14 @@ def fit_forest(train: DataFrame, features: Sequence[str], label: str, weight: st
 
     def finish(key, t):
         tree, node = (v.as_py() for v in key)
-        x, y, times = (np.frombuffer(b"".join(t.column(c).to_pylist()), of) for c, of in (("x", np.uint8), ("y", kind), ("times", np.uint8)))
+        y, times = (np.concatenate([np.frombuffer(v.as_buffer(), of) for v in t.column(c)]) for c, of in (("y", kind), ("times", np.uint8)))
+        columns, at = np.empty((k, len(y)), np.uint8), 0
+        for v in t.column("x") if k else ():
+            part = np.frombuffer(v.as_buffer(), np.uint8).reshape(-1, k)
+            columns[:, at:at + len(part)] = part.T
+            at += len(part)
         rng = np.random.default_rng([seed, tree, node])
-        blob = _dump(*grow(x.reshape(len(y), k), y, times, weights, depth - int(tops[tree][3][node]), leaf, rng))
+        blob = _dump(*grow(columns.T, y, times, weights, depth - int(tops[tree][3][node]), leaf, rng))
         return pa.table({"tree": pa.array([tree], pa.int64()), "node": pa.array([node], pa.int64()), "subtree": pa.array([blob], pa.binary())})
 
     ends = sum(int((top[0] < 0).sum()) for top in tops)
@@ -487,19 +513,18 @@ def predict_forest(test: DataFrame, forest: Forest) -> DataFrame:
     def vote(key, one, some):
         x = np.frombuffer(one.column("x")[0].as_py(), np.uint8).reshape(-1, k)
         votes = np.zeros((len(x), classes))
-        order = np.lexsort((some.column("node").to_numpy(), some.column("tree").to_numpy())).tolist()
-        places = {}
-        for i in order:
-            tree, node = some.column("tree")[i].as_py(), some.column("node")[i].as_py()
-            if tree not in places:
-                places = {tree: dict(_by_node(_walk(x, *tops[tree][:3])))}
-            at = places[tree].get(node)
-            if at is not None:
-                *arrays, shares = _load(some.column("subtree")[i].as_py(), weights)
+        columns, every_row = np.ascontiguousarray(x.T), np.arange(len(x))
+        subtrees = dict(zip(zip(some.column("tree").to_pylist(), some.column("node").to_pylist()), some.column("subtree")))
+        for tree in sorted({tree for tree, _ in subtrees}):
+            for node, at in _route(columns, every_row, tops[tree]):
+                *arrays, shares = _load(subtrees[tree, node].as_py(), weights)
                 votes[at] += shares[_walk(x if len(at) == len(x) else x[at], *arrays)]
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "block": pa.array([key[1].as_py()], pa.int64()),
                          "votes": pa.array([votes.astype("<f4").tobytes()], pa.binary())})
 
+    # few keys, long work: partitions of a given number are not put together, and few of them get two keys
+    spread = 4 * parts * blocks
+    left, right = left.repartition(spread, "chunk", "block"), right.repartition(spread, "of_chunk", "of_block")
     votes = left.groupBy("chunk", "block").cogroup(right.groupBy("of_chunk", "of_block")).applyInArrow(
         vote, "chunk long, block long, votes binary")
 
